@@ -74,3 +74,18 @@ def q_top_sentences(spark, d):
 @register("sentence_shape")
 def q_sentence_shape(spark, d):
     return D.sentence_shape(_corpus(spark, d), group_cols=G)
+
+
+# --- pairwise diversity -----------------------------------------------------
+from rejoinder.operators import pairs as P  # noqa: E402
+from rejoinder.operators import selfbleu as SB  # noqa: E402
+
+
+@register("self_bleu")
+def q_self_bleu(spark, d):
+    return SB.self_bleu(_corpus(spark, d), group_cols=G)
+
+
+@register("jaccard_diversity")
+def q_jaccard_diversity(spark, d):
+    return P.jaccard_diversity(_corpus(spark, d), group_cols=G)

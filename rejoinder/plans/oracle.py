@@ -111,3 +111,56 @@ SELECT theme, model,
   {_ratio("count_if(t[-1] LIKE '%?')", 'count(*)')} AS pct_question_sentences,
   {_ratio("count_if(t[-1] LIKE '%!')", 'count(*)')} AS pct_exclamation_sentences
 FROM tk GROUP BY theme, model"""
+
+# Self-BLEU written directly as leave-one-out windows (EXCLUDE CURRENT ROW) and a
+# brute-force closest-length search — an independent formulation of the same metric.
+ORACLE["self_bleu"] = _with(RESPONSES, BASE, CORPUS, TOKS, """lens AS (SELECT theme, model, row_id, len(t) AS L FROM toks),
+grams AS (
+  SELECT theme, model, row_id, n, gram, count(*) AS c FROM (
+    SELECT theme, model, row_id, 1 AS n, unnest(t) AS gram FROM toks
+    UNION ALL SELECT theme, model, row_id, 2, unnest(list_transform(range(1, len(t) - 0), lambda i: t[i] || ' ' || t[i + 1])) FROM toks
+    UNION ALL SELECT theme, model, row_id, 3, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM toks
+    UNION ALL SELECT theme, model, row_id, 4, unnest(list_transform(range(1, len(t) - 2), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] || ' ' || t[i + 3])) FROM toks
+  ) GROUP BY ALL),
+loo AS (
+  SELECT theme, model, row_id, n, c,
+         coalesce(max(c) OVER (PARTITION BY theme, model, n, gram ORDER BY row_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW), 0) AS mo
+  FROM grams),
+pd AS (
+  SELECT theme, model, row_id,
+    sum(CASE WHEN n = 1 THEN least(c, mo) ELSE 0 END) AS num1, sum(CASE WHEN n = 1 THEN c ELSE 0 END) AS tot1,
+    sum(CASE WHEN n = 2 THEN least(c, mo) ELSE 0 END) AS num2, sum(CASE WHEN n = 2 THEN c ELSE 0 END) AS tot2,
+    sum(CASE WHEN n = 3 THEN least(c, mo) ELSE 0 END) AS num3, sum(CASE WHEN n = 3 THEN c ELSE 0 END) AS tot3,
+    sum(CASE WHEN n = 4 THEN least(c, mo) ELSE 0 END) AS num4, sum(CASE WHEN n = 4 THEN c ELSE 0 END) AS tot4
+  FROM loo GROUP BY ALL),
+ref AS (
+  SELECT a.theme, a.model, a.row_id, a.L,
+         min({'d': abs(b.L - a.L), 'l': b.L}).l AS r
+  FROM lens a JOIN lens b ON a.theme = b.theme AND a.model = b.model AND a.row_id <> b.row_id
+  GROUP BY ALL),
+sc AS (
+  SELECT l.theme, l.model, l.row_id,
+    CASE WHEN r.r IS NULL THEN NULL
+         WHEN coalesce(pd.num1, 0) = 0 THEN 0.0
+         ELSE (CASE WHEN l.L > r.r THEN 1.0 WHEN l.L = 0 THEN 0.0 ELSE exp(1 - r.r / l.L) END) *
+              exp(0.25 * ln(CASE WHEN pd.num1 = 0 THEN 0.1 ELSE pd.num1 END / greatest(pd.tot1, 1))
+                + 0.25 * ln(CASE WHEN pd.num2 = 0 THEN 0.1 ELSE pd.num2 END / greatest(pd.tot2, 1))
+                + 0.25 * ln(CASE WHEN pd.num3 = 0 THEN 0.1 ELSE pd.num3 END / greatest(pd.tot3, 1))
+                + 0.25 * ln(CASE WHEN pd.num4 = 0 THEN 0.1 ELSE pd.num4 END / greatest(pd.tot4, 1)))
+    END AS b
+  FROM lens l LEFT JOIN ref r USING (theme, model, row_id) LEFT JOIN pd USING (theme, model, row_id))""") + """
+SELECT theme, model, round(avg(b), 6) AS corpus_self_bleu_mean, round(stddev_pop(b), 6) AS corpus_self_bleu_std
+FROM sc GROUP BY theme, model"""
+
+# Max Jaccard by brute force over all pairs of the group.
+ORACLE["jaccard_diversity"] = _with(RESPONSES, BASE, CORPUS, TOKS, """ds AS (SELECT theme, model, row_id, list_distinct(t) AS s FROM toks),
+pj AS (
+  SELECT a.theme, a.model, a.row_id,
+         max(CASE WHEN len(a.s) + len(b.s) = 0 THEN 0.0 ELSE
+             len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END) AS mj
+  FROM ds a LEFT JOIN ds b ON a.theme = b.theme AND a.model = b.model AND a.row_id <> b.row_id
+  GROUP BY ALL)""") + """
+SELECT theme, model, round(avg(1 - mj), 6) AS corpus_jaccard_diversity_mean,
+       round(stddev_pop(1 - mj), 6) AS corpus_jaccard_diversity_std
+FROM pj GROUP BY theme, model"""
