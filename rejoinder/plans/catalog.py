@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rejoinder.operators import corpus as C
 from rejoinder.operators import diversity as D
 from rejoinder.plans import fixtures as X
+from rejoinder.sources.tables import read_table  # noqa: F401
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -89,3 +90,286 @@ def q_self_bleu(spark, d):
 @register("jaccard_diversity")
 def q_jaccard_diversity(spark, d):
     return P.jaccard_diversity(_corpus(spark, d), group_cols=G)
+
+
+# --- shaping, sampling, guards ---------------------------------------------
+from rejoinder.constants import ANNOTATION_COL_MAPPING, SAMPLE_SIZE  # noqa: E402
+from rejoinder.functions import normalize as N  # noqa: E402
+from rejoinder.functions.text import strip_ws, trim_chars  # noqa: E402
+from rejoinder.operators import sampling as SA  # noqa: E402
+from rejoinder.operators import shape as SH  # noqa: E402
+
+
+@register("parse_tagged_output")
+def q_parse_tagged_output(spark, d):
+    return SH.parse_tagged_output(X.tagged(spark, d)).select("row_id", "model_counter_speech", "model_strategies")
+
+
+@register("union_models")
+def q_union_models(spark, d):
+    t = X.tagged(spark, d)
+    frames = {f"m{k}": t.where(F.col("row_id") % 3 == k)
+              .select("row_id", "theme", F.col("model_output").alias(f"counter_speech_m{k}"))
+              for k in range(3)}
+    return SH.union_models(frames).select("row_id", "model", "theme", "model_output")
+
+
+@register("overlay_merge")
+def q_overlay_merge(spark, d):
+    merged = SH.overlay_merge(X.overlay_base(spark, d), X.overlays(spark, d))
+    merged = merged.withColumn("quality", F.coalesce(F.col("quality"), F.lit("0")))
+    return SH.split_compound_label(merged, "hate_speech_id")
+
+
+@register("check_disjoint")
+def q_check_disjoint(spark, d):
+    sample, ann2, ann1 = X.overlays(spark, d)
+    return SH.overlapping_keys(sample, ann1)
+
+
+@register("check_coverage")
+def q_check_coverage(spark, d):
+    parts = SA.split_for_annotation(X.responses(spark, d))
+    return SH.coverage(X.responses(spark, d),
+                       [parts.where(F.col("part") == p) for p in ("sample", "part_1", "part_2")])
+
+
+@register("split_for_annotation")
+def q_split_for_annotation(spark, d):
+    return SA.split_for_annotation(X.responses(spark, d)).select("row_id", "part")
+
+
+@register("sample_n")
+def q_sample_n(spark, d):
+    s = SA.sample_n(X.responses(spark, d), SAMPLE_SIZE).select("row_id", "model", "response")
+    return SH.add_empty_columns(s, list(ANNOTATION_COL_MAPPING.values()))
+
+
+@register("random_corpus")
+def q_random_corpus(spark, d):
+    return C.random_corpus(X.responses(spark, d), by=["theme"]).select("theme", "message_id", "row_id")
+
+
+@register("extract_corpus")
+def q_extract_corpus(spark, d):
+    return C.extract_corpus(X.responses(spark, d), model="m1", theme="de").select("row_id", "response")
+
+
+@register("trim_charset")
+def q_trim_charset(spark, d):
+    doc = read_table(spark, d, "documents")
+    raw = F.concat(F.lit(' "'), F.col("source"), F.lit('" \n'))
+    return doc.select(F.col("doc_id").alias("row_id"), trim_chars(raw, ' "').alias("trimmed"),
+                      strip_ws(raw).alias("stripped"))
+
+
+@register("split_compound_label")
+def q_split_compound_label(spark, d):
+    lab = read_table(spark, d, "labels")
+    lbl = F.when(F.col("doc_id") % 5 == 0, F.lit(None).cast("string")).otherwise(
+        F.concat(F.col("quality").cast("string"), F.lit("-"), F.col("toxic").cast("string")))
+    return SH.split_compound_label(lab.select(F.col("doc_id").alias("row_id"), lbl.alias("label")), "label") \
+        .select("row_id", "label_message", "label_response")
+
+
+def _raw_scores(spark, d):
+    lab = read_table(spark, d, "labels")
+    raw = (F.when(F.col("doc_id") % 6 == 0, F.lit("n/a")).when(F.col("doc_id") % 6 == 1, F.lit(None))
+           .when(F.col("doc_id") % 6 == 2, F.lit("")).otherwise((F.col("quality") + F.col("toxic")).cast("string")))
+    return lab.select(F.col("doc_id").alias("row_id"), raw.alias("raw"))
+
+
+@register("normalize_scores")
+def q_normalize_scores(spark, d):
+    r = _raw_scores(spark, d)
+    return r.select("row_id", N.ordinal("raw").alias("ordinal"), N.nominal("raw").alias("nominal"),
+                    N.binary("raw").alias("binary"), N.sign("raw").alias("sign"),
+                    N.empty_to_null("raw").alias("raw_or_null"))
+
+
+@register("rename_map")
+def q_rename_map(spark, d):
+    lab = read_table(spark, d, "labels")
+    inv = {v: k for k, v in ANNOTATION_COL_MAPPING.items()}
+    wide = lab.select(F.col("doc_id").alias("row_id"), F.col("quality").alias(inv["clarity"]),
+                      F.col("toxic").alias(inv["hate_speech_id"]))
+    return SH.rename_map(wide, ANNOTATION_COL_MAPPING)
+
+
+@register("publish_projection")
+def q_publish_projection(spark, d):
+    o = X.annotated_outputs(spark, d)
+    return o.where(F.col("model") == "m2").select(
+        "row_id", "model_output", "model_strategies", "model_counter_speech",
+        F.lit("gpt4o").alias("model"), F.lit(2).alias("theme"))
+
+
+@register("distinct_messages")
+def q_distinct_messages(spark, d):
+    doc = read_table(spark, d, "documents").select(F.col("lang").alias("theme"), F.col("text").alias("message"))
+    per_theme = doc.dropDuplicates(["theme", "message"]).groupBy("theme").agg(
+        F.count(F.lit(1)).alias("n_distinct_messages"))
+    overall = doc.dropDuplicates(["message"]).agg(F.count(F.lit(1)).alias("n_distinct_messages")) \
+        .select(F.lit("all").alias("theme"), "n_distinct_messages")
+    return per_theme.unionByName(overall)
+
+
+# --- conformance -------------------------------------------------------------
+from rejoinder.operators import conformance as CF  # noqa: E402
+
+
+@register("schema_report")
+def q_schema_report(spark, d):
+    return CF.schema_report(X.annotated_outputs(spark, d))
+
+
+@register("strategy_counts")
+def q_strategy_counts(spark, d):
+    return CF.strategy_counts(X.annotated_outputs(spark, d))
+
+
+@register("top_strategy_combos")
+def q_top_strategy_combos(spark, d):
+    return CF.top_strategy_combos(X.annotated_outputs(spark, d))
+
+
+@register("strategy_agreement")
+def q_strategy_agreement(spark, d):
+    r = CF.strategy_agreement_rows(X.annotated_outputs(spark, d))
+    return r.groupBy("model").agg(F.count(F.lit(1)).alias("n_complete"),
+                                  F.round(F.avg(F.when(F.col("agrees"), 100.0).otherwise(0.0)), 6)
+                                  .alias("agreement_pct"))
+
+
+@register("notnull_share")
+def q_notnull_share(spark, d):
+    return CF.notnull_share(X.annotated_outputs(spark, d), ["strategy_1", "strategy_2", "strategy_3",
+                                                             "strategy_4", "step_2"], group_cols=["model"])
+
+
+# --- descriptive statistics -------------------------------------------------------
+from rejoinder.operators import stats as ST  # noqa: E402
+
+
+@register("group_mean_median")
+def q_group_mean_median(spark, d):
+    return ST.mean_median(X.panel_long(spark, d))
+
+
+@register("ordinal_stats")
+def q_ordinal_stats(spark, d):
+    return ST.describe_scores(X.panel_long(spark, d))
+
+
+@register("ordinal_stats_global")
+def q_ordinal_stats_global(spark, d):
+    return ST.describe_scores(X.panel_long(spark, d), group_cols=["category"])
+
+
+@register("nominal_counts")
+def q_nominal_counts(spark, d):
+    lab = read_table(spark, d, "labels")
+    wide = lab.select(F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("model"),
+                      F.col("quality").cast("string").alias("quality"),
+                      F.when(F.col("doc_id") % 9 == 0, F.lit("n/a")).otherwise(F.col("toxic").cast("string"))
+                      .alias("toxic"))
+    long = wide.unpivot(["model"], ["quality", "toxic"], "column", "raw") \
+        .select("model", "column", N.nominal("raw").alias("value"))
+    return ST.value_counts(long)
+
+
+@register("pivot_scores")
+def q_pivot_scores(spark, d):
+    p = X.panel_long(spark, d).where(F.col("category") == "c_count")
+    return ST.pivot_scores(p, X.EVENT_TYPES)
+
+
+# --- significance and classification ------------------------------------------
+from rejoinder.operators import significance as SG  # noqa: E402
+
+
+@register("friedman")
+def q_friedman(spark, d):
+    return SG.friedman(X.panel_long(spark, d))
+
+
+@register("wilcoxon_pairs")
+def q_wilcoxon_pairs(spark, d):
+    return SG.wilcoxon_pairs(X.panel_long(spark, d))
+
+
+@register("significance_report")
+def q_significance_report(spark, d):
+    return SG.significance_report(X.panel_long(spark, d))
+
+
+@register("bonferroni")
+def q_bonferroni(spark, d):
+    w = SG.wilcoxon_pairs(X.panel_long(spark, d)).select("category", "comparison", "p_value")
+    out = SG.bonferroni(w, family=("category",))
+    return out.select("category", "comparison", "p_value", F.round("p_value_bonferroni", 6).alias("p_adjusted"))
+
+
+@register("paired_predictions")
+def q_paired_predictions(spark, d):
+    return SG.paired_predictions(X.predictions(spark, d), ["m0", "m1", "m2"])
+
+
+@register("contingency_pairs")
+def q_contingency_pairs(spark, d):
+    return SG.contingency_pairs(X.predictions(spark, d))
+
+
+@register("mcnemar_pairs")
+def q_mcnemar_pairs(spark, d):
+    return SG.mcnemar_pairs(X.predictions(spark, d))
+
+
+@register("binary_prf")
+def q_binary_prf(spark, d):
+    return SG.binary_prf(X.predictions(spark, d))
+
+
+@register("classification_report")
+def q_classification_report(spark, d):
+    return SG.classification_report(X.predictions(spark, d))
+
+
+# --- agreement ---------------------------------------------------------------
+from rejoinder.operators import agreement as AG  # noqa: E402
+
+
+def _ordinal_raters(spark, d):
+    p = X.panel_long(spark, d)
+    return p.select("category", F.col("subject").alias("unit"), F.col("model").alias("rater"),
+                    N.ordinal("score").alias("value"))
+
+
+@register("alpha_ordinal")
+def q_alpha_ordinal(spark, d):
+    return AG.alpha(_ordinal_raters(spark, d), level="ordinal")
+
+
+@register("alpha_nominal")
+def q_alpha_nominal(spark, d):
+    r = X.raters(spark, d)
+    return AG.alpha(r.select(F.lit("quality").alias("category"), F.col("unit_id").alias("unit"), "rater",
+                             N.nominal("value").alias("value")), level="nominal")
+
+
+@register("alpha_binary")
+def q_alpha_binary(spark, d):
+    p = X.panel_long(spark, d)
+    return AG.alpha(p.select("category", F.col("subject").alias("unit"), F.col("model").alias("rater"),
+                             N.binary("score").alias("value")), level="nominal")
+
+
+@register("alpha_report")
+def q_alpha_report(spark, d):
+    parts = [q_alpha_ordinal(spark, d).withColumn("level", F.lit("ordinal")),
+             q_alpha_nominal(spark, d).withColumn("level", F.lit("nominal")),
+             q_alpha_binary(spark, d).withColumn("level", F.lit("binary"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -126,3 +126,63 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
         F.col("label").alias("theme"),
         "embedding",
     )
+
+
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]   # event_type values of the events table
+
+
+def panel_long(spark: SparkSession, d: str) -> DataFrame:
+    """(category, subject, model, score): two ordinal categories per (user, event type), 0 = missing.
+
+    c_count = count % 6, c_value = sum(floor(value)) % 5 — integers, so every
+    statistic is exact in both engines.
+    """
+    e = read_table(spark, d, "events")
+    g = e.groupBy(F.col("user_id").alias("subject"), F.col("event_type").alias("model")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.floor("value")).cast("long").alias("v"))
+    return g.select("subject", "model", F.explode(F.array(
+        F.struct(F.lit("c_count").alias("category"), F.expr("cast(nullif(n % 6, 0) as double)").alias("score")),
+        F.struct(F.lit("c_value").alias("category"), F.expr("cast(nullif(v % 5, 0) as double)").alias("score")),
+    )).alias("x")).select("x.category", "subject", "model", "x.score")
+
+
+def annotated_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed model outputs with hand-corrected versions, strategy flags and annotated strategy scores."""
+    from rejoinder.functions.normalize import parse_tagged
+    t = tagged(spark, d)
+    cs, rest = parse_tagged("model_output")
+    f = flags(spark, d).drop("model", "theme")
+    o = t.select("row_id", "model", "theme", "model_output", cs.alias("model_counter_speech"),
+                 rest.alias("model_strategies"))
+    o = o.select("row_id", "model", "theme", "model_output", "model_counter_speech", "model_strategies",
+                 F.when(F.col("row_id") % 5 == 0, F.concat(F.col("model_counter_speech"), F.lit(" edited")))
+                 .otherwise(F.col("model_counter_speech")).alias("model_counter_speech_corrected"),
+                 F.when(F.col("row_id") % 4 == 0, F.lit(None).cast("string"))
+                 .when(F.col("row_id") % 4 == 1, F.lit('  "'))
+                 .otherwise(F.col("model_strategies")).alias("model_strategies_corrected"))
+    return o.join(f, "row_id")
+
+
+def overlay_base(spark: SparkSession, d: str) -> DataFrame:
+    """Base table for the overlay merge: every document, quality pre-filled as '0' for even ids."""
+    doc = read_table(spark, d, "documents")
+    return doc.select(F.col("doc_id").alias("row_id"), F.col("lang").alias("theme"),
+                      F.when(F.col("doc_id") % 2 == 0, F.lit("0")).alias("quality"))
+
+
+def overlays(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Three annotation slices of labels in apply order: sample, annotator 2, annotator 1 (last wins)."""
+    lab = read_table(spark, d, "labels")
+    base = lab.select(F.col("doc_id").alias("row_id"),
+                      F.col("quality").cast("string").alias("quality"),
+                      F.col("toxic").cast("string").alias("toxic"),
+                      F.concat(F.col("quality").cast("string"), F.lit("-"), F.col("toxic").cast("string"))
+                      .alias("hate_speech_id"))
+    sample = base.where(F.col("row_id") % 7 == 0).withColumn(
+        "toxic", F.when(F.col("row_id") % 2 == 0, F.lit(None)).otherwise(F.col("toxic")))
+    ann2 = base.where(F.col("row_id") % 7 <= 3).where(F.col("row_id") % 7 >= 1).withColumn(
+        "quality", F.when(F.col("row_id") % 5 == 0, F.lit(None)).otherwise(F.col("quality")))
+    ann1 = base.where((F.col("row_id") % 7 >= 4) | ((F.col("row_id") % 7 == 0) & (F.col("row_id") % 3 == 0))) \
+        .withColumn("hate_speech_id", F.when(F.col("row_id") % 4 == 0, F.lit(None))
+                    .otherwise(F.col("hate_speech_id")))
+    return [sample, ann2, ann1]

@@ -164,3 +164,433 @@ pj AS (
 SELECT theme, model, round(avg(1 - mj), 6) AS corpus_jaccard_diversity_mean,
        round(stddev_pop(1 - mj), 6) AS corpus_jaccard_diversity_std
 FROM pj GROUP BY theme, model"""
+
+# --- fixtures (twins of fixtures.py) --------------------------------------------
+TAGGED = """tagged AS (
+  SELECT doc_id AS row_id, 'm' || CAST(doc_id % 3 AS VARCHAR) AS model, lang AS theme,
+         CASE WHEN doc_id % 3 <> 0 THEN 'pre<XXX>' || text || '<XXX>post' ELSE text END AS model_output
+  FROM documents)"""
+
+PARSED = """parsed AS (
+  SELECT *, CASE WHEN model_output IS NULL THEN NULL WHEN len(p) = 1 THEN model_output ELSE p[2] END AS model_counter_speech,
+         CASE WHEN model_output IS NULL THEN NULL WHEN len(p) = 1 THEN '' ELSE p[1] || ' ' || array_to_string(p[3:], chr(10)) END
+           AS model_strategies
+  FROM (SELECT *, string_split(model_output, '<XXX>') AS p FROM tagged))"""
+
+FLAGS = """flags AS (
+  SELECT doc_id AS row_id,
+    CASE WHEN doc_id % 10 = 1 THEN NULL WHEN (doc_id // 1) % 3 = 0 THEN -1 ELSE 1 END AS strategy_1,
+    CASE WHEN doc_id % 10 = 2 THEN NULL WHEN (doc_id // 2) % 3 = 0 THEN -1 ELSE 1 END AS strategy_2,
+    CASE WHEN doc_id % 10 = 3 THEN NULL WHEN (doc_id // 3) % 3 = 0 THEN -1 ELSE 1 END AS strategy_3,
+    CASE WHEN doc_id % 10 = 4 THEN NULL WHEN (doc_id // 4) % 3 = 0 THEN -1 ELSE 1 END AS strategy_4,
+    CAST((doc_id // 2) % 5 AS VARCHAR) AS factual, CAST((doc_id // 3) % 5 AS VARCHAR) AS alternative,
+    CAST((doc_id // 4) % 5 AS VARCHAR) AS narrative, CAST((doc_id // 5) % 5 AS VARCHAR) AS critical_thinking,
+    CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(doc_id % 2 AS INTEGER) END AS step_2
+  FROM documents)"""
+
+OUTPUTS = """outputs AS (
+  SELECT p.row_id, p.model, p.theme, p.model_output, p.model_counter_speech, p.model_strategies,
+    CASE WHEN p.row_id % 5 = 0 THEN p.model_counter_speech || ' edited' ELSE p.model_counter_speech END
+      AS model_counter_speech_corrected,
+    CASE WHEN p.row_id % 4 = 0 THEN NULL WHEN p.row_id % 4 = 1 THEN '  "' ELSE p.model_strategies END
+      AS model_strategies_corrected,
+    f.strategy_1, f.strategy_2, f.strategy_3, f.strategy_4, f.factual, f.alternative, f.narrative,
+    f.critical_thinking, f.step_2
+  FROM parsed p JOIN flags f USING (row_id))"""
+
+LOADED = """loaded AS (
+  SELECT row_id, model, trim(model_output, ' "') AS model_output,
+         trim(model_counter_speech, ' "') AS cs, trim(model_counter_speech_corrected, ' "') AS csc,
+         trim(model_strategies_corrected, ' "') AS strat,
+         strategy_1, strategy_2, strategy_3, strategy_4, step_2,
+         CASE WHEN nullif(TRY_CAST(CASE WHEN factual = 'n/a' THEN NULL ELSE factual END AS DOUBLE), 0) IS NULL THEN -1.0 ELSE 1.0 END AS sg1,
+         CASE WHEN nullif(TRY_CAST(CASE WHEN alternative = 'n/a' THEN NULL ELSE alternative END AS DOUBLE), 0) IS NULL THEN -1.0 ELSE 1.0 END AS sg2,
+         CASE WHEN nullif(TRY_CAST(CASE WHEN narrative = 'n/a' THEN NULL ELSE narrative END AS DOUBLE), 0) IS NULL THEN -1.0 ELSE 1.0 END AS sg3,
+         CASE WHEN nullif(TRY_CAST(CASE WHEN critical_thinking = 'n/a' THEN NULL ELSE critical_thinking END AS DOUBLE), 0) IS NULL THEN -1.0 ELSE 1.0 END AS sg4
+  FROM outputs)"""
+
+PANEL = """panel AS (
+  SELECT user_id AS subject, event_type AS model, count(*) AS n, CAST(sum(floor(value)) AS BIGINT) AS v
+  FROM events GROUP BY ALL),
+panel_long AS (
+  SELECT 'c_count' AS category, subject, model, CAST(nullif(n % 6, 0) AS DOUBLE) AS score FROM panel
+  UNION ALL
+  SELECT 'c_value' AS category, subject, model, CAST(nullif(v % 5, 0) AS DOUBLE) AS score FROM panel)"""
+
+PREDICTIONS = """predictions AS (
+  SELECT doc_id AS row_id, 'm' || CAST(k AS VARCHAR) AS model, CAST(toxic AS DOUBLE) AS y_true,
+         CAST(CASE WHEN doc_id % (k + 5) = 0 THEN 1 - toxic ELSE toxic END AS DOUBLE) AS y_pred
+  FROM labels, (SELECT unnest([0, 1, 2]) AS k))"""
+
+OVERLAYS = """lab AS (
+  SELECT doc_id AS row_id, CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic,
+         CAST(quality AS VARCHAR) || '-' || CAST(toxic AS VARCHAR) AS hate_speech_id FROM labels),
+ov AS (
+  SELECT 0 AS prio, row_id, quality, CASE WHEN row_id % 2 = 0 THEN NULL ELSE toxic END AS toxic, hate_speech_id
+  FROM lab WHERE row_id % 7 = 0
+  UNION ALL
+  SELECT 1, row_id, CASE WHEN row_id % 5 = 0 THEN NULL ELSE quality END, toxic, hate_speech_id
+  FROM lab WHERE row_id % 7 BETWEEN 1 AND 3
+  UNION ALL
+  SELECT 2, row_id, quality, toxic, CASE WHEN row_id % 4 = 0 THEN NULL ELSE hate_speech_id END
+  FROM lab WHERE row_id % 7 >= 4 OR (row_id % 7 = 0 AND row_id % 3 = 0))"""
+
+# erfc(x): Taylor series below 3, continued fraction above — same algorithm as special.py
+def _erfc(x: str) -> str:
+    ax = f"abs({x})"
+    taylor = (f"(1.0 - 2.0 / sqrt(pi()) * list_sum(list_transform(range(0, 81), lambda n: "
+              f"(CASE WHEN n % 2 = 0 THEN 1.0 ELSE -1.0 END) * pow({ax}, 2 * n + 1) / (exp(lgamma(n + 1)) * (2 * n + 1)))))")
+    frac = (f"(exp(-{ax} * {ax}) / (sqrt(pi()) * list_reduce(list_concat([{ax}], "
+            f"list_transform(range(80, 0, -1), lambda k: CAST(k AS DOUBLE))), lambda f, k: {ax} + (k / 2.0) / f)))")
+    pos = f"(CASE WHEN {ax} < 3.0 THEN {taylor} ELSE {frac} END)"
+    return f"(CASE WHEN ({x}) >= 0 THEN {pos} ELSE 2.0 - {pos} END)"
+
+
+def _chi2_sf_even(x: str, df: str) -> str:
+    return (f"least(1.0, exp(-({x}) / 2.0) * list_sum(list_transform(range(0, CAST(({df}) // 2 AS BIGINT)), "
+            f"lambda i: pow(({x}) / 2.0, i) / exp(lgamma(i + 1)))))")
+
+
+ORACLE["parse_tagged_output"] = _with(TAGGED, PARSED) + """
+SELECT row_id, model_counter_speech, model_strategies FROM parsed"""
+
+ORACLE["union_models"] = _with(TAGGED) + "SELECT row_id, model, theme, model_output FROM tagged"
+
+ORACLE["overlay_merge"] = _with(OVERLAYS, """best AS (
+  SELECT row_id,
+    arg_max(quality, prio) FILTER (WHERE quality IS NOT NULL) AS quality,
+    arg_max(toxic, prio) FILTER (WHERE toxic IS NOT NULL) AS toxic,
+    arg_max(hate_speech_id, prio) FILTER (WHERE hate_speech_id IS NOT NULL) AS hate_speech_id
+  FROM ov GROUP BY row_id),
+merged AS (
+  SELECT d.doc_id AS row_id, d.lang AS theme,
+         coalesce(b.quality, CASE WHEN d.doc_id % 2 = 0 THEN '0' END, '0') AS quality,
+         b.toxic, b.hate_speech_id
+  FROM documents d LEFT JOIN best b ON b.row_id = d.doc_id)""") + """
+SELECT *, TRY_CAST(split_part(coalesce(hate_speech_id, '0-0'), '-', 1) AS DOUBLE) AS hate_speech_id_message,
+          TRY_CAST(split_part(coalesce(hate_speech_id, '0-0'), '-', 2) AS DOUBLE) AS hate_speech_id_response
+FROM merged"""
+
+ORACLE["check_disjoint"] = _with(OVERLAYS) + """
+SELECT DISTINCT a.row_id FROM ov a JOIN ov b ON a.row_id = b.row_id WHERE a.prio = 0 AND b.prio = 2"""
+
+_SPLIT = """keyed AS (SELECT row_id, md5('42:' || CAST(row_id AS VARCHAR)) AS h FROM responses),
+smp AS (SELECT row_id FROM keyed ORDER BY h, row_id LIMIT 50),
+parts AS (
+  SELECT row_id, 'sample' AS part FROM smp
+  UNION ALL
+  SELECT row_id, CASE WHEN substr(h, 1, 1) < '8' THEN 'part_1' ELSE 'part_2' END FROM keyed
+  WHERE row_id NOT IN (SELECT row_id FROM smp))"""
+
+ORACLE["split_for_annotation"] = _with(RESPONSES, _SPLIT) + "SELECT row_id, part FROM parts"
+
+ORACLE["check_coverage"] = _with(RESPONSES, _SPLIT) + """
+SELECT count(*) FILTER (WHERE w.row_id IS NOT NULL) AS n_total,
+       count(*) FILTER (WHERE w.row_id IS NOT NULL AND p.row_id IS NOT NULL) AS n_covered,
+       count(*) FILTER (WHERE p.row_id IS NULL) AS n_missing,
+       count(*) FILTER (WHERE w.row_id IS NULL) AS n_extra
+FROM (SELECT DISTINCT row_id FROM responses) w FULL JOIN (SELECT DISTINCT row_id FROM parts) p USING (row_id)"""
+
+_ANN_NULLS = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in [
+    "clarity", "factual", "alternative", "narrative", "critical_thinking", "fear_id", "fear_ack",
+    "conspiracy_usage", "repetition_harmful", "hate_speech_id", "hate_speech_handling", "conspiracy_handling"])
+ORACLE["sample_n"] = _with(RESPONSES) + f"""
+SELECT row_id, model, response, {_ANN_NULLS} FROM responses
+ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id LIMIT 50"""
+
+ORACLE["random_corpus"] = _with(RESPONSES) + """
+SELECT theme, message_id, arg_min(row_id, md5('42:' || CAST(row_id AS VARCHAR))) AS row_id
+FROM responses WHERE message_id IS NOT NULL GROUP BY theme, message_id"""
+
+ORACLE["extract_corpus"] = _with(RESPONSES) + """
+SELECT row_id, trim(response, ' "') AS response FROM responses
+WHERE theme = 'de' AND model = 'm1' AND response IS NOT NULL"""
+
+ORACLE["trim_charset"] = r"""
+SELECT doc_id AS row_id, trim(' "' || source || '" ' || chr(10), ' "') AS trimmed,
+       regexp_replace(' "' || source || '" ' || chr(10), '^\s+|\s+$', '', 'g') AS stripped
+FROM documents"""
+
+ORACLE["split_compound_label"] = """
+SELECT row_id, TRY_CAST(split_part(coalesce(label, '0-0'), '-', 1) AS DOUBLE) AS label_message,
+       TRY_CAST(split_part(coalesce(label, '0-0'), '-', 2) AS DOUBLE) AS label_response
+FROM (SELECT doc_id AS row_id, CASE WHEN doc_id % 5 = 0 THEN NULL
+             ELSE CAST(quality AS VARCHAR) || '-' || CAST(toxic AS VARCHAR) END AS label FROM labels)"""
+
+ORACLE["normalize_scores"] = """
+WITH r AS (SELECT doc_id AS row_id, CASE WHEN doc_id % 6 = 0 THEN 'n/a' WHEN doc_id % 6 = 1 THEN NULL
+                  WHEN doc_id % 6 = 2 THEN '' ELSE CAST(quality + toxic AS VARCHAR) END AS raw FROM labels),
+o AS (SELECT *, nullif(TRY_CAST(CASE WHEN raw = 'n/a' THEN NULL ELSE raw END AS DOUBLE), 0) AS ordinal FROM r)
+SELECT row_id, ordinal, CASE WHEN raw = 'n/a' THEN NULL ELSE raw END AS nominal,
+       CASE WHEN ordinal IS NULL THEN '0' ELSE '1' END AS binary,
+       CASE WHEN ordinal IS NULL THEN -1.0 ELSE 1.0 END AS sign, nullif(raw, '') AS raw_or_null
+FROM o"""
+
+ORACLE["rename_map"] = "SELECT doc_id AS row_id, quality AS clarity, toxic AS hate_speech_id FROM labels"
+
+ORACLE["publish_projection"] = _with(TAGGED, PARSED, FLAGS, OUTPUTS) + """
+SELECT row_id, model_output, model_strategies, model_counter_speech, 'gpt4o' AS model, 2 AS theme
+FROM outputs WHERE model = 'm2'"""
+
+ORACLE["distinct_messages"] = """
+SELECT lang AS theme, count(DISTINCT text) AS n_distinct_messages FROM documents GROUP BY lang
+UNION ALL SELECT 'all', count(DISTINCT text) FROM documents"""
+
+_PCT = "round(100.0 * ({n}) / nullif({d}, 0), 6)"
+_F = "(strat IS NOT NULL AND length(strat) > 0)"
+_COMPLETE = "(strategy_1 IS NOT NULL AND strategy_2 IS NOT NULL AND strategy_3 IS NOT NULL AND strategy_4 IS NOT NULL)"
+_AGREE = "(strategy_1 = sg1 AND strategy_2 = sg2 AND strategy_3 = sg3 AND strategy_4 = sg4)"
+ORACLE["schema_report"] = _with(TAGGED, PARSED, FLAGS, OUTPUTS, LOADED) + f"""
+SELECT model, n_rows, strategies_specified_pct, separator_present_pct, mean_raw_counterspeech_length,
+       mean_counterspeech_length, mean_diff_counter_speech_length, std_diff_counter_speech_length,
+       counterspeech_correctly_separated_pct, step_2_specified_pct, strategies_applied_pct,
+       round(100.0 * mean_counterspeech_length / nullif(mean_raw_counterspeech_length, 0), 6) AS corrected_vs_reported_length
+FROM (
+  SELECT CASE WHEN grouping(model) = 1 THEN 'all' ELSE model END AS model,
+    count(*) AS n_rows,
+    {_PCT.format(n="count(*) FILTER (WHERE length(regexp_replace(strat, '^\\s+|\\s+$', '', 'g')) > 0)", d="count(*)")} AS strategies_specified_pct,
+    {_PCT.format(n="count(*) FILTER (WHERE contains(model_output, '<XXX>'))", d="count(*)")} AS separator_present_pct,
+    round_even(avg(length(cs)), 2) AS mean_raw_counterspeech_length,
+    round_even(avg(length(csc)), 2) AS mean_counterspeech_length,
+    round_even(avg(coalesce(length(cs), 0) - coalesce(length(csc), 0)) FILTER (WHERE {_F}), 2) AS mean_diff_counter_speech_length,
+    round_even(stddev_samp(coalesce(length(cs), 0) - coalesce(length(csc), 0)) FILTER (WHERE {_F}), 2) AS std_diff_counter_speech_length,
+    {_PCT.format(n=f"count(*) FILTER (WHERE {_F} AND coalesce(cs, '') = coalesce(csc, ''))", d=f"count(*) FILTER (WHERE {_F})")} AS counterspeech_correctly_separated_pct,
+    {_PCT.format(n="count(*) FILTER (WHERE step_2 = 1)", d="count(step_2)")} AS step_2_specified_pct,
+    {_PCT.format(n=f"count(*) FILTER (WHERE {_COMPLETE} AND {_AGREE})", d=f"count(*) FILTER (WHERE {_COMPLETE})")} AS strategies_applied_pct
+  FROM loaded GROUP BY GROUPING SETS ((model), ()))"""
+
+ORACLE["strategy_counts"] = _with(TAGGED, PARSED, FLAGS, OUTPUTS, LOADED, """lng AS (
+  SELECT model, 'strategy_1' AS strategy, strategy_1 AS v FROM loaded UNION ALL
+  SELECT model, 'strategy_2', strategy_2 FROM loaded UNION ALL
+  SELECT model, 'strategy_3', strategy_3 FROM loaded UNION ALL
+  SELECT model, 'strategy_4', strategy_4 FROM loaded)""") + """
+SELECT model, strategy, applied, not_applied, unknown,
+       round_even(100.0 * applied / nullif(applied + not_applied, 0), 2) AS applied_rel_pct
+FROM (
+  SELECT CASE WHEN grouping(model) = 1 THEN 'all' ELSE model END AS model, strategy,
+         count(*) FILTER (WHERE v = 1) AS applied, count(*) FILTER (WHERE v = -1) AS not_applied,
+         count(*) FILTER (WHERE v IS NULL) AS unknown
+  FROM lng GROUP BY GROUPING SETS ((model, strategy), (strategy)))"""
+
+ORACLE["top_strategy_combos"] = _with(TAGGED, PARSED, FLAGS, OUTPUTS, LOADED) + f"""
+SELECT model, rank, combination, cnt FROM (
+  SELECT model, combination, cnt, row_number() OVER (PARTITION BY model ORDER BY cnt DESC, combination) AS rank
+  FROM (
+    SELECT CASE WHEN grouping(model) = 1 THEN 'all' ELSE model END AS model,
+           concat_ws(',', strategy_1, strategy_2, strategy_3, strategy_4) AS combination, count(*) AS cnt
+    FROM loaded WHERE {_COMPLETE}
+    GROUP BY GROUPING SETS ((model, concat_ws(',', strategy_1, strategy_2, strategy_3, strategy_4)),
+                            (concat_ws(',', strategy_1, strategy_2, strategy_3, strategy_4)))))
+WHERE rank <= 10"""
+
+ORACLE["strategy_agreement"] = _with(TAGGED, PARSED, FLAGS, OUTPUTS, LOADED) + f"""
+SELECT model, count(*) AS n_complete, round(avg(CASE WHEN {_AGREE} THEN 100.0 ELSE 0.0 END), 6) AS agreement_pct
+FROM loaded WHERE {_COMPLETE} GROUP BY model"""
+
+ORACLE["notnull_share"] = _with(TAGGED, PARSED, FLAGS, OUTPUTS, """lng AS (
+  SELECT model, 'strategy_1' AS "column", strategy_1 AS v FROM outputs UNION ALL
+  SELECT model, 'strategy_2', strategy_2 FROM outputs UNION ALL
+  SELECT model, 'strategy_3', strategy_3 FROM outputs UNION ALL
+  SELECT model, 'strategy_4', strategy_4 FROM outputs UNION ALL
+  SELECT model, 'step_2', step_2 FROM outputs)""") + """
+SELECT model, "column", count(v) AS n_notnull, count(*) AS n_rows, round(100.0 * count(v) / count(*), 6) AS pct_notnull
+FROM lng GROUP BY model, "column\""""
+
+ORACLE["group_mean_median"] = _with(PANEL) + """
+SELECT category, model, round(avg(score), 6) AS mean, round(median(score), 6) AS median
+FROM panel_long GROUP BY category, model"""
+
+_DESCR = """round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(stddev_samp(score), 6) AS std,
+       min(score) AS min, max(score) AS max, count(score) AS count"""
+ORACLE["ordinal_stats"] = _with(PANEL) + f"SELECT category, model, {_DESCR} FROM panel_long GROUP BY category, model"
+ORACLE["ordinal_stats_global"] = _with(PANEL) + f"SELECT category, {_DESCR} FROM panel_long GROUP BY category"
+
+ORACLE["nominal_counts"] = """
+WITH w AS (SELECT 'm' || CAST(doc_id % 3 AS VARCHAR) AS model, CAST(quality AS VARCHAR) AS quality,
+                  CASE WHEN doc_id % 9 = 0 THEN 'n/a' ELSE CAST(toxic AS VARCHAR) END AS toxic FROM labels),
+l AS (SELECT model, 'quality' AS "column", quality AS raw FROM w UNION ALL SELECT model, 'toxic', toxic FROM w)
+SELECT model, "column", CASE WHEN raw = 'n/a' THEN NULL ELSE raw END AS value, count(*) AS cnt
+FROM l WHERE raw IS NOT NULL AND raw <> 'n/a' GROUP BY ALL"""
+
+ORACLE["pivot_scores"] = _with(PANEL) + """
+SELECT subject,
+  first(score) FILTER (WHERE model = 'click') AS click, first(score) FILTER (WHERE model = 'error') AS error,
+  first(score) FILTER (WHERE model = 'purchase') AS purchase, first(score) FILTER (WHERE model = 'signup') AS signup,
+  first(score) FILTER (WHERE model = 'view') AS "view"
+FROM panel_long WHERE category = 'c_count' GROUP BY subject"""
+
+_FRIEDMAN = """kk AS (SELECT category, count(DISTINCT model) AS k FROM panel_long GROUP BY category),
+complete AS (
+  SELECT s.category, s.subject, kk.k FROM (SELECT category, subject, count(score) AS m FROM panel_long GROUP BY ALL) s
+  JOIN kk USING (category) WHERE s.m = kk.k),
+rows_ AS (SELECT p.*, c.k FROM panel_long p JOIN complete c USING (category, subject) WHERE p.score IS NOT NULL),
+ranked AS (
+  SELECT category, model, k, rank() OVER (PARTITION BY category, subject ORDER BY score)
+         + (count(*) OVER (PARTITION BY category, subject, score) - 1) / 2.0 AS r FROM rows_),
+fr AS (
+  SELECT category, k, n, ssbn, tt, 1 - tt / (k * (k * k - 1) * n) AS c FROM (
+    SELECT category, any_value(k) AS k, sum(rj * rj) AS ssbn FROM (
+      SELECT category, model, any_value(k) AS k, sum(r) AS rj FROM ranked GROUP BY ALL) GROUP BY category)
+  JOIN (SELECT category, count(*) AS n FROM complete GROUP BY category) USING (category)
+  JOIN (SELECT category, sum(t * t * t - t) AS tt FROM (
+          SELECT category, subject, score, count(*) AS t FROM rows_ GROUP BY ALL) GROUP BY category) USING (category)
+  WHERE n >= 1 AND k >= 3),
+fstat AS (
+  SELECT category, k, n, CASE WHEN c = 0 THEN NULL ELSE (12.0 / (k * n * (k + 1)) * ssbn - 3 * n * (k + 1)) / c END AS chi
+  FROM fr)"""
+
+ORACLE["friedman"] = _with(PANEL, _FRIEDMAN) + f"""
+SELECT category, round(chi, 6) AS statistic, round({_chi2_sf_even('round(chi, 6)', 'k - 1')}, 6) AS p_value,
+       round(round(chi, 6) / (n * (k - 1)), 6) AS kendall_w, n AS n_subjects, CAST(k AS BIGINT) AS k_models
+FROM fstat"""
+
+
+def _wilcoxon(gated: bool) -> str:
+    gate = "AND category IN (SELECT category FROM fstat2 WHERE p < 0.05)" if gated else ""
+    return f"""s AS (SELECT category, subject, model, score FROM panel_long WHERE score IS NOT NULL {gate}),
+pairs AS (
+  SELECT a.category, a.model AS model_1, b.model AS model_2, a.score - b.score AS d
+  FROM s a JOIN s b ON a.category = b.category AND a.subject = b.subject AND a.model < b.model),
+sup AS (SELECT category, model_1, model_2, count(*) AS support, count(*) FILTER (WHERE d = 0) AS n_zero
+        FROM pairs GROUP BY ALL),
+hist AS (
+  SELECT *, coalesce(sum(t) OVER (PARTITION BY category, model_1, model_2 ORDER BY ad
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2.0 AS mid
+  FROM (SELECT category, model_1, model_2, abs(d) AS ad, count(*) AS t, count(*) FILTER (WHERE d > 0) AS pos
+        FROM pairs WHERE d <> 0 GROUP BY ALL)),
+sums AS (
+  SELECT category, model_1, model_2, sum(pos * mid) AS rp, sum((t - pos) * mid) AS rm, sum(t) AS nr,
+         sum(t * t * t - t) AS tt FROM hist GROUP BY ALL),
+wt AS (
+  SELECT sup.*, least(rp, rm) AS w, rp - rm AS dir, nr, tt,
+         (least(rp, rm) - nr * (nr + 1) / 4.0) / sqrt((nr * (nr + 1) * (2 * nr + 1) - 0.5 * tt) / 24.0) AS zc,
+         (least(rp, rm) - support * (support + 1) / 4.0) / sqrt(support * (support + 1) * (2 * support + 1) / 24.0) AS zs
+  FROM sup LEFT JOIN sums USING (category, model_1, model_2)),
+wp AS (SELECT *, CASE WHEN nr IS NULL THEN NULL ELSE {_erfc('abs(zc) / sqrt(2.0)')} END AS p FROM wt),
+wb AS (SELECT *, least(1.0, p * count(p) OVER (PARTITION BY category)) AS pb FROM wp)"""
+
+
+_WSEL = """SELECT category, model_1, model_2, model_1 || ' vs ' || model_2 AS comparison, round(w, 6) AS w_stat,
+       round(zs, 6) AS z_stat, round(zc, 6) AS z_corrected, round(p, 6) AS p_value, round(pb, 6) AS p_bonferroni,
+       round(abs(zs) / sqrt(support), 6) AS effect_size, support,
+       CASE WHEN p IS NULL THEN NULL WHEN p >= 0.05 THEN 'No significant difference'
+            WHEN dir > 0 THEN model_1 ELSE model_2 END AS better_model
+FROM wb"""
+
+ORACLE["wilcoxon_pairs"] = _with(PANEL, _wilcoxon(False)) + _WSEL
+
+ORACLE["bonferroni"] = _with(PANEL, _wilcoxon(False)) + """
+SELECT category, model_1 || ' vs ' || model_2 AS comparison, round(p, 6) AS p_value,
+       round(least(1.0, round(p, 6) * count(p) OVER (PARTITION BY category)), 6) AS p_adjusted FROM wb"""
+
+ORACLE["significance_report"] = _with(PANEL, _FRIEDMAN, f"""fstat2 AS (
+  SELECT category, k, n, round(chi, 6) AS chi6, {_chi2_sf_even('round(chi, 6)', 'k - 1')} AS p FROM fstat)""",
+                                      _wilcoxon(True)) + """
+SELECT category, 'Friedman' AS comparison, chi6 AS statistic, round(p, 6) AS p_value,
+       round(chi6 / (n * (k - 1)), 6) AS effect_size, n AS support, CAST(NULL AS VARCHAR) AS better_model FROM fstat2
+UNION ALL
+SELECT category, model_1 || ' vs ' || model_2, round(zs, 6), round(pb, 6), round(abs(zs) / sqrt(support), 6), support,
+       CASE WHEN p IS NULL THEN NULL WHEN p >= 0.05 THEN 'No significant difference'
+            WHEN dir > 0 THEN model_1 ELSE model_2 END
+FROM wb"""
+
+ORACLE["paired_predictions"] = _with(PREDICTIONS) + """
+SELECT row_id, first(y_true) AS y_true, max(y_pred) FILTER (WHERE model = 'm0') AS m0,
+       max(y_pred) FILTER (WHERE model = 'm1') AS m1, max(y_pred) FILTER (WHERE model = 'm2') AS m2
+FROM predictions GROUP BY row_id
+HAVING count(*) FILTER (WHERE model = 'm0') > 0 AND count(*) FILTER (WHERE model = 'm1') > 0
+   AND count(*) FILTER (WHERE model = 'm2') > 0"""
+
+_CONT = """ok AS (SELECT row_id, model, coalesce(y_pred = y_true, false) AS ok FROM predictions),
+cont AS (
+  SELECT a.model AS model_1, b.model AS model_2,
+         count(*) FILTER (WHERE a.ok AND b.ok) AS n11, count(*) FILTER (WHERE a.ok AND NOT b.ok) AS n10,
+         count(*) FILTER (WHERE NOT a.ok AND b.ok) AS n01, count(*) FILTER (WHERE NOT a.ok AND NOT b.ok) AS n00
+  FROM ok a JOIN ok b ON a.row_id = b.row_id AND a.model < b.model GROUP BY ALL)"""
+
+ORACLE["contingency_pairs"] = _with(PREDICTIONS, _CONT) + "SELECT * FROM cont"
+
+ORACLE["mcnemar_pairs"] = _with(PREDICTIONS, _CONT, """mc AS (
+  SELECT *, least(n10, n01) AS statistic,
+         least(1.0, 2.0 * list_sum(list_transform(range(0, least(n10, n01) + 1), lambda i:
+           exp(lgamma(n10 + n01 + 1) - lgamma(i + 1) - lgamma(n10 + n01 - i + 1) - (n10 + n01) * ln(2.0))))) AS p
+  FROM cont)""") + """
+SELECT model_1, model_2, n11, n10, n01, n00, statistic, round(p, 6) AS p_value,
+       round(least(1.0, p * count(p) OVER ()), 6) AS p_bonferroni FROM mc"""
+
+ORACLE["binary_prf"] = _with(PREDICTIONS) + """
+SELECT model, tp, fp, fn,
+       round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) AS precision,
+       round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS recall,
+       round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1
+FROM (SELECT model, count(*) FILTER (WHERE y_true = 1.0 AND y_pred = 1.0) AS tp,
+             count(*) FILTER (WHERE y_true <> 1.0 AND y_pred = 1.0) AS fp,
+             count(*) FILTER (WHERE y_true = 1.0 AND y_pred <> 1.0) AS fn FROM predictions GROUP BY model)"""
+
+ORACLE["classification_report"] = _with(PREDICTIONS, """labels_ AS (
+  SELECT model, y_true AS label FROM predictions UNION SELECT model, y_pred FROM predictions),
+per AS (
+  SELECT l.model, l.label,
+    (SELECT count(*) FROM predictions p WHERE p.model = l.model AND p.y_true = l.label) AS support,
+    (SELECT count(*) FROM predictions p WHERE p.model = l.model AND p.y_true = l.label AND p.y_pred = l.label) AS tp,
+    (SELECT count(*) FROM predictions p WHERE p.model = l.model AND p.y_pred = l.label) AS npred
+  FROM labels_ l),
+m AS (
+  SELECT *, coalesce(tp / nullif(npred, 0), 0.0) AS pr, coalesce(tp / nullif(support, 0), 0.0) AS rc,
+         coalesce(2.0 * tp / nullif(npred + support, 0), 0.0) AS f FROM per)""") + """
+SELECT model, CAST(label AS VARCHAR) AS label, round(pr, 6) AS precision, round(rc, 6) AS recall, round(f, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM m
+UNION ALL
+SELECT model, 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM m GROUP BY model
+UNION ALL
+SELECT model, 'macro avg', round(avg(pr), 6), round(avg(rc), 6), round(avg(f), 6), CAST(sum(support) AS BIGINT) FROM m GROUP BY model
+UNION ALL
+SELECT model, 'weighted avg', round(sum(pr * support) / sum(support), 6), round(sum(rc * support) / sum(support), 6),
+       round(sum(f * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM m GROUP BY model"""
+
+
+def _alpha(src: str, level: str) -> str:
+    if level == "nominal":
+        d2 = "CASE WHEN x.c = y.c THEN 0.0 ELSE 1.0 END"
+        cum = ""
+    else:
+        d2 = ("pow((CASE WHEN x.cum >= y.cum THEN x.cum - y.cum + y.n_c ELSE y.cum - x.cum + x.n_c END)"
+              " - (x.n_c + y.n_c) / 2.0, 2)")
+        cum = ", sum(n_c) OVER (PARTITION BY category ORDER BY CAST(c AS DOUBLE)) AS cum"
+    return f"""src AS ({src}),
+v AS (SELECT category, unit, v FROM src WHERE v IS NOT NULL),
+dom AS (SELECT category, array_to_string(list_sort(list(DISTINCT CAST(v AS VARCHAR))), ',') AS "values",
+               count(DISTINCT v) AS n_values FROM v GROUP BY category),
+nuc AS (SELECT category, unit, v, count(*) AS n_uc FROM v GROUP BY ALL),
+mu AS (SELECT category, unit, sum(n_uc) AS m_u FROM nuc GROUP BY ALL HAVING sum(n_uc) >= 2),
+nu AS (SELECT nuc.*, mu.m_u FROM nuc JOIN mu USING (category, unit)),
+o AS (SELECT a.category, a.v AS c, b.v AS k,
+             sum(a.n_uc * (b.n_uc - CASE WHEN a.v = b.v THEN 1 ELSE 0 END) / (a.m_u - 1)) AS o
+      FROM nu a JOIN nu b ON a.category = b.category AND a.unit = b.unit GROUP BY ALL),
+nc AS (SELECT category, c, n_c{cum} FROM (SELECT category, c, sum(o) AS n_c FROM o GROUP BY ALL)),
+pr AS (SELECT x.category, x.c, y.c AS k, x.n_c, y.n_c AS n_k, {d2} AS d2
+       FROM nc x JOIN nc y ON x.category = y.category),
+res AS (
+  SELECT pr.category, 1 - (n.n - 1) * sum(coalesce(o.o, 0.0) * d2) / nullif(sum(pr.n_c * pr.n_k * d2), 0) AS alpha
+  FROM pr LEFT JOIN o ON o.category = pr.category AND o.c = pr.c AND o.k = pr.k
+  JOIN (SELECT category, sum(n_c) AS n FROM nc GROUP BY category) n ON n.category = pr.category
+  GROUP BY pr.category, n.n)
+SELECT dom.category, round(res.alpha, 6) AS alpha, dom.n_values, dom."values"
+FROM dom LEFT JOIN res USING (category) WHERE dom.n_values >= 2"""
+
+
+_ORD_SRC = ("SELECT category, subject AS unit, model AS rater, "
+            "nullif(TRY_CAST(CAST(score AS VARCHAR) AS DOUBLE), 0) AS v FROM panel_long")
+_NOM_SRC = ("SELECT 'quality' AS category, l.doc_id AS unit, 'r1' AS rater, CAST(l.quality AS VARCHAR) AS v "
+            "FROM labels l JOIN documents d USING (doc_id) UNION ALL "
+            "SELECT 'quality', l.doc_id, 'r2', CASE WHEN d.n_chars > 500 THEN '1' ELSE '0' END "
+            "FROM labels l JOIN documents d USING (doc_id)")
+_BIN_SRC = ("SELECT category, subject AS unit, model AS rater, "
+            "CASE WHEN nullif(score, 0) IS NULL THEN '0' ELSE '1' END AS v FROM panel_long")
+
+ORACLE["alpha_ordinal"] = "WITH " + PANEL + ",\n" + _alpha(_ORD_SRC, "ordinal")
+ORACLE["alpha_nominal"] = "WITH " + _alpha(_NOM_SRC, "nominal")
+ORACLE["alpha_binary"] = "WITH " + PANEL + ",\n" + _alpha(_BIN_SRC, "nominal")
+ORACLE["alpha_report"] = "\nUNION ALL\n".join(
+    f"SELECT *, '{lvl}' AS level FROM ({ORACLE[k]})" for k, lvl in
+    [("alpha_ordinal", "ordinal"), ("alpha_nominal", "nominal"), ("alpha_binary", "binary")])
