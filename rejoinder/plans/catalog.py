@@ -373,3 +373,290 @@ def q_alpha_report(spark, d):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# --- extraction, tokens ------------------------------------------------------------
+from rejoinder.functions import text as T  # noqa: E402
+from rejoinder.operators import extraction as EX  # noqa: E402
+
+
+def _decorated(spark, d):
+    return C.corpora(X.decorated(spark, d), group_cols=G, with_random=False)
+
+
+@register("emoji_stats")
+def q_emoji_stats(spark, d):
+    return EX.emoji_stats(_decorated(spark, d))
+
+
+@register("hashtag_stats")
+def q_hashtag_stats(spark, d):
+    return EX.hashtag_stats(_decorated(spark, d))
+
+
+@register("url_stats")
+def q_url_stats(spark, d):
+    return EX.url_stats(_decorated(spark, d))
+
+
+@register("hashtag_bag")
+def q_hashtag_bag(spark, d):
+    return EX.item_bag(_decorated(spark, d), T.hashtags)
+
+
+@register("page_urls")
+def q_page_urls(spark, d):
+    p = read_table(spark, d, "pages")
+    u, h = T.urls("url"), T.hashtags("url")
+    return p.select("page_id", F.size(u).alias("n_urls"), F.get(u, 0).alias("first_url"),
+                    F.size(h).alias("n_hashtags"), F.array_join(h, " ").alias("hashtags"))
+
+
+@register("ngrams")
+def q_ngrams(spark, d):
+    doc = read_table(spark, d, "documents").select("doc_id", T.ws_tokens("text").alias("tok"))
+    b, t = T.ngrams("tok", 2), T.ngrams("tok", 3)
+    return doc.select(F.col("doc_id").alias("row_id"), F.size(b).alias("n_bigrams"),
+                      F.size(F.array_distinct(b)).alias("n_distinct_bigrams"), F.size(t).alias("n_trigrams"),
+                      F.get(t, 0).alias("first_trigram"))
+
+
+@register("simple_tokens")
+def q_simple_tokens(spark, d):
+    doc = read_table(spark, d, "documents").select("doc_id", T.simple_tokens("text").alias("w"))
+    return doc.select(F.col("doc_id").alias("row_id"), F.size("w").alias("n_tokens"),
+                      F.get("w", 0).alias("first_token"), F.try_element_at("w", F.lit(-1)).alias("last_token"))
+
+
+@register("sentences")
+def q_sentences(spark, d):
+    doc = read_table(spark, d, "documents").select("doc_id", T.sentences("text").alias("s"))
+    return doc.select(F.col("doc_id").alias("row_id"), F.size("s").alias("n_sentences"),
+                      F.aggregate("s", F.lit(0), lambda a, x: F.greatest(a, F.length(x))).alias("max_sentence_chars"))
+
+
+@register("jaccard_pairs")
+def q_jaccard_pairs(spark, d):
+    dl = X.dialogue(spark, d)
+    a, b = F.array_distinct(T.ws_tokens("message")), F.array_distinct(T.ws_tokens("response"))
+    return dl.select("conv_id", "turn", F.round(P.jaccard_pairs(a, b), 6).alias("jaccard"))
+
+
+# --- embeddings ------------------------------------------------------------
+from rejoinder.operators import stats as ST2  # noqa: E402
+from rejoinder.operators import vectors as V  # noqa: E402
+
+MODELS3 = ["m0", "m1", "m2"]
+
+
+@register("semantic_max")
+def q_semantic_max(spark, d):
+    m = V.semantic_max(X.vectors(spark, d))
+    return m.select("theme", "model", "vec_id", F.round("max_sim", 6).alias("max_sim"))
+
+
+@register("semantic_max_stats")
+def q_semantic_max_stats(spark, d):
+    return V.semantic_max_stats(X.vectors(spark, d))
+
+
+@register("semantic_baseline")
+def q_semantic_baseline(spark, d):
+    v = X.vectors(spark, d).dropDuplicates(["embedding"])
+    scoped = v.select(F.lit("all").alias("scope"), "vec_id", "embedding").unionByName(
+        v.select(F.concat(F.lit("theme="), F.col("theme").cast("string")).alias("scope"), "vec_id", "embedding"))
+    return V.semantic_max_stats(scoped, group_cols=["scope"])
+
+
+@register("pair_similarity")
+def q_pair_similarity(spark, d):
+    return V.pair_similarity(X.vectors(spark, d), MODELS3)
+
+
+@register("pair_similarity_describe")
+def q_pair_similarity_describe(spark, d):
+    long = V.pair_similarity_long(X.vectors(spark, d))
+    return ST2.describe_columns(long.select("pair", F.col("similarity").alias("value")))
+
+
+@register("embed_text")
+def q_embed_text(spark, d):
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    e = V.embed_text(docs, num_features=1 << 12)
+    return e.select("row_id", F.size("embedding").alias("dim"),
+                    F.size(F.filter("embedding", lambda x: x != 0)).alias("nonzero"))
+
+
+# --- entities and sentiment --------------------------------------------------------
+from rejoinder.operators import entities as EN  # noqa: E402
+from rejoinder.operators import sentiment as SE  # noqa: E402
+
+
+def _mentions(spark, d):
+    return EN.extract_entities(X.entity_items(spark, d), X.gazetteer(spark, d), max_tokens=2)
+
+
+def _norm(spark, d):
+    return EN.normalize_entities(_mentions(spark, d), X.alias_dim(spark, d))
+
+
+@register("entity_extract")
+def q_entity_extract(spark, d):
+    return _mentions(spark, d)
+
+
+@register("entity_counts")
+def q_entity_counts(spark, d):
+    return EN.entity_counts(X.entity_items(spark, d), _mentions(spark, d))
+
+
+@register("entity_normalize")
+def q_entity_normalize(spark, d):
+    return _norm(spark, d)
+
+
+@register("strip_article")
+def q_strip_article(spark, d):
+    m = _mentions(spark, d).where(F.col("kind") == "organization").select("entity").distinct()
+    return m.select("entity", EN.strip_article("entity").alias("stripped"),
+                    EN.strip_article("entity", compat=True).alias("stripped_compat"))
+
+
+@register("entity_diff_item")
+def q_entity_diff_item(spark, d):
+    return EN.diff_itemwise(_norm(spark, d))
+
+
+@register("entity_bag")
+def q_entity_bag(spark, d):
+    return EN.entity_bag(_norm(spark, d))
+
+
+@register("entity_diff_group")
+def q_entity_diff_group(spark, d):
+    return EN.diff_groupwise(_norm(spark, d))
+
+
+@register("entity_frequency")
+def q_entity_frequency(spark, d):
+    return EN.entity_frequency(EN.diff_itemwise(_norm(spark, d)), models=MODELS3)
+
+
+@register("entity_universe")
+def q_entity_universe(spark, d):
+    return EN.entity_universe(_norm(spark, d))
+
+
+@register("sentiment_counts")
+def q_sentiment_counts(spark, d):
+    docs = read_table(spark, d, "documents").select("text")
+    lex = SE.frequent_word_lexicon(docs, k=40)            # bounded: 40 rows
+    return SE.sentiment_counts(_corpus(spark, d), lex, broadcast_lexicon=True)
+
+
+# --- generation ---------------------------------------------------------------
+from rejoinder.operators import generate as GE  # noqa: E402
+
+SYSTEM_PROMPT = "Write a short counter speech."
+
+
+@register("build_prompts")
+def q_build_prompts(spark, d):
+    items = X.dialogue(spark, d)
+    out = None
+    for layout in GE.LAYOUTS:
+        p = GE.build_prompts(items, system_prompt=SYSTEM_PROMPT, layout=layout, user_template="Message: %s",
+                             assistant_prefix="Counter speech:").select(
+            "conv_id", "turn", F.lit(layout).alias("layout"), F.size("prompt").alias("n_messages"),
+            F.array_join(F.transform("prompt", lambda m: m["role"]), ",").alias("roles"),
+            F.array_join(F.transform("prompt", lambda m: m["content"]), "|").alias("content"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@register("batch_generate")
+def q_batch_generate(spark, d):
+    items = GE.build_prompts(X.dialogue(spark, d), system_prompt=SYSTEM_PROMPT, layout="system_user")
+    return GE.batch_generate(items).select("conv_id", "turn", "model_output")
+
+
+# --- sources and sinks -----------------------------------------------------------
+from rejoinder.sources import files as FS  # noqa: E402
+
+RESP_SCHEMA = "row_id BIGINT, model STRING, theme STRING, response STRING"
+
+
+def _csv_roundtrip(spark, d, sep):
+    r = X.responses(spark, d).select("row_id", "model", "theme", "response")
+    path = FS.scratch_path(spark, "csv")
+    FS.write_csv(r, path, sep=sep)
+    return FS.read_csv(spark, path, RESP_SCHEMA, sep=sep)
+
+
+@register("io_csv_roundtrip")
+def q_io_csv_roundtrip(spark, d):
+    return _csv_roundtrip(spark, d, ",")
+
+
+@register("io_csv_semicolon")
+def q_io_csv_semicolon(spark, d):
+    return _csv_roundtrip(spark, d, ";")
+
+
+@register("sink_by_theme")
+def q_sink_by_theme(spark, d):
+    path = FS.scratch_path(spark, "by-theme")
+    FS.write_by_theme(X.responses(spark, d).select("row_id", "model", "theme", "response"), path)
+    return FS.read_theme(spark, path, "fr").select("row_id", "model", "theme", "response")
+
+
+@register("report_sink")
+def q_report_sink(spark, d):
+    path = FS.scratch_path(spark, "report")
+    FS.write_report(q_strategy_counts(spark, d), path, "json")
+    return spark.read.schema("model STRING, strategy STRING, applied BIGINT, not_applied BIGINT, unknown BIGINT, "
+                             "applied_rel_pct DOUBLE").json(path)
+
+
+@register("parse_nested_list")
+def q_parse_nested_list(spark, d):
+    doc = read_table(spark, d, "documents")
+    s = F.concat(F.lit("[['"), F.col("source"), F.lit("', '"), F.col("lang"), F.lit("'], [], ['"),
+                 F.col("doc_id").cast("string"), F.lit("']]"))
+    x = doc.select(F.col("doc_id").alias("row_id"), FS.parse_nested_list(s).alias("v"))
+    return x.select("row_id", F.size("v").alias("n_items"), F.size(F.flatten("v")).alias("n_total"),
+                    F.get(F.get("v", 0), 1).alias("second"))
+
+
+@register("model_from_path")
+def q_model_from_path(spark, d):
+    t = X.tagged(spark, d)
+    base = FS.scratch_path(spark, "by-model")
+    for k, name in enumerate(["gpt4o", "llama3", "mistral"]):
+        t.where(F.col("row_id") % 3 == k).select("row_id").write.mode("overwrite").parquet(
+            f"{base}/ct_counter_speech_{name}.parquet")
+    r = spark.read.parquet(f"{base}/*.parquet")
+    return r.select("row_id", FS.model_from_path().alias("model_label"))
+
+
+# --- flagship: the per-(theme, model) diversity report ---------------------------
+
+@register("diversity_report")
+def q_diversity_report(spark, d):
+    """One row per (theme, model) incl. the random pseudo-model: corpus and response-level diversity.
+
+    The corpus is shared by all metric plans; each metric is its own aggregate
+    and the small per-group results are joined on the group key at the end.
+    """
+    corpus = _corpus(spark, d)
+    parts = [D.distinct_ngrams(corpus, group_cols=G),
+             SB.self_bleu(corpus, group_cols=G),
+             P.jaccard_diversity(corpus, group_cols=G),
+             D.distinct_sentence_starts(corpus, group_cols=G),
+             D.sentence_shape(corpus, group_cols=G),
+             D.text_length(corpus, group_cols=G),
+             D.response_distinct_n(corpus, group_cols=G, n=2)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, list(G), "left")
+    return out

@@ -186,3 +186,29 @@ def overlays(spark: SparkSession, d: str) -> list[DataFrame]:
         .withColumn("hate_speech_id", F.when(F.col("row_id") % 4 == 0, F.lit(None))
                     .otherwise(F.col("hate_speech_id")))
     return [sample, ann2, ann1]
+
+
+def entity_items(spark: SparkSession, d: str) -> DataFrame:
+    """Message/response items from the dialogue pairs: (row_id, model, message, response)."""
+    dl = dialogue(spark, d)
+    return dl.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
+                     F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")).alias("model"),
+                     "message", "response")
+
+
+def gazetteer(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, alias): every capitalised word of the documents; even length = person, odd = organisation."""
+    from rejoinder.functions.text import simple_tokens
+    doc = read_table(spark, d, "documents")
+    w = doc.select(F.explode(simple_tokens("text")).alias("alias")).where(
+        F.col("alias").rlike(r"^\p{Lu}\p{Ll}+$")).distinct()
+    return w.select(F.when(F.length("alias") % 2 == 0, F.lit("person")).otherwise(F.lit("organization"))
+                    .alias("kind"), "alias")
+
+
+def alias_dim(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, alias, canonical): normalisation dictionary; a null canonical means 'drop'."""
+    g = gazetteer(spark, d).where(F.length("alias") % 3 != 0)
+    canon = (F.when(F.length("alias") % 5 == 0, F.lit(None).cast("string"))
+             .when(F.length("alias") % 5 == 1, F.upper("alias")).otherwise(F.lower("alias")))
+    return g.select("kind", "alias", canon.alias("canonical"))

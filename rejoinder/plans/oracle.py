@@ -594,3 +594,212 @@ ORACLE["alpha_binary"] = "WITH " + PANEL + ",\n" + _alpha(_BIN_SRC, "nominal")
 ORACLE["alpha_report"] = "\nUNION ALL\n".join(
     f"SELECT *, '{lvl}' AS level FROM ({ORACLE[k]})" for k, lvl in
     [("alpha_ordinal", "ordinal"), ("alpha_nominal", "nominal"), ("alpha_binary", "binary")])
+
+DECORATED = """corpus AS (
+  SELECT lang AS theme, 'm' || CAST(doc_id % 3 AS VARCHAR) AS model, doc_id AS row_id,
+         trim(text || ' #' || source || ' https://x.org/' || CAST(doc_id AS VARCHAR)
+              || CASE WHEN doc_id % 3 = 0 THEN ' ' || chr(128512) ELSE '?' END, ' "') AS text
+  FROM documents)"""
+
+_EMOJI_CLASS = "[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F700}-\\x{1F77F}" \
+               "\\x{1F780}-\\x{1F7FF}\\x{1F800}-\\x{1F8FF}\\x{1F900}-\\x{1F9FF}\\x{1FA00}-\\x{1FA6F}" \
+               "\\x{1FA70}-\\x{1FAFF}\\x{2600}-\\x{26FF}\\x{2700}-\\x{27BF}\\x{1F1E0}-\\x{1F1FF}]"
+HASHTAG_RE = f"#{W}+"
+URL_RE = r"https?://\S+"
+
+
+def _extract_stats(pattern: str, name: str) -> str:
+    return _with(DECORATED) + f""", x AS (SELECT theme, model, row_id, regexp_extract_all(text, '{pattern}') AS items FROM corpus)
+SELECT a.theme, a.model, a.texts_with_{name}, a.n_{name}, coalesce(b.nd, 0) AS n_distinct_{name} FROM
+  (SELECT theme, model, count(*) FILTER (WHERE len(items) > 0) AS texts_with_{name},
+          CAST(sum(len(items)) AS BIGINT) AS n_{name} FROM x GROUP BY ALL) a
+  LEFT JOIN (SELECT theme, model, count(DISTINCT item) AS nd FROM (SELECT theme, model, unnest(items) AS item FROM x)
+             GROUP BY ALL) b USING (theme, model)"""
+
+
+ORACLE["emoji_stats"] = _extract_stats(_EMOJI_CLASS, "emojis")
+ORACLE["hashtag_stats"] = _extract_stats(HASHTAG_RE, "hashtags")
+ORACLE["url_stats"] = _extract_stats(URL_RE, "urls")
+ORACLE["hashtag_bag"] = _with(DECORATED) + f"""
+SELECT theme, model, item, count(*) AS cnt FROM (
+  SELECT theme, model, unnest(regexp_extract_all(text, '{HASHTAG_RE}')) AS item FROM corpus) GROUP BY ALL"""
+
+ORACLE["page_urls"] = f"""
+SELECT page_id, len(regexp_extract_all(url, '{URL_RE}')) AS n_urls, regexp_extract_all(url, '{URL_RE}')[1] AS first_url,
+       len(regexp_extract_all(url, '{HASHTAG_RE}')) AS n_hashtags,
+       array_to_string(regexp_extract_all(url, '{HASHTAG_RE}'), ' ') AS hashtags
+FROM pages"""
+
+ORACLE["ngrams"] = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS t FROM documents),
+g AS (SELECT doc_id, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) AS b,
+             list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) AS tri FROM t)
+SELECT doc_id AS row_id, len(b) AS n_bigrams, len(list_distinct(b)) AS n_distinct_bigrams, len(tri) AS n_trigrams,
+       tri[1] AS first_trigram FROM g"""
+
+ORACLE["simple_tokens"] = f"""
+SELECT doc_id AS row_id, len(w) AS n_tokens, w[1] AS first_token, w[-1] AS last_token
+FROM (SELECT doc_id, regexp_extract_all(text, '{SIMPLE_TOKEN}') AS w FROM documents)"""
+
+ORACLE["sentences"] = r"""
+SELECT doc_id AS row_id, len(ss) AS n_sentences, coalesce(list_max(list_transform(ss, lambda s: length(s))), 0) AS max_sentence_chars
+FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?]+)\s+', '\1' || chr(1), 'g'), chr(1)),
+                                 lambda s: regexp_matches(s, '\S')) AS ss FROM documents)"""
+
+DIALOGUE = """dialogue AS (
+  SELECT conv_id, turn, text AS message, next_text AS response FROM (
+    SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  WHERE role = 'user' AND next_role = 'assistant')"""
+
+ORACLE["jaccard_pairs"] = _with(DIALOGUE) + r"""
+SELECT conv_id, turn, round(CASE WHEN len(list_distinct(a || b)) = 0 THEN 0.0
+                                 ELSE len(list_intersect(a, b)) / len(list_distinct(a || b)) END, 6) AS jaccard
+FROM (SELECT conv_id, turn,
+             list_distinct(list_filter(regexp_split_to_array(message, '\s+'), lambda x: x <> '')) AS a,
+             list_distinct(list_filter(regexp_split_to_array(response, '\s+'), lambda x: x <> '')) AS b FROM dialogue)"""
+
+VECTORS = """vectors AS (
+  SELECT vec_id, vec_id // 3 AS message_id, 'm' || CAST(vec_id % 3 AS VARCHAR) AS model, label AS theme,
+         CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"""
+
+_COS = ("CASE WHEN list_dot_product(a.e, a.e) = 0 OR list_dot_product(b.e, b.e) = 0 THEN 0.0 ELSE "
+        "list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) END")
+
+ORACLE["semantic_max"] = _with(VECTORS) + f"""
+SELECT a.theme, a.model, a.vec_id, round(max({_COS}), 6) AS max_sim
+FROM vectors a LEFT JOIN vectors b ON a.theme = b.theme AND a.model = b.model AND a.vec_id <> b.vec_id
+GROUP BY ALL"""
+
+ORACLE["semantic_max_stats"] = _with(VECTORS) + f"""
+SELECT theme, model, round(avg(m), 6) AS semantic_similarity_mean, round(stddev_pop(m), 6) AS semantic_similarity_std,
+       count(*) AS n
+FROM (SELECT a.theme, a.model, a.vec_id, max({_COS}) AS m
+      FROM vectors a LEFT JOIN vectors b ON a.theme = b.theme AND a.model = b.model AND a.vec_id <> b.vec_id
+      GROUP BY ALL) GROUP BY ALL"""
+
+ORACLE["semantic_baseline"] = _with(VECTORS) + f""", dv AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY vec_id) AS rn FROM vectors) WHERE rn = 1),
+sc AS (SELECT 'all' AS scope, vec_id, e FROM dv UNION ALL SELECT 'theme=' || CAST(theme AS VARCHAR), vec_id, e FROM dv)
+SELECT scope, round(avg(m), 6) AS semantic_similarity_mean, round(stddev_pop(m), 6) AS semantic_similarity_std,
+       count(*) AS n
+FROM (SELECT a.scope, a.vec_id, max({_COS}) AS m
+      FROM sc a LEFT JOIN sc b ON a.scope = b.scope AND a.vec_id <> b.vec_id GROUP BY ALL) GROUP BY scope"""
+
+_PAIRS = f"""pl AS (
+  SELECT a.message_id, a.model || '_vs_' || b.model AS pair, {_COS} AS similarity
+  FROM vectors a JOIN vectors b ON a.message_id = b.message_id AND a.model < b.model)"""
+
+ORACLE["pair_similarity"] = _with(VECTORS, _PAIRS) + """
+SELECT message_id, round(first(similarity) FILTER (WHERE pair = 'm0_vs_m1'), 6) AS m0_vs_m1,
+       round(first(similarity) FILTER (WHERE pair = 'm0_vs_m2'), 6) AS m0_vs_m2,
+       round(first(similarity) FILTER (WHERE pair = 'm1_vs_m2'), 6) AS m1_vs_m2
+FROM pl GROUP BY message_id"""
+
+ORACLE["pair_similarity_describe"] = _with(VECTORS, _PAIRS) + """
+SELECT pair, count(similarity) AS count, round(avg(similarity), 6) AS mean, round(stddev_samp(similarity), 6) AS std,
+       round(min(similarity), 6) AS min, round(quantile_cont(similarity, 0.25), 6) AS p25,
+       round(quantile_cont(similarity, 0.5), 6) AS p50, round(quantile_cont(similarity, 0.75), 6) AS p75,
+       round(max(similarity), 6) AS max
+FROM pl GROUP BY pair"""
+
+ENTITIES = _with(DIALOGUE) + f""", items AS (
+  SELECT conv_id * 1000 + turn AS row_id, 'm' || CAST(conv_id % 3 AS VARCHAR) AS model, message, response FROM dialogue),
+gaz AS (
+  SELECT DISTINCT CASE WHEN length(alias) % 2 = 0 THEN 'person' ELSE 'organization' END AS kind, alias
+  FROM (SELECT unnest(regexp_extract_all(text, '{SIMPLE_TOKEN}')) AS alias FROM documents)
+  WHERE regexp_matches(alias, '^\\p{{Lu}}\\p{{Ll}}+$')),
+adim AS (
+  SELECT kind, alias, CASE WHEN length(alias) % 5 = 0 THEN NULL WHEN length(alias) % 5 = 1 THEN upper(alias)
+                           ELSE lower(alias) END AS canonical FROM gaz WHERE length(alias) % 3 <> 0),
+sides AS (
+  SELECT row_id, model, 'message' AS side, regexp_extract_all(message, '{SIMPLE_TOKEN}') AS tok FROM items
+  UNION ALL SELECT row_id, model, 'response', regexp_extract_all(response, '{SIMPLE_TOKEN}') FROM items),
+grams AS (
+  SELECT row_id, model, side, g.pos, g.gram FROM (
+    SELECT row_id, model, side, unnest(list_concat(
+      list_transform(range(1, len(tok) + 1), lambda i: {{'pos': i - 1, 'gram': tok[i]}}),
+      list_transform(range(1, len(tok)), lambda i: {{'pos': i - 1, 'gram': tok[i] || ' ' || tok[i + 1]}}))) AS g
+    FROM sides)),
+mentions AS (
+  SELECT g.row_id, g.model, g.side, CAST(g.pos AS INTEGER) AS pos, z.kind, g.gram AS entity
+  FROM grams g JOIN gaz z ON z.alias = g.gram),
+norm AS (
+  SELECT DISTINCT m.row_id, m.model, m.side, m.kind,
+         CASE WHEN a.alias IS NOT NULL THEN a.canonical ELSE m.entity END AS entity
+  FROM mentions m LEFT JOIN adim a ON a.kind = m.kind AND a.alias = m.entity),
+diff_item AS (
+  SELECT r.row_id, r.model, r.kind, r.entity FROM norm r
+  WHERE r.side = 'response' AND r.entity IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM norm m WHERE m.side = 'message' AND m.entity IS NOT NULL
+                    AND m.row_id = r.row_id AND m.kind = r.kind AND m.entity = r.entity))
+"""
+
+ORACLE["entity_extract"] = ENTITIES + "SELECT row_id, model, side, pos, kind, entity FROM mentions"
+ORACLE["entity_counts"] = ENTITIES + """
+SELECT i.model, i.n_items, coalesce(r.n, 0) AS responses_with_entities
+FROM (SELECT model, count(*) AS n_items FROM items GROUP BY model) i
+LEFT JOIN (SELECT model, count(DISTINCT row_id) AS n FROM mentions WHERE side = 'response' GROUP BY model) r USING (model)"""
+ORACLE["entity_normalize"] = ENTITIES + "SELECT row_id, model, side, kind, entity FROM norm"
+ORACLE["strip_article"] = ENTITIES + r"""
+SELECT entity, regexp_replace(entity, '^(?i)the\s+', '') AS stripped,
+       ltrim(ltrim(entity, 'the'), 'The ') AS stripped_compat
+FROM (SELECT DISTINCT entity FROM mentions WHERE kind = 'organization')"""
+ORACLE["entity_diff_item"] = ENTITIES + "SELECT * FROM diff_item"
+ORACLE["entity_bag"] = ENTITIES + "SELECT model, side, kind, entity, row_id FROM norm WHERE entity IS NOT NULL"
+ORACLE["entity_diff_group"] = ENTITIES + """
+SELECT r.model, r.kind, r.entity, r.row_id FROM norm r
+WHERE r.side = 'response' AND r.entity IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM norm m WHERE m.side = 'message' AND m.entity IS NOT NULL AND m.model = r.model
+                  AND m.kind = r.kind AND m.entity = r.entity)"""
+ORACLE["entity_frequency"] = ENTITIES + """
+SELECT kind, entity, count(*) AS cnt FROM diff_item WHERE model IN ('m0', 'm1', 'm2') GROUP BY ALL"""
+ORACLE["entity_universe"] = ENTITIES + "SELECT DISTINCT kind, entity FROM norm WHERE entity IS NOT NULL"
+
+ORACLE["sentiment_counts"] = _with(RESPONSES, BASE, CORPUS) + f""", lex AS (
+  SELECT word, length(word) % 5 - 2 AS valence FROM (
+    SELECT lower(w) AS word, count(*) AS n FROM (
+      SELECT unnest(regexp_extract_all(text, '{SIMPLE_TOKEN}')) AS w FROM documents) GROUP BY ALL
+    ORDER BY n DESC, word LIMIT 40)),
+s AS (
+  SELECT theme, model, row_id, sum(valence) AS s FROM (
+    SELECT theme, model, row_id, lower(unnest(regexp_extract_all(text, '{SIMPLE_TOKEN}'))) AS word FROM corpus) t
+  JOIN lex USING (word) GROUP BY ALL),
+sc AS (
+  SELECT c.theme, c.model, CAST(coalesce(s.s, 0) AS DOUBLE) / sqrt(coalesce(s.s, 0) * coalesce(s.s, 0) + 15.0) AS compound
+  FROM corpus c LEFT JOIN s USING (theme, model, row_id))
+SELECT theme, model, CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative'
+                          ELSE 'neutral' END AS sentiment, count(*) AS cnt
+FROM sc GROUP BY ALL"""
+
+ORACLE["build_prompts"] = _with(DIALOGUE) + """
+SELECT conv_id, turn, 'system_user_period' AS layout, 2 AS n_messages, 'system,user' AS roles,
+       'Write a short counter speech.|Message: ' || message || '.' AS content FROM dialogue
+UNION ALL
+SELECT conv_id, turn, 'system_user', 2, 'system,user', 'Write a short counter speech.|Message: ' || message FROM dialogue
+UNION ALL
+SELECT conv_id, turn, 'user_with_prefix', 2, 'user,assistant',
+       'Write a short counter speech.' || chr(10) || chr(10) || 'Message: ' || message || '|Counter speech:' FROM dialogue"""
+
+_RESP_SQL = _with(RESPONSES) + "SELECT row_id, model, theme, response FROM responses"
+ORACLE["io_csv_roundtrip"] = _RESP_SQL
+ORACLE["io_csv_semicolon"] = _RESP_SQL
+ORACLE["sink_by_theme"] = _with(RESPONSES) + "SELECT row_id, model, theme, response FROM responses WHERE theme = 'fr'"
+ORACLE["report_sink"] = ORACLE["strategy_counts"]
+ORACLE["parse_nested_list"] = """
+SELECT doc_id AS row_id, 3 AS n_items, 3 AS n_total, lang AS second FROM documents"""
+ORACLE["model_from_path"] = """
+SELECT doc_id AS row_id, CASE doc_id % 3 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'llama' ELSE 'mistral' END AS model_label
+FROM documents"""
+
+
+def _report(keys: list[str]) -> str:
+    subs = [f"({ORACLE[k]}) AS t{i}" for i, k in enumerate(keys)]
+    sql = f"SELECT * FROM {subs[0]}"
+    for s in subs[1:]:
+        sql += f"\nLEFT JOIN {s} USING (theme, model)"
+    return sql
+
+
+ORACLE["diversity_report"] = _report(["distinct_ngrams", "self_bleu", "jaccard_diversity", "distinct_sentence_starts",
+                                      "sentence_shape", "text_length", "response_distinct2"])
