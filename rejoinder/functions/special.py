@@ -1,6 +1,7 @@
 """Tail probabilities as Spark column expressions (no Python UDF, no driver work).
 
-* ``erfc``            — Taylor series below 3, continued fraction above (double precision)
+* ``erfc``            — Taylor series below 3 (absolute error < 1e-13), continued fraction
+                        above (relative error < 1e-12)
 * ``normal_sf2``      — two-sided normal p-value  erfc(|z| / sqrt 2)
 * ``chi2_sf``         — chi-square survival for any integer degrees of freedom
 * ``binom_two_sided`` — exact two-sided sign/McNemar p = min(1, 2 P(X <= s)), X ~ Bin(n, 1/2),

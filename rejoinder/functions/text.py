@@ -25,17 +25,43 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def normalize_ws(c) -> Column:
+    """Whitespace runs -> one space, ends stripped (Unicode whitespace, like ``str.split``)."""
+    return F.regexp_replace(F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
+
+
 def ws_tokens(c) -> Column:
-    """Whitespace tokens, like Python's ``str.split()`` (no empty tokens)."""
-    return F.filter(F.split(_c(c), WS_SPLIT), lambda x: x != "")
+    """Whitespace tokens, like Python's ``str.split()`` (no empty tokens).
+
+    Native expressions only (no lambda), so the projection stays in codegen.
+    """
+    t = normalize_ws(c)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ", -1))
+
+
+def _gram_pattern(n: int) -> str:
+    # after normalize_ws tokens are runs of non-space characters separated by single spaces;
+    # a zero-width lookahead at every token start captures the n tokens starting there
+    if n == 1:
+        return r"([^ ]+)"
+    return r"(?<![^ ])(?=([^ ]+" + "(?: [^ ]+)" * (n - 1) + "))"
+
+
+def text_ngrams(c, n: int) -> Column:
+    """n-grams (space-joined whitespace tokens) of a text column, by one native regex pass."""
+    return F.regexp_extract_all(normalize_ws(c), F.lit(_gram_pattern(n)), F.lit(1))
+
+
+def tagged_text_ngrams(c, orders) -> Column:
+    """``array<struct<n:int, g:array<string>>>``: explode it, then explode ``g`` (no lambdas)."""
+    return F.array(*[F.struct(F.lit(n).alias("n"), text_ngrams(c, n).alias("g")) for n in orders])
 
 
 def ngrams(tokens, n: int, sep: str = " ") -> Column:
     """Array of n-grams (joined by ``sep``) of a token array; empty if too short.
 
-    Built from ``n`` shifted slices zipped together, so each token is read a
-    constant number of times (no per-position re-slicing).  Tokens come from
-    whitespace splitting, so joining with a space is injective.
+    Built from ``n`` shifted slices zipped together.  Prefer ``text_ngrams`` on
+    raw text in hot paths (no per-element lambda).
     """
     t = _c(tokens)
     if n == 1:
@@ -52,12 +78,18 @@ def _tag(n: int):
 
 
 def tagged_ngrams(tokens, orders) -> Column:
-    """``array<struct<n:int, gram:string>>`` for all n in ``orders`` — one explode for all orders."""
+    """``array<struct<n:int, gram:string>>`` for all n in ``orders`` from a token array."""
     t = _c(tokens)
     parts = [F.transform(ngrams(t, n), _tag(n)) for n in orders]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
+def explode_text_ngrams(df, text_col: str, orders, keep) -> "DataFrame":  # noqa: F821
+    """Rows (*keep, n, gram) for every n-gram of every order — two generators, no lambdas."""
+    x = df.select(*keep, F.explode(tagged_text_ngrams(text_col, orders)).alias("_a"))
+    return x.select(*keep, F.col("_a.n").alias("n"), F.explode("_a.g").alias("gram"))
+
+
 def regex_all(c, pattern: str) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(pattern), F.lit(0))
 

@@ -1,0 +1,7 @@
+"""Streaming.
+
+The evaluated workload reads finished files only (no watermark, window,
+trigger or stateful operator), so no streaming operator is provided.  All
+operators are plain DataFrame functions and can be applied per micro-batch
+inside ``foreachBatch`` if responses arrive as a stream.
+"""
