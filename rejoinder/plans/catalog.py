@@ -660,3 +660,31 @@ def q_diversity_report(spark, d):
     for p in parts[1:]:
         out = out.join(p, list(G), "left")
     return out
+
+
+# --- grouping flag, previews, text-embedding similarity ---------------------------
+
+@register("distinct_ngrams_by_model")
+def q_distinct_ngrams_by_model(spark, d):
+    """Same metric with the corpus keyed by model only (themes pooled)."""
+    corpus = C.corpora(X.responses(spark, d), group_cols=("model",), with_random=True)
+    return D.distinct_ngrams(corpus, group_cols=("model",), orders=(1, 2))
+
+
+@register("entity_diff_preview")
+def q_entity_diff_preview(spark, d):
+    """Item-wise entity differences of the first 10 items (by row id) of one model."""
+    from pyspark.sql import Window
+    items = X.entity_items(spark, d).where(F.col("model") == "m0").select("row_id")
+    first = items.orderBy("row_id").limit(10)                      # TakeOrdered: a preview is the feature
+    diff = EN.diff_itemwise(_norm(spark, d)).join(first, "row_id", "left_semi")
+    w = Window.partitionBy("row_id").orderBy("kind", "entity")
+    return diff.select("row_id", "kind", "entity", F.row_number().over(w).alias("k"))
+
+
+@register("semantic_max_text")
+def q_semantic_max_text(spark, d):
+    """Max cosine of each response to any other of its (theme, model) group, on built-in text embeddings."""
+    corpus = _corpus(spark, d, with_random=False)
+    emb = V.embed_text(corpus, num_features=1 << 14)
+    return V.semantic_max_stats(emb.select(*G, F.col("row_id").alias("vec_id"), "embedding"))

@@ -803,3 +803,23 @@ def _report(keys: list[str]) -> str:
 
 ORACLE["diversity_report"] = _report(["distinct_ngrams", "self_bleu", "jaccard_diversity", "distinct_sentence_starts",
                                       "sentence_shape", "text_length", "response_distinct2"])
+
+ORACLE["distinct_ngrams_by_model"] = _with(RESPONSES, BASE, """corpus AS (
+  SELECT model, row_id, text FROM base
+  UNION ALL
+  SELECT 'random' AS model, arg_min(row_id, md5('42:' || CAST(row_id AS VARCHAR))) AS row_id,
+         arg_min(text, md5('42:' || CAST(row_id AS VARCHAR))) AS text
+  FROM base WHERE message_id IS NOT NULL GROUP BY message_id)""", r"""toks AS (
+  SELECT model, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS t FROM corpus),
+g AS (
+  SELECT model, 1 AS n, unnest(t) AS gram FROM toks
+  UNION ALL
+  SELECT model, 2 AS n, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM toks)""") + """
+SELECT model,
+  coalesce(round(count(DISTINCT gram) FILTER (WHERE n = 1) / nullif(count(*) FILTER (WHERE n = 1), 0), 6), 0.0) AS corpus_distinct_1grams,
+  coalesce(round(count(DISTINCT gram) FILTER (WHERE n = 2) / nullif(count(*) FILTER (WHERE n = 2), 0), 6), 0.0) AS corpus_distinct_2grams
+FROM g GROUP BY model"""
+
+ORACLE["entity_diff_preview"] = ENTITIES + """
+SELECT row_id, kind, entity, row_number() OVER (PARTITION BY row_id ORDER BY kind, entity) AS k
+FROM diff_item WHERE row_id IN (SELECT row_id FROM items WHERE model = 'm0' ORDER BY row_id LIMIT 10)"""

@@ -14,8 +14,24 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an under-split scan over the cluster's cores.
+
+    A file written as one row group is a single input split, so everything
+    fused into the scan stage (tokenising, n-gram explosion, map-side
+    aggregation) would run in one task.  When the scan has fewer splits than
+    the default parallelism it is redistributed; a well-split input (the
+    normal case at scale) is left alone.  Column pruning and filters still
+    reach the Parquet reader below the repartition.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan; Catalyst prunes columns and pushes filters into it."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(table_path(sf_dir, name))
+    return spread(spark.read.parquet(table_path(sf_dir, name)))

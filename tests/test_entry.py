@@ -2,7 +2,7 @@
 
 import __spark_entry__ as E
 
-ROWS_ONLY = {"embed_text", "batch_generate"}
+ROWS_ONLY = {"embed_text", "batch_generate", "semantic_max_text"}
 
 
 def test_entry_runs(spark):
