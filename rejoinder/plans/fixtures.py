@@ -191,7 +191,8 @@ def overlays(spark: SparkSession, d: str) -> list[DataFrame]:
 def entity_items(spark: SparkSession, d: str) -> DataFrame:
     """Message/response items from the dialogue pairs: (row_id, model, message, response)."""
     dl = dialogue(spark, d)
-    return dl.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
+    # collision-free item key whatever the number of turns
+    return dl.select(F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("row_id"),
                      F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")).alias("model"),
                      "message", "response")
 

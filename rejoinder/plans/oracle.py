@@ -704,7 +704,8 @@ SELECT pair, count(similarity) AS count, round(avg(similarity), 6) AS mean, roun
 FROM pl GROUP BY pair"""
 
 ENTITIES = _with(DIALOGUE) + f""", items AS (
-  SELECT conv_id * 1000 + turn AS row_id, 'm' || CAST(conv_id % 3 AS VARCHAR) AS model, message, response FROM dialogue),
+  SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS row_id, 'm' || CAST(conv_id % 3 AS VARCHAR) AS model,
+         message, response FROM dialogue),
 gaz AS (
   SELECT DISTINCT CASE WHEN length(alias) % 2 = 0 THEN 'person' ELSE 'organization' END AS kind, alias
   FROM (SELECT unnest(regexp_extract_all(text, '{SIMPLE_TOKEN}')) AS alias FROM documents)
