@@ -31,3 +31,38 @@ def split_for_annotation(df: DataFrame, *, n_sample: int = SAMPLE_SIZE, seed: in
     rest = df.join(s.select(id_col), id_col, "left_anti")
     rest = rest.withColumn("part", F.when(hash_half(id_col, seed), F.lit("part_1")).otherwise(F.lit("part_2")))
     return df.join(s.unionByName(rest.select(id_col, "part")), id_col)
+
+
+def exact_half_cutoff(rest: DataFrame, *, seed: int = SEED, id_col: str = "row_id", frac: float = 0.5) -> str | None:
+    """md5 key of the k-th smallest row of ``rest`` with k = round(frac * n) (None when k = 0).
+
+    No global sort: a histogram over the first 4 hex digits of the key (at most
+    65,536 bucket counts, a bounded result) locates the bucket holding the
+    k-th key; only that bucket (about n / 65,536 rows) is ordered.
+    """
+    keyed = rest.select(seeded_key(id_col, seed).alias("_h"))
+    n = keyed.count()
+    k = round(frac * n)
+    if k == 0:
+        return None
+    hist = keyed.groupBy(F.substring("_h", 1, 4).alias("_b")).count().orderBy("_b").collect()
+    seen = 0
+    for row in hist:
+        if seen + row["count"] >= k:
+            r = k - seen
+            top = (keyed.where(F.substring("_h", 1, 4) == row["_b"]).orderBy("_h").limit(r)
+                   .agg(F.max("_h").alias("m")).first())
+            return top["m"]
+        seen += row["count"]
+    return None
+
+
+def split_for_annotation_exact(df: DataFrame, *, n_sample: int = SAMPLE_SIZE, seed: int = SEED,
+                               id_col: str = "row_id") -> DataFrame:
+    """Like ``split_for_annotation`` but part_1 has exactly round(n_rest / 2) rows (md5 order)."""
+    s = sample_n(df.select(id_col), n_sample, seed=seed, id_col=id_col).withColumn("part", F.lit("sample"))
+    rest = df.select(id_col).join(s.select(id_col), id_col, "left_anti")
+    cut = exact_half_cutoff(rest, seed=seed, id_col=id_col)
+    first = seeded_key(id_col, seed) <= F.lit(cut) if cut is not None else F.lit(False)
+    rest = rest.withColumn("part", F.when(first, F.lit("part_1")).otherwise(F.lit("part_2")))
+    return df.join(s.unionByName(rest), id_col)

@@ -688,3 +688,8 @@ def q_semantic_max_text(spark, d):
     corpus = _corpus(spark, d, with_random=False)
     emb = V.embed_text(corpus, num_features=1 << 14)
     return V.semantic_max_stats(emb.select(*G, F.col("row_id").alias("vec_id"), "embedding"))
+
+
+@register("split_exact_half")
+def q_split_exact_half(spark, d):
+    return SA.split_for_annotation_exact(X.responses(spark, d)).select("row_id", "part")

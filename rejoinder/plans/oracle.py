@@ -824,3 +824,11 @@ FROM g GROUP BY model"""
 ORACLE["entity_diff_preview"] = ENTITIES + """
 SELECT row_id, kind, entity, row_number() OVER (PARTITION BY row_id ORDER BY kind, entity) AS k
 FROM diff_item WHERE row_id IN (SELECT row_id FROM items WHERE model = 'm0' ORDER BY row_id LIMIT 10)"""
+
+ORACLE["split_exact_half"] = _with(RESPONSES, """keyed AS (SELECT row_id, md5('42:' || CAST(row_id AS VARCHAR)) AS h FROM responses),
+smp AS (SELECT row_id FROM keyed ORDER BY h, row_id LIMIT 50),
+rest AS (SELECT row_id, h, row_number() OVER (ORDER BY h) AS rn, count(*) OVER () AS n
+         FROM keyed WHERE row_id NOT IN (SELECT row_id FROM smp))""") + """
+SELECT row_id, 'sample' AS part FROM smp
+UNION ALL
+SELECT row_id, CASE WHEN rn <= round_even(n * 0.5, 0) THEN 'part_1' ELSE 'part_2' END FROM rest"""

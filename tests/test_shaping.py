@@ -63,3 +63,13 @@ def test_split_compound_default(spark):
     df = spark.createDataFrame([("1-0",), (None,)], "h string")
     r = SH.split_compound_label(df, "h").collect()
     assert (r[0].h_message, r[0].h_response) == (1.0, 0.0) and (r[1].h_message, r[1].h_response) == (0.0, 0.0)
+
+
+def test_exact_half_split_sizes(spark):
+    for n in (151, 152):                       # rest = 101 -> round(50.5) = 50 ; rest = 102 -> 51
+        df = spark.range(0, n).withColumnRenamed("id", "row_id")
+        parts = SA.split_for_annotation_exact(df, n_sample=50)
+        counts = {r.part: r["count"] for r in parts.groupBy("part").count().collect()}
+        assert counts["sample"] == 50
+        assert counts["part_1"] == round((n - 50) * 0.5)
+        assert counts["part_1"] + counts["part_2"] == n - 50
