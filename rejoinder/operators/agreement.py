@@ -23,9 +23,17 @@ R = 6
 
 
 def alpha(long: DataFrame, *, level: str = "nominal", category: str = "category", unit: str = "unit",
-          value: str = "value") -> DataFrame:
+          value: str = "value", missing: str = "ignore") -> DataFrame:
+    """``missing='ignore'`` drops missing values (default); ``missing='category'`` scores a missing
+    nominal value as the explicit category 'nan' (parity with string-cast rating matrices)."""
     if level not in ("nominal", "ordinal"):
         raise ValueError(f"Unknown level of measurement {level}")
+    if missing not in ("ignore", "category"):
+        raise ValueError(f"Unknown missing-value rule {missing}")
+    if missing == "category":
+        if level != "nominal":
+            raise ValueError("missing='category' applies to nominal data only")
+        long = long.withColumn(value, F.coalesce(F.col(value).cast("string"), F.lit("nan")))
     v = long.where(F.col(value).isNotNull()).select(category, unit, F.col(value).alias("v"))
     sort_key = F.col("v").cast("double") if level == "ordinal" else F.col("v")
     domain = v.groupBy(category).agg(
