@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 LAYOUTS = ("system_user_period", "system_user", "user_with_prefix")
 
+# Functions of this module run inside Python workers (Arrow batches).  Pickle
+# them by value so executors need only numpy/pandas, not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _msg(role: str, content):
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
