@@ -24,10 +24,12 @@ def spread(df: DataFrame) -> DataFrame:
     normal case at scale) is left alone.  Column pruning and filters still
     reach the Parquet reader below the repartition.
     """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (no RDD API, e.g. a Spark Connect session)
+        return df
+    return df.repartition(par) if n < par else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
