@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rejoinder.llm import byte_bpe
+from rejoinder.llm import byte_bpe, token_records
 from rejoinder.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,9 @@ def register(name: str):
 def op1_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@register("op3_token_records")
+def op3_token_records(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_records.write_and_read(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
