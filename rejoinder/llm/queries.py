@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rejoinder.llm import byte_bpe, token_records
+from rejoinder.llm import byte_bpe, chat_format, token_records, warc
 from rejoinder.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,22 @@ def op1_byte_bpe(spark, sf_dir):
 def op3_token_records(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return token_records.write_and_read(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op6_warc")
+def op6_warc(spark, sf_dir):
+    return warc.write_and_read(spark, table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+ORACLE["op6_warc"] = warc.ORACLE
+
+
+@register("op8_chat_format")
+def op8_chat_format(spark, sf_dir):
+    own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")],
+                                "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(own)
+    return chat_format.read_back(chat_format.render(turns)).drop("formatted_sha256")
+
+
+ORACLE["op8_chat_format"] = chat_format.ORACLE
