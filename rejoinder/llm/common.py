@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import sys
+import tempfile
 import types
 import uuid
 from collections.abc import Callable
@@ -20,15 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="rejoinder-shared-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder ``spark.checkpoint.dir`` names.
 
     The cluster sets it to storage that every executor and the driver reach.
-    Where it is unset the operator refuses to guess (tests set their own).
+    Where it is unset, a local session (one process, as in tests) gets a folder
+    of its own; on a cluster the operator refuses to guess.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("spark.checkpoint.dir is not set: name a folder all executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder all executors share")
+        root = _own_folder()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -43,6 +54,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows of ``df`` that meet ``condition``, tested after its columns are made.
+
+    Spark moves an ordinary filter below the projections and writes the columns'
+    definitions out in it, once per use; array columns that are indexed inside
+    lambdas would then be made anew for every element.  A filter is not moved
+    below a column that counts rows.
+    """
+    return df.withColumn("__at", F.monotonically_increasing_id()).where((F.col("__at") >= 0) & condition).drop("__at")
+
+
 def worker_state(key: str, make: Callable[[], Any]) -> Any:
     """One object per Python worker process, kept between tasks (a cache or a loaded model)."""
     store = sys.modules.setdefault("_rejoinder_worker_state", types.ModuleType("_rejoinder_worker_state"))

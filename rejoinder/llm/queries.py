@@ -11,8 +11,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rejoinder.llm import byte_bpe, chat_format, token_records, warc
-from rejoinder.llm.common import table
+from rejoinder.llm import byte_bpe, chat_format, quality, token_records, warc
+from rejoinder.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,3 +54,11 @@ def op8_chat_format(spark, sf_dir):
 
 
 ORACLE["op8_chat_format"] = chat_format.ORACLE
+
+
+@register("op7_quality")
+def op7_quality(spark, sf_dir):
+    # counts are a few numbers per document: written once, read for the estimate and for the verdicts
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    voted = cut(quality.votes(quality.features(docs).drop("text")), "quality-votes")
+    return quality.judge(voted, quality.fit(voted))

@@ -23,6 +23,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -123,7 +124,7 @@ class WordEncoder:
         self.cache: dict[str, bytes] = {}
 
     def _library(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes()
+        return [array(self.dtype.char, e.ids).tobytes()
                 for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:

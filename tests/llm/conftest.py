@@ -1,8 +1,12 @@
+import os
+import sys
+
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
 
-@pytest.fixture(scope="session", autouse=True)
-def shared_dir(spark, tmp_path_factory):
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
-    return spark.conf.get("spark.checkpoint.dir")
+@pytest.fixture(scope="session")
+def local_root(spark):
+    """The folder that holds what operators write in these tests."""
+    return spark.conf.get("spark.checkpoint.dir", None)
