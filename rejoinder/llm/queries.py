@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rejoinder.llm import byte_bpe, chat_format, quality, token_records, warc
+from rejoinder.llm import byte_bpe, chat_format, decontaminate, quality, token_records, warc
 from rejoinder.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,9 @@ def op7_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     voted = cut(quality.votes(quality.features(docs).drop("text")), "quality-votes")
     return quality.judge(voted, quality.fit(voted))
+
+
+@register("op4_decontaminate")
+def op4_decontaminate(spark, sf_dir):
+    return decontaminate.judge(table(spark, sf_dir, "documents", "doc_id", "text"),
+                               table(spark, sf_dir, "benchmark", "item_id", "text"))
