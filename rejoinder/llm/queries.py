@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rejoinder.llm import byte_bpe, chat_format, decontaminate, quality, token_records, warc
+from rejoinder.llm import byte_bpe, chat_format, decontaminate, quality, token_records, toxicity, unigram_count, warc
 from rejoinder.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +69,18 @@ def op7_quality(spark, sf_dir):
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.judge(table(spark, sf_dir, "documents", "doc_id", "text"),
                                table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@register("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), ~out))
+    return (toxicity.score(docs, model).withColumn("held_out", out)
+            .select("doc_id", "held_out", "score", F.when(F.col("score") >= toxicity.CUT, 1).otherwise(0).alias("predicted")))
+
+
+@register("op9_token_counts")
+def op9_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return unigram_count.count(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
