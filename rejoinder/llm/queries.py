@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rejoinder.llm import byte_bpe, chat_format, decontaminate, quality, token_records, toxicity, unigram_count, warc
+from rejoinder.llm import byte_bpe, chat_format, decontaminate, jaccard_join, quality, token_records, toxicity, unigram_count, warc
 from rejoinder.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op2_toxicity(spark, sf_dir):
 def op9_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return unigram_count.count(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+@register("op5_jaccard_join")
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
