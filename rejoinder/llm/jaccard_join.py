@@ -314,7 +314,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the first of their component; rows without an id stay unless an equal set has one."""
+    """The documents that are the first of their component, with their own columns; rows without an id stay."""
     found = join(docs).groupBy("doc_id").agg(F.min("component_id").alias("__component"))
     drop = found.where("doc_id != __component").select(F.col("doc_id").alias("__id"))
     return docs.join(drop, docs["doc_id"] == drop["__id"], "left_anti")
