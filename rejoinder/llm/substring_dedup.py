@@ -320,6 +320,6 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return pa.array(out, pa.string())
 
     text = F.col(f"row.{text_col}")
-    kept: Column = F.when(F.col("spans").isNull(), text).otherwise(cut_out(text, "spans"))
+    kept: Column = F.when(F.col("spans").isNull(), text).otherwise(cut_out(F.coalesce(text, F.lit("")), "spans"))
     return (own.select("d", "t", "row").join(spans(own.select("d", "t", "text")), ["d", "t"], "left")
                .select(F.col("row").withField(text_col, kept).alias("row")).select("row.*"))
