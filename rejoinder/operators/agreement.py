@@ -1,17 +1,18 @@
 """Krippendorff's alpha (nominal / ordinal) for any number of raters, from a long table.
 
-Input ``(category, unit, rater, value)`` with missing values null.  Per unit,
-values are pairable when the unit has at least two; the coincidence matrix
-``o[c,k] = sum_u n_uc (n_uk - [c=k]) / (m_u - 1)`` is a group-by over
-(category, unit, value) and an equi-join of that table with itself on
-(category, unit) — a unit contributes (distinct values)^2 rows at most.
-The expected disagreement uses the value domain, which is small.
+Input ``(category, unit, rater, value)`` with missing values null.  Values are
+pairable when their unit has at least two.  With n_uc the count of value c in unit
+u, m_u its values, n_c and n their totals, the disagreements have closed forms that
+need no pairs of values:
 
-    alpha = 1 - (n - 1) * sum o[c,k] d2[c,k] / sum n_c n_k d2[c,k]
+* nominal: observed sum_uc n_uc (m_u - n_uc) / (m_u - 1), expected n^2 - sum_c n_c^2
+* ordinal: the distance of two values is the difference of r_c = (n_g summed up to c) - n_c / 2,
+  so observed 2 sum_u (m_u sum_c n_uc r_c^2 - (sum_c n_uc r_c)^2) / (m_u - 1) and
+  expected 2 (n sum_c n_c r_c^2 - (sum_c n_c r_c)^2)
 
-nominal d2 = [c != k]; ordinal d2 = (sum_{g=c..k} n_g - (n_c + n_k)/2)^2 over
-the sorted domain.  Categories whose value domain has fewer than two values
-are skipped.
+    alpha = 1 - (n - 1) * observed / expected
+
+Categories whose value domain has fewer than two values are skipped.
 """
 
 from __future__ import annotations
@@ -35,42 +36,29 @@ def alpha(long: DataFrame, *, level: str = "nominal", category: str = "category"
             raise ValueError("missing='category' applies to nominal data only")
         long = long.withColumn(value, F.coalesce(F.col(value).cast("string"), F.lit("nan")))
     v = long.where(F.col(value).isNotNull()).select(category, unit, F.col(value).alias("v"))
-    sort_key = F.col("v").cast("double") if level == "ordinal" else F.col("v")
     domain = v.groupBy(category).agg(
         F.array_join(F.array_sort(F.collect_set(F.col("v").cast("string"))), ",").alias("values"),
         F.countDistinct("v").alias("n_values"))
-    nuc = v.groupBy(category, unit, "v").agg(F.count(F.lit(1)).alias("n_uc"))
-    mu = nuc.groupBy(category, unit).agg(F.sum("n_uc").alias("m_u"))
-    nuc = nuc.join(mu.where(F.col("m_u") >= 2), [category, unit])
-    a, b = nuc.alias("a"), nuc.alias("b")
-    o = (a.join(b, [category, unit])
-         .select(category, F.col("a.v").alias("c"), F.col("b.v").alias("k"),
-                 (F.col("a.n_uc") * (F.col("b.n_uc") - F.when(F.col("a.v") == F.col("b.v"), 1).otherwise(0))
-                  / (F.col("a.m_u") - 1)).alias("o"))
-         .groupBy(category, "c", "k").agg(F.sum("o").alias("o")))
-    nc = o.groupBy(category, "c").agg(F.sum("o").alias("n_c"))
-    if level == "ordinal":
-        w = Window.partitionBy(category).orderBy(F.col("c").cast("double"))   # over the value domain only
-        nc = nc.withColumn("cum", F.sum("n_c").over(w))
-    x, y = nc.alias("x"), nc.alias("y")
-    pairs = x.join(y, category).select(category, F.col("x.c").alias("c"), F.col("y.c").alias("k"),
-                                      F.col("x.n_c").alias("n_c"), F.col("y.n_c").alias("n_k"),
-                                      *( [F.col("x.cum").alias("cum_c"), F.col("y.cum").alias("cum_k")]
-                                         if level == "ordinal" else []))
+    nuc = (v.groupBy(category, unit, "v").agg(F.count(F.lit(1)).alias("n_uc"))
+           .withColumn("m_u", F.sum("n_uc").over(Window.partitionBy(category, unit))).where(F.col("m_u") >= 2))
+    nc = nuc.groupBy(category, "v").agg(F.sum("n_uc").alias("n_c"))
     if level == "nominal":
-        d2 = F.when(F.col("c") == F.col("k"), F.lit(0.0)).otherwise(F.lit(1.0))
+        observed = nuc.groupBy(category).agg(
+            F.sum(F.col("n_uc") * (F.col("m_u") - F.col("n_uc")) / (F.col("m_u") - 1)).alias("do"))
+        expected = nc.groupBy(category).agg(F.sum("n_c").alias("n"), F.sum(F.col("n_c") * F.col("n_c")).alias("sq")) \
+            .select(category, "n", (F.col("n") * F.col("n") - F.col("sq")).alias("de"))
     else:
-        lo_cum = F.least("cum_c", "cum_k")
-        lo_n = F.when(F.col("cum_c") <= F.col("cum_k"), F.col("n_c")).otherwise(F.col("n_k"))
-        between = F.greatest("cum_c", "cum_k") - lo_cum + lo_n
-        d2 = F.pow(between - (F.col("n_c") + F.col("n_k")) / 2.0, 2)
-    pairs = pairs.select(category, "c", "k", "n_c", "n_k", d2.alias("d2"))
-    obs = pairs.join(o, [category, "c", "k"], "left").groupBy(category).agg(
-        F.sum(F.coalesce(F.col("o"), F.lit(0.0)) * F.col("d2")).alias("do"),
-        F.sum(F.col("n_c") * F.col("n_k") * F.col("d2")).alias("de"))
-    n = nc.groupBy(category).agg(F.sum("n_c").alias("n"))
-    res = obs.join(n, category).select(
+        w = Window.partitionBy(category).orderBy(F.col("v").cast("double"))   # over the value domain only
+        nc = nc.withColumn("r", F.sum("n_c").over(w) - F.col("n_c") / 2.0)
+        by_unit = nuc.join(nc.select(category, "v", "r"), [category, "v"]).groupBy(category, unit, "m_u").agg(
+            F.sum(F.col("n_uc") * F.col("r")).alias("s1"), F.sum(F.col("n_uc") * F.col("r") * F.col("r")).alias("s2"))
+        observed = by_unit.groupBy(category).agg(
+            F.sum(2 * (F.col("m_u") * F.col("s2") - F.col("s1") * F.col("s1")) / (F.col("m_u") - 1)).alias("do"))
+        expected = nc.groupBy(category).agg(
+            F.sum("n_c").alias("n"), F.sum(F.col("n_c") * F.col("r")).alias("s1"),
+            F.sum(F.col("n_c") * F.col("r") * F.col("r")).alias("s2")) \
+            .select(category, "n", (2 * (F.col("n") * F.col("s2") - F.col("s1") * F.col("s1"))).alias("de"))
+    res = observed.join(expected, category).select(
         category, (1 - (F.col("n") - 1) * F.try_divide(F.col("do"), F.col("de"))).alias("alpha"))
-    _ = sort_key
     return (domain.where(F.col("n_values") >= 2).join(res, category, "left")
             .select(category, F.round("alpha", R).alias("alpha"), "n_values", "values"))

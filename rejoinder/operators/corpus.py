@@ -48,11 +48,11 @@ def corpora(df: DataFrame, *, group_cols: Sequence[str] = ("theme", "model"), te
             with_random: bool = True, seed: int = SEED) -> DataFrame:
     """Long corpus table ``(*group_cols, row_id, text)``.
 
-    Text is trimmed of ``' "'`` and null texts are dropped for every branch,
-    including the random one.
+    Text is trimmed of ``' "'``.  Null texts and rows with a null group key are
+    dropped for every branch, including the random one: a key selects by equality.
     """
     group_cols = list(group_cols)
-    base = extract_corpus(df, text_col=text_col)
+    base = extract_corpus(df, text_col=text_col).dropna(subset=group_cols)
     out = base.select(*group_cols, "row_id", F.col(text_col).alias("text"))
     if with_random:
         by = [c for c in group_cols if c != "model"]

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import sys
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 LAYOUTS = ("system_user_period", "system_user", "user_with_prefix")
 
@@ -29,7 +28,7 @@ def build_prompts(df: DataFrame, *, system_prompt: str, layout: str, text_col: s
 
     * ``system_user_period`` — system message, user message ending with a period
     * ``system_user``        — system message, user message as is
-    * ``user_with_prefix``   — one user message (system text, blank line, user text) and an assistant prefix
+    * ``user_with_prefix``   — one user message (system text, a space, user text) and an assistant prefix
     """
     user = F.format_string(user_template, F.col(text_col))
     if layout == "system_user_period":
@@ -37,7 +36,7 @@ def build_prompts(df: DataFrame, *, system_prompt: str, layout: str, text_col: s
     elif layout == "system_user":
         p = F.array(_msg("system", F.lit(system_prompt)), _msg("user", user))
     elif layout == "user_with_prefix":
-        p = F.array(_msg("user", F.concat(F.lit(system_prompt + "\n\n"), user)),
+        p = F.array(_msg("user", F.concat(F.lit(system_prompt + " "), user)),
                     _msg("assistant", F.lit(assistant_prefix)))
     else:
         raise ValueError(f"unknown layout {layout!r}; choose one of {LAYOUTS}")
@@ -60,12 +59,9 @@ def batch_generate(df: DataFrame, generate: Callable[[pd.Series], pd.Series] = e
     The generator (a remote client or a local model) is created once per
     Python worker by the callable itself; Spark spreads batches over executors.
     """
-    schema = StructType(list(df.schema.fields) + [StructField(out_col, StringType(), True)])
+    def run(prompts):
+        out = generate(prompts)
+        return out.str.strip() if strip else out
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = generate(pdf[prompt_col])
-            pdf[out_col] = out.str.strip() if strip else out
-            yield pdf
-
-    return df.mapInPandas(run, schema=schema)
+    run.__annotations__ = {"prompts": pd.Series, "return": pd.Series}
+    return df.withColumn(out_col, F.pandas_udf(run, "string")(F.col(prompt_col)))

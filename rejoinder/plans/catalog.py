@@ -408,31 +408,38 @@ def q_hashtag_bag(spark, d):
 def q_page_urls(spark, d):
     p = read_table(spark, d, "pages")
     u, h = T.urls("url"), T.hashtags("url")
-    return p.select("page_id", F.size(u).alias("n_urls"), F.get(u, 0).alias("first_url"),
+    return p.select("page_id", F.size(u).alias("n_urls"), F.array_join(u, " ").alias("urls"),
                     F.size(h).alias("n_hashtags"), F.array_join(h, " ").alias("hashtags"))
 
 
+def _whole(c):
+    """Fingerprint of all elements of a string array, in order."""
+    return F.md5(F.array_join(c, chr(1)))
+
+
 @register("ngrams")
 def q_ngrams(spark, d):
     doc = read_table(spark, d, "documents").select("doc_id", T.ws_tokens("text").alias("tok"))
     b, t = T.ngrams("tok", 2), T.ngrams("tok", 3)
     return doc.select(F.col("doc_id").alias("row_id"), F.size(b).alias("n_bigrams"),
                       F.size(F.array_distinct(b)).alias("n_distinct_bigrams"), F.size(t).alias("n_trigrams"),
-                      F.get(t, 0).alias("first_trigram"))
+                      F.get(t, 0).alias("first_trigram"), _whole(b).alias("bigrams_md5"), _whole(t).alias("trigrams_md5"))
 
 
 @register("simple_tokens")
 def q_simple_tokens(spark, d):
     doc = read_table(spark, d, "documents").select("doc_id", T.simple_tokens("text").alias("w"))
     return doc.select(F.col("doc_id").alias("row_id"), F.size("w").alias("n_tokens"),
-                      F.get("w", 0).alias("first_token"), F.try_element_at("w", F.lit(-1)).alias("last_token"))
+                      F.get("w", 0).alias("first_token"), F.try_element_at("w", F.lit(-1)).alias("last_token"),
+                      _whole("w").alias("tokens_md5"))
 
 
 @register("sentences")
 def q_sentences(spark, d):
     doc = read_table(spark, d, "documents").select("doc_id", T.sentences("text").alias("s"))
     return doc.select(F.col("doc_id").alias("row_id"), F.size("s").alias("n_sentences"),
-                      F.aggregate("s", F.lit(0), lambda a, x: F.greatest(a, F.length(x))).alias("max_sentence_chars"))
+                      F.aggregate("s", F.lit(0), lambda a, x: F.greatest(a, F.length(x))).alias("max_sentence_chars"),
+                      _whole("s").alias("sentences_md5"))
 
 
 @register("jaccard_pairs")
@@ -462,9 +469,10 @@ def q_semantic_max_stats(spark, d):
 
 @register("semantic_baseline")
 def q_semantic_baseline(spark, d):
-    v = X.vectors(spark, d).dropDuplicates(["embedding"])
+    v = X.vectors(spark, d)
     scoped = v.select(F.lit("all").alias("scope"), "vec_id", "embedding").unionByName(
         v.select(F.concat(F.lit("theme="), F.col("theme").cast("string")).alias("scope"), "vec_id", "embedding"))
+    scoped = scoped.dropDuplicates(["scope", "embedding"])      # distinct messages of each scope
     return V.semantic_max_stats(scoped, group_cols=["scope"])
 
 
@@ -590,7 +598,7 @@ def _csv_roundtrip(spark, d, sep):
     r = X.responses(spark, d).select("row_id", "model", "theme", "response")
     path = FS.scratch_path(spark, "csv")
     FS.write_csv(r, path, sep=sep)
-    return FS.read_csv(spark, path, RESP_SCHEMA, sep=sep)
+    return FS.read_csv(spark, path, RESP_SCHEMA, sep=sep, multi_line=True)
 
 
 @register("io_csv_roundtrip")
@@ -607,7 +615,12 @@ def q_io_csv_semicolon(spark, d):
 def q_sink_by_theme(spark, d):
     path = FS.scratch_path(spark, "by-theme")
     FS.write_by_theme(X.responses(spark, d).select("row_id", "model", "theme", "response"), path)
-    return FS.read_theme(spark, path, "fr").select("row_id", "model", "theme", "response")
+    themes = [r[0] for r in spark.read.parquet(path).select("theme").distinct().collect()]     # partition folders
+    out = None
+    for theme in sorted(themes):
+        one = FS.read_theme(spark, path, theme).select("row_id", "model", "theme", "response")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("report_sink")
@@ -622,10 +635,11 @@ def q_report_sink(spark, d):
 def q_parse_nested_list(spark, d):
     doc = read_table(spark, d, "documents")
     s = F.concat(F.lit("[['"), F.col("source"), F.lit("', '"), F.col("lang"), F.lit("'], [], ['"),
-                 F.col("doc_id").cast("string"), F.lit("']]"))
+                 F.col("doc_id").cast("string"), F.lit("', None]]"))
     x = doc.select(F.col("doc_id").alias("row_id"), FS.parse_nested_list(s).alias("v"))
     return x.select("row_id", F.size("v").alias("n_items"), F.size(F.flatten("v")).alias("n_total"),
-                    F.get(F.get("v", 0), 1).alias("second"))
+                    F.get(F.get("v", 0), 1).alias("second"),
+                    F.array_join(F.transform("v", lambda e: F.array_join(e, ",", "<null>")), ";").alias("cells"))
 
 
 @register("model_from_path")

@@ -625,7 +625,7 @@ SELECT theme, model, item, count(*) AS cnt FROM (
   SELECT theme, model, unnest(regexp_extract_all(text, '{HASHTAG_RE}')) AS item FROM corpus) GROUP BY ALL"""
 
 ORACLE["page_urls"] = f"""
-SELECT page_id, len(regexp_extract_all(url, '{URL_RE}')) AS n_urls, regexp_extract_all(url, '{URL_RE}')[1] AS first_url,
+SELECT page_id, len(regexp_extract_all(url, '{URL_RE}')) AS n_urls, array_to_string(regexp_extract_all(url, '{URL_RE}'), ' ') AS urls,
        len(regexp_extract_all(url, '{HASHTAG_RE}')) AS n_hashtags,
        array_to_string(regexp_extract_all(url, '{HASHTAG_RE}'), ' ') AS hashtags
 FROM pages"""
@@ -635,14 +635,17 @@ WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda
 g AS (SELECT doc_id, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) AS b,
              list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) AS tri FROM t)
 SELECT doc_id AS row_id, len(b) AS n_bigrams, len(list_distinct(b)) AS n_distinct_bigrams, len(tri) AS n_trigrams,
-       tri[1] AS first_trigram FROM g"""
+       tri[1] AS first_trigram, md5(array_to_string(b, chr(1))) AS bigrams_md5,
+       md5(array_to_string(tri, chr(1))) AS trigrams_md5 FROM g"""
 
 ORACLE["simple_tokens"] = f"""
-SELECT doc_id AS row_id, len(w) AS n_tokens, w[1] AS first_token, w[-1] AS last_token
+SELECT doc_id AS row_id, len(w) AS n_tokens, w[1] AS first_token, w[-1] AS last_token,
+       md5(array_to_string(w, chr(1))) AS tokens_md5
 FROM (SELECT doc_id, regexp_extract_all(text, '{SIMPLE_TOKEN}') AS w FROM documents)"""
 
 ORACLE["sentences"] = r"""
-SELECT doc_id AS row_id, len(ss) AS n_sentences, coalesce(list_max(list_transform(ss, lambda s: length(s))), 0) AS max_sentence_chars
+SELECT doc_id AS row_id, len(ss) AS n_sentences, coalesce(list_max(list_transform(ss, lambda s: length(s))), 0) AS max_sentence_chars,
+       md5(array_to_string(ss, chr(1))) AS sentences_md5
 FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?]+)\s+', '\1' || chr(1), 'g'), chr(1)),
                                  lambda s: regexp_matches(s, '\S')) AS ss FROM documents)"""
 
@@ -678,9 +681,9 @@ FROM (SELECT a.theme, a.model, a.vec_id, max({_COS}) AS m
       FROM vectors a LEFT JOIN vectors b ON a.theme = b.theme AND a.model = b.model AND a.vec_id <> b.vec_id
       GROUP BY ALL) GROUP BY ALL"""
 
-ORACLE["semantic_baseline"] = _with(VECTORS) + f""", dv AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY vec_id) AS rn FROM vectors) WHERE rn = 1),
-sc AS (SELECT 'all' AS scope, vec_id, e FROM dv UNION ALL SELECT 'theme=' || CAST(theme AS VARCHAR), vec_id, e FROM dv)
+ORACLE["semantic_baseline"] = _with(VECTORS) + f""", every AS (SELECT 'all' AS scope, vec_id, e FROM vectors
+              UNION ALL SELECT 'theme=' || CAST(theme AS VARCHAR), vec_id, e FROM vectors),
+sc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, e ORDER BY vec_id) AS rn FROM every) WHERE rn = 1)
 SELECT scope, round(avg(m), 6) AS semantic_similarity_mean, round(stddev_pop(m), 6) AS semantic_similarity_std,
        count(*) AS n
 FROM (SELECT a.scope, a.vec_id, max({_COS}) AS m
@@ -780,15 +783,16 @@ UNION ALL
 SELECT conv_id, turn, 'system_user', 2, 'system,user', 'Write a short counter speech.|Message: ' || message FROM dialogue
 UNION ALL
 SELECT conv_id, turn, 'user_with_prefix', 2, 'user,assistant',
-       'Write a short counter speech.' || chr(10) || chr(10) || 'Message: ' || message || '|Counter speech:' FROM dialogue"""
+       'Write a short counter speech. Message: ' || message || '|Counter speech:' FROM dialogue"""
 
 _RESP_SQL = _with(RESPONSES) + "SELECT row_id, model, theme, response FROM responses"
 ORACLE["io_csv_roundtrip"] = _RESP_SQL
 ORACLE["io_csv_semicolon"] = _RESP_SQL
-ORACLE["sink_by_theme"] = _with(RESPONSES) + "SELECT row_id, model, theme, response FROM responses WHERE theme = 'fr'"
+ORACLE["sink_by_theme"] = _with(RESPONSES) + "SELECT row_id, model, theme, response FROM responses"
 ORACLE["report_sink"] = ORACLE["strategy_counts"]
 ORACLE["parse_nested_list"] = """
-SELECT doc_id AS row_id, 3 AS n_items, 3 AS n_total, lang AS second FROM documents"""
+SELECT doc_id AS row_id, 3 AS n_items, 4 AS n_total, lang AS second,
+       source || ',' || lang || ';;' || CAST(doc_id AS VARCHAR) || ',<null>' AS cells FROM documents"""
 ORACLE["model_from_path"] = """
 SELECT doc_id AS row_id, CASE doc_id % 3 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'llama' ELSE 'mistral' END AS model_label
 FROM documents"""

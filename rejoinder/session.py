@@ -1,11 +1,13 @@
-"""Spark session defaults and lineage cutting."""
+"""Spark session defaults and the shared folder."""
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job wants regardless of cluster size.  Shuffle partitions are
 # left to the cluster (or the caller) except in local mode.
@@ -33,23 +35,25 @@ def get_session(master: str | None = None, app: str = "rejoinder",
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    b = b.config("spark.driver.memory", os.environ.get("REJOINDER_DRIVER_MEMORY", "16g"))
+    if memory := os.environ.get("REJOINDER_DRIVER_MEMORY"):
+        b = b.config("spark.driver.memory", memory)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is only read.  When
-    it is unset (tests, local runs) a fresh scratch folder is created.
+    Where the setting is missing, a local session (one process, as in tests) gets a
+    folder of its own; on a cluster this raises, because executors and driver do not
+    share local folders.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="rejoinder-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder all executors share")
+        d = _own_folder()
     try:
         spark.sparkContext.setCheckpointDir(d)
     except Exception:  # noqa: BLE001  (no SparkContext, e.g. a Spark Connect session)
@@ -57,7 +61,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="rejoinder-ckpt-")

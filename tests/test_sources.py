@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from rejoinder.sources import files as FS
 
-TRICKY = [(1, 'He said "no".\nThen left, quietly.'), (2, "semi;colon, comma"), (3, ""), (4, None)]
+TRICKY = [(1, 'He said "no".\nThen left, quietly.'), (2, "semi;colon, comma"), (3, ""), (4, None), (5, "  lead"),
+          (6, "trail \n"), (7, " "), (8, "\\"), (9, "null")]
 
 
 @pytest.mark.parametrize("sep", [",", ";"])
@@ -11,8 +12,8 @@ def test_csv_roundtrip_keeps_quotes_newlines(spark, sep):
     df = spark.createDataFrame(TRICKY, "row_id bigint, response string")
     path = FS.scratch_path(spark, "t-csv")
     FS.write_csv(df, path, sep=sep)
-    back = {r.row_id: r.response for r in FS.read_csv(spark, path, "row_id bigint, response string", sep=sep).collect()}
-    assert back[1] == TRICKY[0][1] and back[2] == TRICKY[1][1] and back[4] is None
+    back = FS.read_csv(spark, path, "row_id bigint, response string", sep=sep, multi_line=True)
+    assert {r.row_id: r.response for r in back.collect()} == dict(TRICKY)
 
 
 def test_report_sink_formats(spark):
@@ -37,9 +38,15 @@ def test_parse_nested_list(spark):
     df = spark.createDataFrame([("[['Biden'], [], ['Robert Fico', 'Fico']]",), ("[]",)], "s string")
     r = df.select(FS.parse_nested_list("s").alias("v")).collect()
     assert r[0].v == [["Biden"], [], ["Robert Fico", "Fico"]] and r[1].v == []
+    odd = spark.createDataFrame([("[['A', None], [\"None, True\", 'O\\'N']]",), (None,)], "s string")
+    r = odd.select(FS.parse_nested_list("s").alias("v")).collect()
+    assert r[0].v == [["A", None], ["None, True", "O'N"]] and r[1].v is None
+    with pytest.raises(Exception, match="not a nested list"):
+        spark.createDataFrame([("oops",)], "s string").select(FS.parse_nested_list("s")).collect()
 
 
 def test_model_from_path_rule(spark):
-    df = spark.createDataFrame([("/x/ct_gpt4o.csv",), ("/x/ct_llama3.csv",), ("/x/other.csv",)], "p string")
+    df = spark.createDataFrame([("/x/ct_gpt4o.csv",), ("/x/ct_llama3.csv",), ("/x/other.csv",),
+                                ("/data/gpt-runs/ct_llama3.csv",), ("/y/ct_gpt.parquet/part-0.parquet",)], "p string")
     assert [r.m for r in df.select(FS.model_from_path(F.col("p")).alias("m")).collect()] == \
-        ["gpt-4o", "llama", "mistral"]
+        ["gpt-4o", "llama", "mistral", "llama", "gpt-4o"]
