@@ -8,7 +8,6 @@ operator collects data to the driver.  Sub-packages:
 * ``operators`` — relational operators (diversity, statistics, agreement, …)
 * ``plans``     — bindings of the operators to the driver tables, plus the
                   DuckDB oracle SQL for each registered query
-* ``streaming`` — incremental scoring of arriving responses
 """
 
 from rejoinder.session import get_session, checkpoint_dir

@@ -5,11 +5,9 @@ column names).  Nothing here is logic.
 """
 
 # --- fixed values -----------------------------------------------------------
-MODELS = ["llama3", "mistral", "gpt4o"]          # compared generators, in report order
 RANDOM_MODEL = "random"                           # pseudo-model: one random response per message
 SEED = 42                                         # every seeded sample / split
 SAMPLE_SIZE = 50                                  # agreement sample size
-SPLIT_FRACTION = 0.5                              # annotator split
 OUTPUT_SEPARATOR = "<XXX>"                        # tag around the counter speech in model output
 TRIM_CHARS = ' "'                                 # characters stripped from response text
 SENTIMENT_POSITIVE = 0.05                         # compound >= this -> positive
@@ -35,9 +33,6 @@ EMOJI_RANGES = [
     (0x2700, 0x27BF),    # dingbats
     (0x1F1E0, 0x1F1FF),  # regional indicator symbols (flags)
 ]
-HASHTAG_PATTERN_PY = r"#\w+"
-URL_PATTERN_PY = r"https?://[^\s]+"
-SIMPLE_TOKEN_PATTERN_PY = r"\b\w+(?:'\w+)?\b"
 
 # Annotation columns: long names used in annotation files -> short names.
 ANNOTATION_COL_MAPPING = {
@@ -76,8 +71,4 @@ COL_STRATEGY = "model_strategies"
 COL_COUNTER_SPEECH = "model_counter_speech"
 COL_STRATEGY_CORRECTED = "model_strategies_corrected"
 COL_COUNTER_SPEECH_CORRECTED = "model_counter_speech_corrected"
-ORDINAL_COLS = ["clarity", "factual", "alternative", "narrative", "critical_thinking", "fear_ack",
-                "repetition_harmful", "hate_speech_handling", "conspiracy_handling"]
-NOMINAL_COLS = ["fear_id", "conspiracy_usage", "hate_speech_id", "fear_id_message", "fear_id_response",
-                "hate_speech_id_message", "hate_speech_id_response"]
 # ---------------------------------------------------------------------------

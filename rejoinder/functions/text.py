@@ -77,13 +77,6 @@ def _tag(n: int):
     return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
 
 
-def tagged_ngrams(tokens, orders) -> Column:
-    """``array<struct<n:int, gram:string>>`` for all n in ``orders`` from a token array."""
-    t = _c(tokens)
-    parts = [F.transform(ngrams(t, n), _tag(n)) for n in orders]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-
 def explode_text_ngrams(df, text_col: str, orders, keep) -> "DataFrame":  # noqa: F821
     """Rows (*keep, n, gram) for every n-gram of every order — two generators, no lambdas."""
     x = df.select(*keep, F.explode(tagged_text_ngrams(text_col, orders)).alias("_a"))

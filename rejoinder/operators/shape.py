@@ -8,8 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rejoinder.constants import COL_COUNTER_SPEECH, COL_COUNTER_SPEECH_CORRECTED, COL_STRATEGY, \
-    COL_STRATEGY_CORRECTED
+from rejoinder.constants import COL_COUNTER_SPEECH, COL_STRATEGY
 from rejoinder.functions.normalize import parse_tagged, split_compound
 
 
@@ -23,11 +22,6 @@ def rename_map(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(present)
 
 
-def rename_model_output_cols(df: DataFrame) -> DataFrame:
-    """Parsed -> corrected names, so parsed and hand-corrected versions can coexist after a merge."""
-    return rename_map(df, {COL_COUNTER_SPEECH: COL_COUNTER_SPEECH_CORRECTED, COL_STRATEGY: COL_STRATEGY_CORRECTED})
-
-
 def rename_first_containing(df: DataFrame, needle: str, new: str) -> DataFrame:
     hits = [c for c in df.columns if needle in c]
     if not hits:
@@ -125,9 +119,3 @@ def check_coverage(whole: DataFrame, parts: Sequence[DataFrame], *, key: str = "
     r = coverage(whole, parts, key=key).first()
     if r["n_missing"] or r["n_extra"]:
         raise GuardError(f"split does not cover the table: {r.asDict()}")
-
-
-def check_row_count(before: DataFrame, after: DataFrame) -> None:
-    nb, na = before.count(), after.count()
-    if nb != na:
-        raise GuardError(f"merge changed the row count: {nb} -> {na}")

@@ -93,7 +93,7 @@ def q_jaccard_diversity(spark, d):
 
 
 # --- shaping, sampling, guards ---------------------------------------------
-from rejoinder.constants import ANNOTATION_COL_MAPPING, SAMPLE_SIZE  # noqa: E402
+from rejoinder.constants import ANNOTATION_COL_MAPPING, ANNOTATOR_2_COL_MAPPING, SAMPLE_SIZE  # noqa: E402
 from rejoinder.functions import normalize as N  # noqa: E402
 from rejoinder.functions.text import strip_ws, trim_chars  # noqa: E402
 from rejoinder.operators import sampling as SA  # noqa: E402
@@ -189,19 +189,26 @@ def q_normalize_scores(spark, d):
 
 @register("rename_map")
 def q_rename_map(spark, d):
+    """Both annotators' files, all columns, brought to the short names."""
     lab = read_table(spark, d, "labels")
-    inv = {v: k for k, v in ANNOTATION_COL_MAPPING.items()}
-    wide = lab.select(F.col("doc_id").alias("row_id"), F.col("quality").alias(inv["clarity"]),
-                      F.col("toxic").alias(inv["hate_speech_id"]))
-    return SH.rename_map(wide, ANNOTATION_COL_MAPPING)
+    out = None
+    for annotator, names in (("1", ANNOTATION_COL_MAPPING), ("2", ANNOTATOR_2_COL_MAPPING)):
+        wide = lab.select(F.col("doc_id").alias("row_id"), F.lit(annotator).alias("annotator"),
+                          *[((F.col("quality") + F.col("toxic") * 2 + k) % 4).cast("int").alias(n) for k, n in enumerate(names)])
+        own = SH.rename_map(wide, names)
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 @register("publish_projection")
 def q_publish_projection(spark, d):
+    """The main export (every row, with its own model and theme) and that of the one-model experiment."""
     o = X.annotated_outputs(spark, d)
-    return o.where(F.col("model") == "m2").select(
-        "row_id", "model_output", "model_strategies", "model_counter_speech",
-        F.lit("gpt4o").alias("model"), F.lit(2).alias("theme"))
+    cols = ("row_id", "model_output", "model_strategies", "model_counter_speech")
+    main = o.select(F.lit("main").alias("export"), *cols, "model", "theme")
+    one = o.where(F.col("model") == "m2").select(F.lit("experiment").alias("export"), *cols, F.lit("gpt4o").alias("model"),
+                                                 F.lit("2").alias("theme"))
+    return main.unionByName(one)
 
 
 @register("distinct_messages")
@@ -501,7 +508,7 @@ from rejoinder.operators import sentiment as SE  # noqa: E402
 
 
 def _mentions(spark, d):
-    return EN.extract_entities(X.entity_items(spark, d), X.gazetteer(spark, d), max_tokens=2)
+    return EN.extract_entities(X.entity_items(spark, d), X.gazetteer(spark, d))
 
 
 def _norm(spark, d):

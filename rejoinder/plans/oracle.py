@@ -6,6 +6,8 @@ DuckDB's ``\\w``/``\\b`` are ASCII-only, so word classes are spelled out as
 
 from __future__ import annotations
 
+from rejoinder.constants import ANNOTATION_COL_MAPPING
+
 W = r"[\p{L}\p{N}_]"
 SIMPLE_TOKEN = f"{W}+(?:''{W}+)?"
 WORD_OR_PUNCT = f"{W}+(?:''{W}+)?|[^\\p{{L}}\\p{{N}}_\\s]"
@@ -326,11 +328,14 @@ SELECT row_id, ordinal, CASE WHEN raw = 'n/a' THEN NULL ELSE raw END AS nominal,
        CASE WHEN ordinal IS NULL THEN -1.0 ELSE 1.0 END AS sign, nullif(raw, '') AS raw_or_null
 FROM o"""
 
-ORACLE["rename_map"] = "SELECT doc_id AS row_id, quality AS clarity, toxic AS hate_speech_id FROM labels"
+ORACLE["rename_map"] = "SELECT doc_id AS row_id, a.v AS annotator, " + ", ".join(
+    f"CAST((quality + toxic * 2 + {k}) % 4 AS INTEGER) AS {c}" for k, c in enumerate(ANNOTATION_COL_MAPPING.values())) + \
+    " FROM labels, (VALUES ('1'), ('2')) AS a(v)"
 
 ORACLE["publish_projection"] = _with(TAGGED, PARSED, FLAGS, OUTPUTS) + """
-SELECT row_id, model_output, model_strategies, model_counter_speech, 'gpt4o' AS model, 2 AS theme
-FROM outputs WHERE model = 'm2'"""
+SELECT 'main' AS export, row_id, model_output, model_strategies, model_counter_speech, model, theme FROM outputs
+UNION ALL
+SELECT 'experiment', row_id, model_output, model_strategies, model_counter_speech, 'gpt4o', '2' FROM outputs WHERE model = 'm2'"""
 
 ORACLE["distinct_messages"] = """
 SELECT lang AS theme, count(DISTINCT text) AS n_distinct_messages FROM documents GROUP BY lang
@@ -712,7 +717,12 @@ ENTITIES = _with(DIALOGUE) + f""", items AS (
 gaz AS (
   SELECT DISTINCT CASE WHEN length(alias) % 2 = 0 THEN 'person' ELSE 'organization' END AS kind, alias
   FROM (SELECT unnest(regexp_extract_all(text, '{SIMPLE_TOKEN}')) AS alias FROM documents)
-  WHERE regexp_matches(alias, '^\\p{{Lu}}\\p{{Ll}}+$')),
+  WHERE regexp_matches(alias, '^\\p{{Lu}}\\p{{Ll}}+$')
+  UNION
+  SELECT CASE WHEN length(alias) % 2 = 0 THEN 'person' ELSE 'organization' END, alias
+  FROM (SELECT array_to_string(t[1:n], ' ') AS alias
+        FROM (SELECT regexp_extract_all(text, '{SIMPLE_TOKEN}') AS t FROM conversations WHERE conv_id % 3 = 0),
+             (VALUES (2), (3)) AS k(n) WHERE len(t) >= n)),
 adim AS (
   SELECT kind, alias, CASE WHEN length(alias) % 5 = 0 THEN NULL WHEN length(alias) % 5 = 1 THEN upper(alias)
                            ELSE lower(alias) END AS canonical FROM gaz WHERE length(alias) % 3 <> 0),
@@ -720,18 +730,25 @@ sides AS (
   SELECT row_id, model, 'message' AS side, regexp_extract_all(message, '{SIMPLE_TOKEN}') AS tok FROM items
   UNION ALL SELECT row_id, model, 'response', regexp_extract_all(response, '{SIMPLE_TOKEN}') FROM items),
 grams AS (
-  SELECT row_id, model, side, g.pos, g.gram FROM (
+  SELECT row_id, model, side, g.pos, g.n, g.gram FROM (
     SELECT row_id, model, side, unnest(list_concat(
-      list_transform(range(1, len(tok) + 1), lambda i: {{'pos': i - 1, 'gram': tok[i]}}),
-      list_transform(range(1, len(tok)), lambda i: {{'pos': i - 1, 'gram': tok[i] || ' ' || tok[i + 1]}}))) AS g
+      list_concat(
+      list_transform(range(1, len(tok) + 1), lambda i: {{'pos': i - 1, 'n': 1, 'gram': tok[i]}}),
+      list_transform(range(1, len(tok)), lambda i: {{'pos': i - 1, 'n': 2, 'gram': tok[i] || ' ' || tok[i + 1]}})),
+      list_transform(range(1, len(tok) - 1), lambda i: {{'pos': i - 1, 'n': 3, 'gram': tok[i] || ' ' || tok[i + 1] || ' ' || tok[i + 2]}}))) AS g
     FROM sides)),
-mentions AS (
-  SELECT g.row_id, g.model, g.side, CAST(g.pos AS INTEGER) AS pos, z.kind, g.gram AS entity
+hits AS (
+  SELECT g.*, z.kind, max(n) OVER (PARTITION BY row_id, model, side, pos) AS longest
   FROM grams g JOIN gaz z ON z.alias = g.gram),
+mentions AS (
+  SELECT row_id, model, side, CAST(pos AS INTEGER) AS pos, kind, gram AS entity
+  FROM hits h WHERE n = longest AND NOT EXISTS (
+    SELECT 1 FROM hits e WHERE e.row_id = h.row_id AND e.model = h.model AND e.side = h.side AND e.n = e.longest
+                           AND e.pos < h.pos AND e.pos + e.n > h.pos)),
 norm AS (
   SELECT DISTINCT m.row_id, m.model, m.side, m.kind,
          CASE WHEN a.alias IS NOT NULL THEN a.canonical ELSE m.entity END AS entity
-  FROM mentions m LEFT JOIN adim a ON a.kind = m.kind AND a.alias = m.entity),
+  FROM (SELECT * REPLACE (regexp_replace(entity, '^(?i)the\\s+', '') AS entity) FROM mentions) m LEFT JOIN adim a ON a.kind = m.kind AND a.alias = m.entity),
 diff_item AS (
   SELECT r.row_id, r.model, r.kind, r.entity FROM norm r
   WHERE r.side = 'response' AND r.entity IS NOT NULL
