@@ -11,14 +11,11 @@ from rejoinder.functions.text import emojis, hashtags, urls
 
 
 def _stats(corpus: DataFrame, g: list[str], extractor, name: str) -> DataFrame:
-    x = corpus.select(*g, "row_id", extractor("text").alias("items"))
-    per_text = x.groupBy(*g).agg(F.count_if(F.size("items") > 0).alias(f"texts_with_{name}"),
-                                 F.sum(F.size("items")).alias(f"n_{name}"))
-    distinct = (x.select(*g, F.explode("items").alias("item")).distinct()
-                .groupBy(*g).agg(F.count(F.lit(1)).alias(f"n_distinct_{name}")))
-    return per_text.join(distinct, g, "left").select(
-        *g, f"texts_with_{name}", F.col(f"n_{name}").cast("long").alias(f"n_{name}"),
-        F.coalesce(F.col(f"n_distinct_{name}"), F.lit(0)).alias(f"n_distinct_{name}"))
+    """Items are extracted and exploded once; counts by (group, item) give all three numbers."""
+    x = corpus.select(*g, F.posexplode_outer(extractor("text")).alias("pos", "item"))
+    by_item = x.groupBy(*g, "item").agg(F.count("item").alias("cnt"), F.count_if(F.col("pos") == 0).alias("firsts"))
+    return by_item.groupBy(*g).agg(F.sum("firsts").alias(f"texts_with_{name}"), F.sum("cnt").alias(f"n_{name}"),
+                                   F.count("item").alias(f"n_distinct_{name}"))
 
 
 def emoji_stats(corpus: DataFrame, *, group_cols: Sequence[str] = ("theme", "model")) -> DataFrame:

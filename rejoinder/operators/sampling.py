@@ -23,14 +23,14 @@ def split_for_annotation(df: DataFrame, *, n_sample: int = SAMPLE_SIZE, seed: in
                          id_col: str = "row_id") -> DataFrame:
     """Label every row 'sample', 'part_1' or 'part_2'.
 
-    The sample is the n smallest keys; the rest (anti join on the id) is split
-    in two by a hash threshold, so both halves are computed without a sort and
-    are disjoint and covering by construction.
+    The sample is the n smallest keys, joined to the table as a list of at most
+    ``n_sample`` ids; the rest is split in two by a hash threshold in the same projection, so
+    both halves are made without a sort and are disjoint and covering by construction.
     """
-    s = sample_n(df.select(id_col), n_sample, seed=seed, id_col=id_col).withColumn("part", F.lit("sample"))
-    rest = df.join(s.select(id_col), id_col, "left_anti")
-    rest = rest.withColumn("part", F.when(hash_half(id_col, seed), F.lit("part_1")).otherwise(F.lit("part_2")))
-    return df.join(s.unionByName(rest.select(id_col, "part")), id_col)
+    # at most n_sample rows: the bound of the broadcast
+    s = F.broadcast(sample_n(df.select(id_col), n_sample, seed=seed, id_col=id_col).withColumn("_sampled", F.lit(True)))
+    part = F.when(F.col("_sampled"), "sample").when(hash_half(id_col, seed), "part_1").otherwise("part_2")
+    return df.join(s, id_col, "left").withColumn("part", part).drop("_sampled")
 
 
 def exact_half_cutoff(rest: DataFrame, *, seed: int = SEED, id_col: str = "row_id", frac: float = 0.5) -> str | None:

@@ -411,6 +411,18 @@ def q_hashtag_bag(spark, d):
     return EX.item_bag(_decorated(spark, d), T.hashtags)
 
 
+@register("emoji_bag")
+def q_emoji_bag(spark, d):
+    """The emojis of each group with their multiplicity; its items are the group's emoji set."""
+    return EX.item_bag(_decorated(spark, d), T.emojis)
+
+
+@register("url_bag")
+def q_url_bag(spark, d):
+    """The URLs of each group with their multiplicity; its items are the group's URL set."""
+    return EX.item_bag(_decorated(spark, d), T.urls)
+
+
 @register("page_urls")
 def q_page_urls(spark, d):
     p = read_table(spark, d, "pages")

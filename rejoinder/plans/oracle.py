@@ -629,6 +629,11 @@ ORACLE["hashtag_bag"] = _with(DECORATED) + f"""
 SELECT theme, model, item, count(*) AS cnt FROM (
   SELECT theme, model, unnest(regexp_extract_all(text, '{HASHTAG_RE}')) AS item FROM corpus) GROUP BY ALL"""
 
+for _key, _pattern in (("emoji_bag", _EMOJI_CLASS), ("url_bag", URL_RE)):
+    ORACLE[_key] = _with(DECORATED) + f"""
+SELECT theme, model, item, count(*) AS cnt FROM (
+  SELECT theme, model, unnest(regexp_extract_all(text, '{_pattern}')) AS item FROM corpus) GROUP BY ALL"""
+
 ORACLE["page_urls"] = f"""
 SELECT page_id, len(regexp_extract_all(url, '{URL_RE}')) AS n_urls, array_to_string(regexp_extract_all(url, '{URL_RE}'), ' ') AS urls,
        len(regexp_extract_all(url, '{HASHTAG_RE}')) AS n_hashtags,
