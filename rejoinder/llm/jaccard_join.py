@@ -8,8 +8,8 @@ when 100 * |A and B| >= 90 * |A or B|.
    into one group more than that, so at least one group has the same content in both.  Sizes
    fall into geometric bands (a set takes part in its own band and the one below), and a key
    is band, group and a hash of the group's content.  Linked classes share a bucket.
-3. Hubs.  In every bucket all members are verified against one hub, a linear number of
-   pairs; verified links are contracted to components.  A few rounds with other hubs merge
+3. Hubs.  In every bucket all members are verified against ``HUBS`` hubs (smallest and largest id, and one
+   by hash), a linear number of pairs; verified links are contracted to components.  That merges
    large families of near copies without looking at their pairs.
 4. R-tree.  In buckets that still hold several components, the members' group counts are
    points of an R-tree.  The overlap of two sets is at most the sum over coordinates of the
@@ -21,7 +21,7 @@ when 100 * |A and B| >= 90 * |A or B|.
 Nothing is capped: every linked pair shares a bucket, and a bucket is left out only if its
 members are one component already.  Null, blank and empty texts have empty sets and are linked
 with nothing.  Rows without an id get no component of their own: theirs is that of an equal
-set, or null.  Rows that repeat an id are one document with the sets of all of them.
+set, or null.  Of different texts with one id the smallest set stands for the id in links.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ WORDS_IN_SHINGLE = 3
 BAND = math.log(1 / 0.89)
 #: Coordinates of a point, members of a bucket compared in one task, fan-out of the tree.
 GROUPS, BLOCK, FAN = 64, 4096, 16
-HUB_ROUNDS = 3
+HUBS = 3
 #: A list of ids is broadcast up to this many rows; a larger one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 
@@ -182,49 +182,44 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """The rows of keys that several ids have, with the key's smallest id as first hub; streams over sorted rows."""
+    """The rows of keys that several ids have; streams over rows sorted by key, holding one back."""
 
     def run(batches):
-        rest = None
-        hub = (None, None)
+        rest, before = None, None                       # the row held back, and the key ahead of it
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            out, rest, hub = part(table, hub, False)
-            yield out
+            table = batch if rest is None else pa.concat_batches([rest, batch])
+            yield part(table, before, False)
+            key = table.column("key")
+            before = key[len(key) - 2].as_py() if len(key) > 1 else before
+            rest = table.slice(len(key) - 1)
         if rest is not None:
-            yield part(rest, hub, True)[0]
-
-    def part(table, hub, last):
-        """Rows of complete keys or of keys known to be shared; the last row waits for its successor."""
-        key, ids, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "n"))
-        first = np.concatenate([[key[0] != hub[0]], key[1:] != key[:-1]])
-        start = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
-        owner = np.where(start >= 0, ids[np.maximum(start, 0)], hub[1] if hub[1] is not None else 0)
-        after = np.concatenate([key[1:] == key[:-1], [False]])
-        keep = ~first | after
-        stop = len(key) if last else len(key) - 1
-        keep[stop:] = False
-        out = pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, ids, n, owner)], names=["key", "id", "n", "hub"])
-        rest = None if last else table.slice(len(key) - 1)
-        before = (key[len(key) - 2], owner[len(key) - 2]) if len(key) > 1 else hub
-        return out, rest, before
-
-    return (keyed.repartition("key").sortWithinPartitions("key", "id")
-                 .mapInArrow(run, "key long, id long, n long, hub long"))
+            yield part(rest, before, True)
+
+    def part(table, before, last):
+        """Rows whose key stands before or after them too; the last row waits for its successor."""
+        key = table.column("key").to_numpy(zero_copy_only=False)
+        same = key[1:] == key[:-1]
+        keep = np.concatenate([[key[0] == before], same]) | np.concatenate([same, [False]])
+        keep[len(key) - (not last):] = False
+        return table.filter(pa.array(keep))
+
+    return (keyed.repartition("key").sortWithinPartitions("key")
+                 .mapInArrow(run, "key long, id long, n long"))
 
 
 def _sets_of(docs: DataFrame) -> DataFrame:
-    """(id, n, s): the sets themselves, as bytes."""
+    """(id, n, s, p): the sets themselves and their points, as bytes."""
 
     def run(batches):
         for batch in batches:
             rows = [shingles(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in rows], pa.int64()),
-                                              pa.array([s.tobytes() for s in rows], pa.binary())], names=["id", "n", "s"])
+                                              pa.array([s.tobytes() for s in rows], pa.binary()),
+                                              pa.array([point(s).tobytes() for s in rows], pa.binary())], names=["id", "n", "s", "p"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, s binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, s binary, p binary")
 
 
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -242,7 +237,7 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def survivors(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that an R-tree cannot rule out; ``rows`` (key, id, n, component, s).
+    """Pairs (a, b) of different components that an R-tree cannot rule out; ``rows`` (key, id, n, component, p).
 
     Buckets of more than BLOCK members go out in pairs of blocks, so a task holds two blocks.
     """
@@ -251,11 +246,11 @@ def survivors(rows: DataFrame) -> DataFrame:
                  .withColumn("__own", F.pmod(F.xxhash64("id"), F.col("__blocks")).cast("int"))
                  .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
                  .select("key", F.least("__own", "__other").alias("i"), F.greatest("__own", "__other").alias("j"),
-                         "id", "n", "component", "s"))
+                         "id", "n", "component", "p"))
 
     def run(table: pa.Table) -> pa.Table:
         ids, n, comp = (table.column(c).to_numpy() for c in ("id", "n", "component"))
-        points = np.array([point(np.frombuffer(s, np.uint64)) for s in table.column("s").to_pylist()])
+        points = np.frombuffer(b"".join(table.column("p").to_pylist()), np.uint8).reshape(-1, GROUPS)
         tree = CountTree(points, n)
         a, b = [], []
         for k in range(len(ids)):
@@ -283,30 +278,21 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     reps = left.join(other, left["doc_id"] == other["id"], "left_anti")
     shared = cut(_shared(_keyed(reps)), "buckets")
     nodes = shared.select("id").distinct()
-    held = cut(_sets_of(_picked(docs, nodes, nodes.count())), "node-sets").dropDuplicates(["id"])
-    links, member = None, shared.select("key", "id", "n", "hub")
-    comp = None
-    for r in range(HUB_ROUNDS + 1):
-        if r:
-            comp = components(links)
-            labelled = member.drop("component").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            hub = {1: F.max_by("id", "id"), 2: F.min_by("id", F.xxhash64("id"))}.get(r, F.min("id"))
-            open_ = (labelled.groupBy("key").agg(F.min("component").alias("__c"), F.max("component").alias("__d"), hub.alias("hub"),
-                                                 ).where("__c < __d").select("key", "hub"))
-            member = cut(labelled.drop("hub").join(open_, "key"), "open-buckets")
-            if not member.limit(1).count():
-                break
-        if r < HUB_ROUNDS:
-            pairs = member.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-            if r:
-                of = member.select("key", F.col("id").alias("b"), F.col("component").alias("__of"))
-                pairs = (member.where("id != hub").select("key", F.col("id").alias("a"), F.col("hub").alias("b"), "component")
-                               .join(of, ["key", "b"]).where(F.col("component") != F.col("__of")).select("a", "b"))
-        else:
-            pairs = survivors(member.select("key", "id", "n", "component").join(held.select("id", "s"), "id"))
-        new = cut(verified(pairs.distinct(), held), "verified")
-        links = new if links is None else links.unionByName(new)
+    held = cut(_sets_of(_picked(docs, nodes, nodes.count())), "node-sets")
+    held = held.groupBy("id").agg(F.min(F.struct("n", "s", "p")).alias("x")).select("id", "x.*")
+    hubs = shared.groupBy("key").agg(F.array_distinct(F.array(*[
+        F.min("id"), F.max("id"), F.min_by("id", F.xxhash64("id"))][:HUBS])).alias("hubs"))
+    pairs = shared.select("key", F.col("id").alias("a")).join(hubs, "key").select("a", F.explode("hubs").alias("b"))
+    pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = cut(verified(pairs, held), "verified")
     comp = components(links)
+    # buckets that still hold several components
+    labelled = shared.select("key", "id", "n").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = labelled.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
+    left_over = survivors(labelled.join(several, "key").join(held.select("id", "p"), "id"))
+    more = cut(verified(left_over, held), "verified")
+    if more.limit(1).count():
+        comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     by_class = (classes.join(comp, classes["rep"] == comp["id"], "left")
                        .select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id")))
     return (own.join(by_class, ["n", "h1", "h2"], "left")

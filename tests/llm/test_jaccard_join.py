@@ -62,9 +62,9 @@ def cases(seed):
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize(("seed", "rounds", "block"), [(1, 3, 4096), (2, 1, 5)])
-def test_against_brute_force(spark, monkeypatch, seed, rounds, block):
-    monkeypatch.setattr(J, "HUB_ROUNDS", rounds)
+@pytest.mark.parametrize(("seed", "hubs", "block"), [(1, 3, 4096), (2, 1, 5)])
+def test_against_brute_force(spark, monkeypatch, seed, hubs, block):
+    monkeypatch.setattr(J, "HUBS", hubs)
     monkeypatch.setattr(J, "BLOCK", block)
     rows = cases(seed)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n long").repartition(5)
