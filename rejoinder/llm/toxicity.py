@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rejoinder.llm.common import worker_state
+from rejoinder.llm.common import cut, worker_state
 
 #: Labelled documents used at most; bounds on the lexicon and its exceptions.
 FIT_ROWS, MAX_WORDS, MAX_PHRASES = 8000, 2000, 2000
@@ -117,15 +117,18 @@ def sample(docs: DataFrame, labels: DataFrame, allowed: Column) -> DataFrame:
 def fit(labelled: DataFrame, *, phrases: Iterable[str] = ()) -> Model:
     """The model of (doc_id, text, toxic) rows; what reaches the driver is bounded by the parameters above."""
     letters = F.regexp_extract_all(_folded("text"), F.lit(r"([\p{L}\p{M}']+)"), 1)
-    words = (labelled.select("doc_id", "toxic", letters.alias("w")).select("doc_id", "toxic", "w", F.posexplode("w").alias("i", "word"))
-             .select("doc_id", "toxic", "word", F.coalesce(F.get("w", F.col("i") - 1), F.lit("")).alias("left"),
-                     F.coalesce(F.get("w", F.col("i") + 1), F.lit("")).alias("right"))
-             .where(F.length("word").between(3, 40)))
+    labelled = cut(labelled.select("doc_id", "text", "toxic"), "toxicity-sample")
+    words = (labelled.select("doc_id", "toxic", letters.alias("w"))
+             .select("doc_id", "toxic", F.explode(F.transform("w", lambda x, i: F.struct(
+                 x.alias("word"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("left"),
+                 F.coalesce(F.get("w", i + 1), F.lit("")).alias("right")))).alias("c"))
+             .select("doc_id", "toxic", "c.*").where(F.length("word").between(3, 40)))
     context = (words.groupBy("word", F.xxhash64("left", "right").alias("c"))
                     .agg(F.avg("toxic").alias("toxic"), F.min("doc_id").alias("doc")))
-    seen = (context.groupBy("word").agg(F.sum(F.col("toxic")).alias("a"), F.sum(1 - F.col("toxic")).alias("b"),
-                                        F.approx_count_distinct(F.when(F.col("toxic") > 0.5, F.col("doc"))).alias("docs")))
-    total = context.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
+    seen = cut(context.groupBy("word").agg(F.sum(F.col("toxic")).alias("a"), F.sum(1 - F.col("toxic")).alias("b"),
+                                           F.approx_count_distinct(F.when(F.col("toxic") > 0.5, F.col("doc"))).alias("docs")),
+               "toxicity-words")
+    total = seen.agg(F.sum("a"), F.sum("b")).first()
     toxic, other = total[0] or 0.0, total[1] or 0.0
     odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (other + 1))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
