@@ -8,6 +8,8 @@ the same shards whatever the partitioning.  Null keys belong to shard 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 GRID = 1 << 16
 
 
-def by_key_range(df: DataFrame, key: str, size: Column, target: int, shard_col: str = "shard") -> tuple[DataFrame, int]:
-    """``df`` with the shard of each row, one partition for each shard, sorted by key inside it."""
+def plan(df: DataFrame, key: str, size: Column, target: int) -> tuple[Callable[[DataFrame], DataFrame], int]:
+    """(function that adds the column ``shard`` to any table with ``key``, number of shards)."""
     spark = df.sparkSession
     lo, hi, total = df.agg(F.min(key), F.max(key), F.sum(size)).first()
     lo, hi = (0, 0) if lo is None else (lo, hi)
@@ -31,10 +33,14 @@ def by_key_range(df: DataFrame, key: str, size: Column, target: int, shard_col:
             shard, filled = shard + 1, 0
         filled += b
         rows.append((c, shard))
-    cells = spark.createDataFrame(rows, f"__cell int, {shard_col} int")
-    dealt = (df.drop(shard_col).withColumn("__cell", cell).join(F.broadcast(cells), "__cell").drop("__cell")
-               .repartitionById(shard + 1, F.col(shard_col)).sortWithinPartitions(key))
-    return dealt, shard + 1
+    cells = spark.createDataFrame(rows, "__cell int, shard int")
+    return lambda other: other.withColumn("__cell", cell).join(F.broadcast(cells), "__cell").drop("__cell"), shard + 1
+
+
+def by_key_range(df: DataFrame, key: str, size: Column, target: int) -> DataFrame:
+    """``df`` with the shard of each row, one partition for each shard, sorted by key inside it."""
+    add, n = plan(df, key, size, target)
+    return add(df).repartitionById(n, F.col("shard")).sortWithinPartitions(key)
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:

@@ -76,9 +76,8 @@ def masked_crc32c(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     base = (np.cumsum(blocks) - blocks).astype(np.int64)
     padded = np.zeros(int(blocks.sum()) * BLOCK, np.uint8)
     into = (base + blocks) * BLOCK - lengths
-    ahead = np.cumsum(lengths) - lengths
-    padded[np.arange(int(lengths.sum())) + np.repeat(into - ahead, lengths)] = \
-        data[np.arange(int(lengths.sum())) + np.repeat(starts - ahead, lengths)]
+    for a, b, n in zip(starts.tolist(), into.tolist(), lengths.tolist(), strict=True):
+        padded[b:b + n] = data[a:a + n]
     for k in range(4):
         padded[into + k] ^= 255
     grid = padded.reshape(-1, BLOCK)
@@ -101,6 +100,10 @@ def masked_crc32c(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
 
 # --- encoding ----------------------------------------------------------------
 
+#: A space that white space both precedes and follows.
+_NO_CUT = regex.compile(r"\s (?:\s|$)")
+
+
 class WordEncoder:
     """The tokenizers library's ids of whole texts, through a cache of words.
 
@@ -142,19 +145,26 @@ class WordEncoder:
         if not self.by_word:
             yield from self._library(texts)
             return
-        whole = regex.compile(r"\s (?:\s|$)")
-        split = [[text] if whole.search(text) else text.split(" ") for text in texts]
+        split = [text.split(" ") for text in texts]
+        words = set().union(*split)
+        odd = {w for w in words if not w or w[0].isspace()}     # a space before them may not be a cut
+        if odd:
+            split = [parts if odd.isdisjoint(parts) or not _NO_CUT.search(text) else [text]
+                     for text, parts in zip(texts, split, strict=True)]
+            words = set().union(*split)
         firsts = self._library([parts[0] for parts in split])
+        for parts in split:
+            del parts[0]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache = self.cache
-        new = list({w for parts in split for w in parts[1:] if w not in cache})
+        new = list(set().union(*split).difference(cache)) if odd else list(words.difference(cache))
         long = {}
         for w, ids in zip(new, self._library([" " + w for w in new]), strict=True):
             (cache if len(w) <= CACHE_LEN else long)[w] = ids
         get = cache.__getitem__
         for first, parts in zip(firsts, split, strict=True):
-            rest = (long.get(w) or cache[w] for w in parts[1:]) if long else map(get, parts[1:])
+            rest = (long.get(w) or cache[w] for w in parts) if long else map(get, parts)
             yield first + b"".join(rest)
 
 
@@ -187,7 +197,7 @@ def write(df: DataFrame, tokenizer_path: str, folder: str, *, id_col: str = "doc
     with open(tokenizer_path, encoding="utf-8") as f:
         config = f.read()
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt, _ = by_key_range(docs, "doc_id", F.octet_length("text") + 64, SHARD_BYTES)
+    dealt = by_key_range(docs, "doc_id", F.octet_length("text") + 64, SHARD_BYTES)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(config)

@@ -1,6 +1,6 @@
 """Web archive (WARC 1.1) writer and reader over deterministic shards.
 
-Pages are dealt by ranges of page_id (``shards.by_key_range``) and written in
+Pages are dealt by ranges of page_id (``shards.plan``) and written in
 that order, one gzip member per record, with headers and digests made anew from
 the payload.  A file is rolled once its compressed size reaches a limit.  A task
 writes under a temporary name of its own attempt and reports it; the reports of
@@ -28,13 +28,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rejoinder.llm.common import shared_folder
-from rejoinder.llm.shards import by_key_range, open_folder
+from rejoinder.llm.shards import open_folder, plan
 
 MIN_REVISIT = 1000
 #: Payload bytes of a shard, compressed bytes after which a file is rolled, bytes read at once.
 SHARD_BYTES, ROLL_BYTES, READ = 32 << 20, 16 << 20, 1 << 20
+#: Tasks that read archives, at most.
+READERS = 4096
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, temporary string, records long, bytes long, sha1 string"
@@ -42,17 +45,16 @@ PAGE = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 
 def revisits(pages: DataFrame, *, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """``pages`` (page_id, url, html) with ``refers_to``: the page that holds an equal payload, or null.
+    """(page_id, digest, refers_to) of the pages (page_id, digest, size) whose payload another page holds.
 
     Largest ids are pre-aggregated by digest, and only digests held twice are
-    joined back; a digest of very many pages is one row on that side.
+    joined back; a digest of very many pages is one row on that side.  Payloads
+    do not take part.
     """
-    coded = pages.withColumns({"html": F.coalesce("html", F.lit("")), "__digest": F.sha1(F.coalesce("html", F.lit("")))})
-    held = (coded.where(F.octet_length("html") >= min_bytes).groupBy("__digest")
-                 .agg(F.max("page_id").alias("__kept"), F.count("page_id").alias("__n")).where("__n > 1").drop("__n"))
-    return (coded.join(held, "__digest", "left")
-                 .withColumn("refers_to", F.when(F.col("page_id") < F.col("__kept"), F.col("__kept")))
-                 .select("page_id", "url", "html", "refers_to"))
+    held = (pages.where(F.col("size") >= min_bytes).groupBy("digest")
+                 .agg(F.max("page_id").alias("refers_to"), F.count("page_id").alias("n")).where("n > 1").drop("n"))
+    return (pages.select("page_id", "digest").join(held, "digest").where(F.col("page_id") < F.col("refers_to"))
+                 .select("page_id", "digest", "refers_to").distinct())
 
 
 def _urn(page_id: int | None) -> str:
@@ -76,14 +78,15 @@ def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     return gz.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + gz.flush()
 
 
-def page_record(page_id: int | None, url: str | None, html: str, refers_to: int | None) -> bytes:
-    payload = html.encode()
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def page_record(page_id: int | None, url: str | None, size: int, sha1: bytes, payload: bytes | None = None,
+                refers_to: int | None = None) -> bytes:
+    """The response that holds ``payload``, or without one the revisit of ``refers_to``."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     headers = [("WARC-Record-ID", _urn(page_id)), ("WARC-Date", DATE)]
     if url is not None:
         headers.append(("WARC-Target-URI", quote(url, safe="%/:=&?~#+!$,;'@()*[]")))
-    headers += [("WARC-Payload-Digest", _sha1(payload)), ("Content-Type", "application/http; msgtype=response")]
-    if refers_to is None:
+    headers += [("WARC-Payload-Digest", "sha1:" + base64.b32encode(sha1).decode()), ("Content-Type", "application/http; msgtype=response")]
+    if payload is not None:
         return record("response", headers, http + payload)
     return record("revisit", [*headers, ("WARC-Profile", PROFILE), ("WARC-Refers-To", _urn(refers_to))], http)
 
@@ -91,15 +94,31 @@ def page_record(page_id: int | None, url: str | None, html: str, refers_to: int
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Write ``pages`` (page_id, url, html) under ``folder``; returns the committed manifest."""
     spark = pages.sparkSession
-    picked = revisits(pages.select(F.col("page_id").cast("long"), "url", "html"))
-    dealt, _ = by_key_range(picked, "page_id", F.octet_length("html") + 512, SHARD_BYTES)
     roll = ROLL_BYTES
 
+    @F.arrow_udf(T.BinaryType())
+    def response(page_id: pa.Array, url: pa.Array, html: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in (page_id, url, html)), strict=True)
+        return pa.array([page_record(p, u, len(b := (h or "").encode()), hashlib.sha1(b).digest(), b) for p, u, h in rows], pa.binary())
+
+    # Responses are compressed where the pages are read, so the one exchange of payloads moves compressed
+    # records.  What a page revisits comes in the same exchange, ahead of the page, and takes its place there.
+    own = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    counted = own.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("size"))
+    add, n = plan(counted, "page_id", F.col("size") + 512, SHARD_BYTES)
+    records = own.select("page_id", F.sha1("html").alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url",
+                         F.octet_length("html").alias("size"), response("page_id", "url", "html").alias("record"))
+    refers = revisits(counted).select("page_id", "digest", "refers_to", F.lit(None).cast("string").alias("url"),
+                                      F.lit(0).alias("size"), F.lit(None).cast("binary").alias("record"))
+    dealt = (add(records.unionByName(refers)).repartitionById(n, F.col("shard"))
+             .sortWithinPartitions("page_id", F.col("refers_to").desc_nulls_last(), "digest"))
+
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = open_folder(f"{folder}/temporary")
         attempt = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         out = None
         rolled = size = records = 0
+        held: dict = {}                                 # of the page at hand: digest -> (page, what it refers to)
 
         def close() -> pa.RecordBatch:
             out.close()
@@ -107,26 +126,30 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                                                "bytes": [size], "sha1": [sha1.hexdigest()]})
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for shard, page, digest, target, url, bytes_, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if target is not None:
+                    held = {d: r for d, r in held.items() if r[0] == page} | {digest: (page, target)}
+                    continue
+                if held.get(digest, (None,))[0] == page and page is not None:
+                    data = page_record(page, url, bytes_, bytes.fromhex(digest), refers_to=held[digest][1])
                 if out is not None and size >= roll:
                     yield close()
                     out, rolled = None, rolled + 1
                 if out is None:
-                    name = f"pages-{row['shard']:05d}-{rolled:05d}.warc.gz"
+                    name = f"pages-{shard:05d}-{rolled:05d}.warc.gz"
                     out = system.open_output_stream(f"{path}/{name}.{attempt}", buffer_size=1 << 20, compression=None)
-                    data = record("warcinfo", [("WARC-Record-ID", f"<urn:file:{name}>"), ("WARC-Date", DATE),
+                    info = record("warcinfo", [("WARC-Record-ID", f"<urn:file:{name}>"), ("WARC-Date", DATE),
                                                ("WARC-Filename", name), ("Content-Type", "application/warc-fields")],
                                   b"format: WARC File Format 1.1\r\n")
-                    sha1, records, size = hashlib.sha1(data), 0, len(data)
-                    out.write(data)
-                data = page_record(row["page_id"], row["url"], row["html"], row["refers_to"])
+                    sha1, records, size = hashlib.sha1(info), 0, len(info)
+                    out.write(info)
                 out.write(data)
                 sha1.update(data)
                 size, records = size + len(data), records + 1
         if out is not None:
             yield close()
 
-    dealt.select("shard", "page_id", "url", "html", "refers_to").mapInArrow(put, MANIFEST).write.parquet(f"{folder}/reported")
+    dealt.select("shard", "page_id", "digest", "refers_to", "url", "size", "record").mapInArrow(put, MANIFEST).write.parquet(f"{folder}/reported")
 
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = open_folder(folder)
@@ -191,8 +214,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
                                                  names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    # one file is one unit of work: deal them out evenly
-    return listed.repartition(F.col("file")).mapInArrow(get, PAGE)
+    return listed.repartition(min(READERS, max(1, listed.count())), "file").mapInArrow(get, PAGE)
 
 
 def write_and_read(spark: SparkSession, pages: DataFrame) -> DataFrame:
