@@ -42,7 +42,7 @@ from rejoinder.llm.common import cut
 
 LENGTH, GRAM = 100, 32
 #: Windows of a piece that is sorted; bytes sorted together; bytes of one key in one task.
-PIECE, BATCH, BLOCK = 64, 1 << 20, 1 << 20
+PIECE, BATCH, BLOCK = 64, 1 << 18, 1 << 20
 #: A list of ids is broadcast up to this many rows; a larger one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 FIRST_ID = -(1 << 63)
@@ -84,14 +84,14 @@ def suffix_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     left gives the suffixes that are one longer, and each text gains one.
     """
     symbols = np.frombuffer(b"\xff" + b"\xff".join(texts) + b"\xff", np.uint8) + np.uint8(1)   # UTF-8 has no byte FF
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    places = ends
+    last = (np.cumsum([len(t) + 1 for t in texts]) - 1).astype(np.int32)
+    before = last                                       # the symbol before each suffix, in the suffixes' order
     for _ in range(max(map(len, texts), default=0)):
-        transform = symbols[places - 1]
-        order = np.argsort(transform, kind="stable")
-        order = order[np.searchsorted(transform[order], 1):]
-        places = np.concatenate([ends, places[order] - 1])
-    return symbols, places
+        transform = symbols[before]
+        ended = len(transform) - np.count_nonzero(transform)
+        order = np.argsort(transform, kind="stable")[ended:]
+        before = np.concatenate([last, before[order] - 1])
+    return symbols, before + 1
 
 
 def repeats(texts: list[bytes], places_of: list[tuple]) -> tuple[list[np.ndarray], list[tuple[bytes, int, int]]]:
