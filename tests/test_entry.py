@@ -1,6 +1,7 @@
 """Driver contract: entry() runs, every key has an oracle unless it is listed as rows-only."""
 
 import __spark_entry__ as E
+from rejoinder.plans.catalog import QUERIES
 
 ROWS_ONLY = {"embed_text", "batch_generate", "semantic_max_text"}
 
@@ -13,8 +14,8 @@ def test_entry_runs(spark):
 
 def test_every_key_has_oracle_or_is_rows_only():
     q, o = E.queries(), E.oracle_sql()
-    assert set(q) - set(o) == ROWS_ONLY
-    assert set(o) <= set(q)
+    assert set(QUERIES) - set(o) == ROWS_ONLY
+    assert set(o) <= set(q) and set(QUERIES) <= set(q)
 
 
 def test_small_queries_run(spark):
