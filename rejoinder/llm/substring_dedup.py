@@ -7,8 +7,9 @@ document of smaller id or further left in the same one, goes.  Windows never cro
 2. Dealing.  A window's key is the least hash of its ``GRAM``-byte strings, so equal windows have
    equal keys, and neighbouring windows mostly share one: a run of windows with one key is a segment,
    about one for 35 bytes.  Only (key, hash of the segment, place) is shuffled.
-3. Of equal segments all but the first repeat it.  A key with one content is settled by that; of a
-   key with several contents the first segment of each goes on, with its bytes.
+3. Of equal segments all but the first repeat it.  A key with one content that holds the key's string at
+   one place only is settled by that (equal windows hold it at the same offset, so windows of one segment
+   can be equal only if it holds it twice); else the first segment of each content goes on, with its bytes.
 4. Suffix sorting.  Tasks build the Burrows-Wheeler transform of their segments column by column:
    round t puts the suffixes of length t of all segments in order, by the symbol before each suffix
    of the round before (a stable sort of the transform).  Common prefixes of neighbours are then
@@ -54,26 +55,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, last window) of the runs of windows with one key, in order."""
+def _widest(h: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+    """``of`` (minimum or maximum) over every ``width`` neighbours."""
+    span = 1
+    while 2 * span <= width:                            # over 2, 4, 8 ... neighbours
+        h = of(h[:-span], h[span:])
+        span *= 2
+    return of(h[:span - width], h[width - span:]) if span < width else h
+
+
+def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first window, last window, whether the key's string stands in it twice) of the runs of windows with one key, in order."""
     n = len(data)
     if n < LENGTH:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none.astype(bool)
     eight = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 8)
     eight = np.ascontiguousarray(eight).view("<u8")[:, 0]
     grams = n - GRAM + 1
     h = np.zeros(grams, np.uint64)
     for k in range(0, GRAM, 8):
         h = _mix(h + eight[k:k + grams])
-    width, span = LENGTH - GRAM + 1, 1
-    while 2 * span <= width:                            # least of 2, 4, 8 ... neighbours
-        h = np.minimum(h[:-span], h[span:])
-        span *= 2
-    if span < width:
-        h = np.minimum(h[:span - width], h[width - span:])
-    first = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-    return h[first], first, np.concatenate([first[1:] - 1, [n - LENGTH]])
+    width = LENGTH - GRAM + 1
+    key = _widest(h, width, np.minimum)
+    first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+    # a string that is the least of some window equals the greatest key of the windows that hold it; those of one run follow each other
+    least = h[h == _widest(np.pad(key, width - 1), width, np.maximum)]
+    held = np.diff(np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]]))
+    return key[first], first, np.concatenate([first[1:] - 1, [n - LENGTH]]), held > 1
 
 
 def suffix_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +149,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(other, ["d", "t"], "left_anti")
 
 
-SEGMENT = "m long, g long, d long, t long, s1 int, s2 int"
+SEGMENT = "m long, g long, d long, t long, s1 int, s2 int, twice boolean"
 
 
 def _segments(docs: DataFrame) -> DataFrame:
@@ -149,10 +158,10 @@ def _segments(docs: DataFrame) -> DataFrame:
             out, held = [], 0
             for d, t, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
-                m, a, b = segments(data)
+                m, a, b, twice = segments(data)
                 g = np.fromiter((xxhash.xxh3_64_intdigest(data[x:y + LENGTH]) for x, y in zip(a.tolist(), b.tolist(), strict=True)),
                                 np.uint64, len(m))
-                out.append((m.view(np.int64), g.view(np.int64), np.full(len(m), d), np.full(len(m), t), a.astype(np.int32), b.astype(np.int32)))
+                out.append((m.view(np.int64), g.view(np.int64), np.full(len(m), d), np.full(len(m), t), a.astype(np.int32), b.astype(np.int32), twice))
                 held += len(m)
                 if held > 100_000:
                     yield pack(out)
@@ -162,7 +171,7 @@ def _segments(docs: DataFrame) -> DataFrame:
 
     def pack(out):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)],
-                                          names=["m", "g", "d", "t", "s1", "s2"])
+                                          names=["m", "g", "d", "t", "s1", "s2", "twice"])
 
     return docs.select("d", "t", "text").mapInArrow(run, SEGMENT)
 
@@ -243,8 +252,8 @@ def spans(docs: DataFrame) -> DataFrame:
     by_key = Window.partitionBy("m")
     in_order = by_key.orderBy("g", "d", "t", "s1")
     told = (_segments(alone).withColumn("again", F.coalesce(F.lag("g").over(in_order) == F.col("g"), F.lit(False)))
-            .withColumn("several", F.min("g").over(by_key) < F.max("g").over(by_key)).where("again or several"))
-    told = cut(told.drop("g"), "segments")
+            .withColumn("several", F.min("g").over(by_key) < F.max("g").over(by_key)).where("again or several or twice"))
+    told = cut(told.drop("g", "several", "twice"), "segments")
     pieces = _pieces(alone, told.where("not again").select("m", "d", "t", "s1", "s2"))
     found = cut(_sorted_repeats(pieces), "repeats")
     by_string = Window.partitionBy("f1", "f2").orderBy("d", "t", "first")

@@ -81,3 +81,27 @@ def test_repeated_ids_and_rows_and_empty_tables(spark):
     assert got[0][0] == "1" and len(got) == 5 and got[3] == ("2", 240, 240) and got[4] == ("None", 0, 0)
     assert sorted(removed[:3]) in ([0, 0, 240], [0, 240, 240])        # by the hash of the texts one of the two comes first
     assert S.digests(df.limit(0)).count() == 0 and S.deduplicate(df.limit(0)).columns == df.columns
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_repeats_inside_a_lone_segment(spark, copies):
+    rnd = random.Random(7)
+    texts = ["".join(chr(97 + 5 * k + rnd.randrange(5)) for _ in range(period)) * (400 // period + 1) for k, period in enumerate((1, 3, 40, 69, 70))]
+    texts = [f"{t}{'-' * i}" for t in texts for i in range(copies)] + ["Z" * 350] * copies
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert want[len(rows) - copies][1] == 349
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: v[:4] for k, v in want.items()}
+
+
+def test_segments_tell_whether_their_key_stands_twice():
+    rnd = random.Random(8)
+    for data in [bytes(rnd.choice(b"abcdefgh") for _ in range(n)) * k for n, k in ((100, 1), (700, 1), (30, 9), (69, 5), (90, 4), (1, 500), (140, 3))]:
+        grams = [data[i:i + S.GRAM] for i in range(len(data) - S.GRAM + 1)]
+        for _, a, b, twice in zip(*S.segments(data), strict=True):
+            common = set.intersection(*(set(grams[i:i + S.LENGTH - S.GRAM + 1]) for i in range(a, b + 1)))
+            inside = grams[a:b + S.LENGTH - S.GRAM + 1]
+            windows = [data[i:i + S.LENGTH] for i in range(a, b + 1)]
+            assert twice or (len(set(windows)) == len(windows) and any(inside.count(g) == 1 for g in common))
+            assert not twice or any(inside.count(g) > 1 for g in inside)
