@@ -1,11 +1,12 @@
 r"""N-gram Jaccard self-join with count vectors, an R-tree, and exact verification.
 
-A document's set holds its distinct word 3-grams (one 64-bit hash each).  Two sets link
-when 100 * |A and B| >= 90 * |A or B|.
+A document's set holds its distinct word n-grams of ``size`` words (one 64-bit hash each).  Two sets link
+when |A and B| >= ``similarity`` * |A or B|; that is read as a decimal fraction s and compared in whole numbers.
 
 1. Equal sets are one class, represented by its smallest doc_id; all else is about classes.
-2. Dealing.  Linked sets differ in at most (|A| + |B|) / 19 elements.  Elements are hashed
-   into one group more than that, so at least one group has the same content in both.  Sizes
+2. Dealing.  Linked sets differ in at most (|A| + |B|) * (1 - s) / (1 + s) elements (a 19th at 0.9).  Elements
+   are hashed into more groups than that, so at least one group has the same content in both.  A set with
+   elements in more groups than can differ leaves out its empty ones, as one of the others is then shared.  Sizes
    fall into geometric bands (a set takes part in its own band and the one below), and a key
    is band, group and a hash of the group's content.  Linked classes share a bucket.
 3. Hubs.  In every bucket all members are verified against ``HUBS`` hubs (smallest and largest id, and one
@@ -28,6 +29,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +41,9 @@ from pyspark.sql import functions as F
 from rejoinder.llm.common import cut
 from rejoinder.llm.components import components
 
-WORDS_IN_SHINGLE = 3
-#: A bit under the similarity, so that rounding cannot put linked sizes two bands apart.
-BAND = math.log(1 / 0.89)
+WORDS_IN_SHINGLE, SIMILARITY = 3, 0.9
+#: Bands are a bit wider than linked sizes differ, so that rounding cannot put those two bands apart.
+SLACK = 0.011
 #: Coordinates of a point, members of a bucket compared in one task, fan-out of the tree.
 GROUPS, BLOCK, FAN = 64, 4096, 16
 HUBS = 3
@@ -68,33 +71,53 @@ def shingles(text: str | None, size: int = WORDS_IN_SHINGLE) -> np.ndarray:
     return np.unique(total)
 
 
-def band(n: int) -> int:
-    return int(math.log(n) / BAND)
+@lru_cache
+def ratio(similarity: float) -> tuple[int, int]:
+    """The similarity as a fraction of whole numbers."""
+    if not 0 < similarity <= 1:
+        raise ValueError(f"similarity {similarity} is not in (0, 1]")
+    return Fraction(str(similarity)).as_integer_ratio()
 
 
-def groups_of(b: int) -> int:
-    """One more than the elements in which a set of band ``b`` and a linked one, no smaller, can differ."""
-    most = math.ceil(math.exp((b + 1) * BAND))
-    return (most + int(most / 0.9)) // 19 + 1
+def _width(similarity: float) -> float:
+    return math.log(1 / similarity) + SLACK
 
 
-def keys(s: np.ndarray) -> np.ndarray:
-    """The bucket keys of a set.  Sets of fewer than nine elements link only with equal ones."""
-    if len(s) < 9:
+def band(n: int, similarity: float = SIMILARITY) -> int:
+    return int(math.log(n) / _width(similarity))
+
+
+@lru_cache(4096)
+def groups_of(b: int, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """(elements in which a set of band ``b`` and a linked one, no smaller, can differ; groups: one more, and for empty ones)."""
+    num, den = ratio(similarity)
+    least, most = math.exp(b * _width(similarity)), math.ceil(math.exp((b + 1) * _width(similarity)))
+    differ = (most + most * den // num) * (den - num) // (den + num)
+    n = differ + 1
+    return differ, n + min(n, int(2 * n * math.exp(-least / n)))
+
+
+def keys(s: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The bucket keys of a set.  Sets too small to differ in one element (fewer than nine at 0.9) link only with equal ones."""
+    num, den = ratio(similarity)
+    if not len(s) or len(s) * (den - num) < num:
         return np.zeros(0, np.uint64)
-    out = []
-    for b in (band(len(s)) - 1, band(len(s))):
-        n = groups_of(b)
+    out, own = [], band(len(s), similarity)
+    for b in range(max(own - 1, 0), own + 1):
+        differ, n = groups_of(b, similarity)
         group = ((s >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
         content = np.zeros(n, np.uint64)
         np.add.at(content, group, _mix(s + np.uint64(b)))
-        out.append(_mix(content + _mix(np.arange(n, dtype=np.uint64) + np.uint64(b << 32))))
+        key = _mix(content + _mix(np.arange(n, dtype=np.uint64) + np.uint64(b << 32)))
+        filled = np.bincount(group, minlength=n) > 0
+        out.append(key[filled] if np.count_nonzero(filled) > differ else key)
     return np.concatenate(out)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    num, den = ratio(similarity)
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return bool(both) and 100 * both >= 90 * (len(a) + len(b) - both)
+    return bool(both) and den * both >= num * (len(a) + len(b) - both)
 
 
 def point(s: np.ndarray) -> np.ndarray:
@@ -116,29 +139,30 @@ class CountTree:
             least = np.minimum.reduceat(least, cuts)
             self.levels.append((low, high, least))
 
-    def near(self, q: np.ndarray, size: int) -> np.ndarray:
+    def near(self, q: np.ndarray, size: int, similarity: float = SIMILARITY) -> np.ndarray:
         """Places of the points whose overlap with ``q`` may reach the similarity."""
+        num, den = ratio(similarity)
         nodes = np.arange(len(self.levels[-1][0]))
         q = q.astype(np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
             low, high, least = (x[nodes] for x in self.levels[level])
             apart = (np.maximum(low - q, 0) + np.maximum(q - high, 0)).sum(1)
-            # a linked set has at most size / 0.9 elements, and differs in at most a 19th of both
-            keep = nodes[(19 * apart <= size + size / 0.9) & (least <= size / 0.9)]
+            # a linked set has at most size / s elements, and differs in at most (1 - s) / (1 + s) of both: (1 - s) / s of size
+            keep = nodes[(num * apart <= (den - num) * size) & (num * least <= den * size)]
             nodes = (keep[:, None] * FAN + np.arange(FAN)).ravel()
             nodes = nodes[nodes < (len(self.points) if level == 0 else len(self.levels[level - 1][0]))]
         apart = np.abs(self.points[nodes] - q).sum(1)
-        return self.order[nodes[19 * apart <= size + self.sizes[nodes]]]
+        return self.order[nodes[(den + num) * apart <= (den - num) * (size + self.sizes[nodes])]]
 
 
 # --- Spark ---------------------------------------------------------------------
 
-def sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS_IN_SHINGLE) -> DataFrame:
     """(doc_id, n, h1, h2): size and 128-bit hash of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [shingles(t) for t in batch.column(1).to_pylist()]
+            rows = [shingles(t, size) for t in batch.column(1).to_pylist()]
             h = [xxhash.xxh3_128(s.tobytes()).digest() for s in rows]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in rows], pa.int64()),
@@ -155,7 +179,7 @@ def _picked(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
     return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(key, id, n) of the documents' sets."""
 
     def run(batches):
@@ -163,8 +187,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             held, size, out = [], [], []
             for i, t in zip(ids, texts, strict=True):
-                s = shingles(t)
-                k = keys(s)
+                s = shingles(t, words)
+                k = keys(s, similarity)
                 out.append(k.view(np.int64))
                 held += [i] * len(k)
                 size += [len(s)] * len(k)
@@ -209,12 +233,12 @@ def _shared(keyed: DataFrame) -> DataFrame:
                  .mapInArrow(run, "key long, id long, n long"))
 
 
-def _sets_of(docs: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, size: int) -> DataFrame:
     """(id, n, s, p): the sets themselves and their points, as bytes."""
 
     def run(batches):
         for batch in batches:
-            rows = [shingles(t) for t in batch.column(1).to_pylist()]
+            rows = [shingles(t, size) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in rows], pa.int64()),
                                               pa.array([s.tobytes() for s in rows], pa.binary()),
                                               pa.array([point(s).tobytes() for s in rows], pa.binary())], names=["id", "n", "s", "p"])
@@ -222,21 +246,22 @@ def _sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, s binary, p binary")
 
 
-def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, held: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose sets in ``held`` (id, n, s) link."""
+    num, den = ratio(similarity)
 
     @F.arrow_udf("boolean")
     def check(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64))
+        return pa.array([linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), similarity)
                          for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
 
     a = held.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
     b = held.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    near = 10 * F.least("na", "nb") >= 9 * F.greatest("na", "nb")
+    near = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
     return pairs.join(a, "a").join(b, "b").where(near).where(check("sa", "sb")).select("a", "b")
 
 
-def survivors(rows: DataFrame) -> DataFrame:
+def survivors(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of different components that an R-tree cannot rule out; ``rows`` (key, id, n, component, p).
 
     Buckets of more than BLOCK members go out in pairs of blocks, so a task holds two blocks.
@@ -254,7 +279,7 @@ def survivors(rows: DataFrame) -> DataFrame:
         tree = CountTree(points, n)
         a, b = [], []
         for k in range(len(ids)):
-            found = tree.near(points[k], int(n[k]))
+            found = tree.near(points[k], int(n[k]), similarity)
             found = found[(comp[found] != comp[k]) & (ids[found] > ids[k])]
             a += [ids[k]] * len(found)
             b += ids[found].tolist()
@@ -263,10 +288,12 @@ def survivors(rows: DataFrame) -> DataFrame:
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS_IN_SHINGLE,
+         similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: doc_id, n_shingles (of ``size`` words), component_id (of links from ``similarity`` up)."""
+    ratio(similarity)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own = cut(sets(docs), "sets")
+    own = cut(sets(docs, size=size), "sets")
     classes = own.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
     classes = cut(classes, "classes")
     # the other members of a class take no part from here on; they are told by their ids
@@ -276,21 +303,21 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     left = docs.where(F.col("doc_id").isNotNull())
     other = F.broadcast(rest) if n_rest <= BROADCAST_ROWS else rest
     reps = left.join(other, left["doc_id"] == other["id"], "left_anti")
-    shared = cut(_shared(_keyed(reps)), "buckets")
+    shared = cut(_shared(_keyed(reps, size, similarity)), "buckets")
     nodes = shared.select("id").distinct()
-    held = cut(_sets_of(_picked(docs, nodes, nodes.count())), "node-sets")
+    held = cut(_sets_of(_picked(docs, nodes, nodes.count()), size), "node-sets")
     held = held.groupBy("id").agg(F.min(F.struct("n", "s", "p")).alias("x")).select("id", "x.*")
     hubs = shared.groupBy("key").agg(F.array_distinct(F.array(*[
         F.min("id"), F.max("id"), F.min_by("id", F.xxhash64("id"))][:HUBS])).alias("hubs"))
     pairs = shared.select("key", F.col("id").alias("a")).join(hubs, "key").select("a", F.explode("hubs").alias("b"))
     pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = cut(verified(pairs, held), "verified")
+    links = cut(verified(pairs, held, similarity), "verified")
     comp = components(links)
     # buckets that still hold several components
     labelled = shared.select("key", "id", "n").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = labelled.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
-    left_over = survivors(labelled.join(several, "key").join(held.select("id", "p"), "id"))
-    more = cut(verified(left_over, held), "verified")
+    left_over = survivors(labelled.join(several, "key").join(held.select("id", "p"), "id"), similarity)
+    more = cut(verified(left_over, held, similarity), "verified")
     if more.limit(1).count():
         comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     by_class = (classes.join(comp, classes["rep"] == comp["id"], "left")
@@ -299,8 +326,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, *, size: int = WORDS_IN_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that are the first of their component, with their own columns; rows without an id stay."""
-    found = join(docs).groupBy("doc_id").agg(F.min("component_id").alias("__component"))
+    found = join(docs, size=size, similarity=similarity).groupBy("doc_id").agg(F.min("component_id").alias("__component"))
     drop = found.where("doc_id != __component").select(F.col("doc_id").alias("__id"))
     return docs.join(drop, docs["doc_id"] == drop["__id"], "left_anti")

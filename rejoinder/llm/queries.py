@@ -88,7 +88,7 @@ def op9_token_counts(spark, sf_dir):
 
 @register("op5_jaccard_join")
 def op5_jaccard_join(spark, sf_dir):
-    return jaccard_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return jaccard_join.join(table(spark, sf_dir, "documents", "doc_id", "text"), size=3, similarity=0.9)
 
 
 @register("op10_substring_dedup")

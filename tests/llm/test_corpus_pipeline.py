@@ -84,3 +84,17 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     for frame in (docs, docs.limit(0)):
         for _, stage in C.STAGES[:-1]:
             assert sorted(stage(spark, frame, str(tmp_path)).dtypes) == sorted(docs.dtypes)
+
+
+def test_near_duplicates_link_from_five_words_and_four_fifths(spark):
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for edits in (2, 4, 5, 6, 12):                            # four edits: 5 words 176 / 216, 3 words 186 / 210
+        places = rnd.sample(range(10, 190, 9), edits)
+        texts.append(" ".join(f"e{edits}-{i}" if i in places else w for i, w in enumerate(base)))
+    rows = list(enumerate(texts))
+    want = test_jaccard_join.brute_at(rows, 5, 80)
+    assert want != test_jaccard_join.brute_at(rows, 5, 90) and {d for d, (_, c) in test_jaccard_join.brute(rows).items() if d == c} != {d for d, (_, c) in want.items() if d == c}
+    docs = spark.createDataFrame([(d, t, "en", "src", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in C.near_duplicates(spark, docs, "").collect()) == sorted(d for d, (_, c) in want.items() if d == c)

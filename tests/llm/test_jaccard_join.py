@@ -100,3 +100,43 @@ def test_filter_null_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(3, t, "a"), (1, t + " x", "b"), (None, t, "c"), (None, None, "d"), (5, "", "e"), (6, "", "f")], "doc_id long, text string, id string")
     assert sorted(r.id for r in J.keep_one(df).collect()) == ["b", "c", "d", "e", "f"] and J.keep_one(df).columns == df.columns
     assert J.join(df.limit(0)).count() == 0
+
+
+def brute_at(rows, size, percent):
+    """Components as in ``brute``, for word n-grams of ``size`` words and another similarity."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
+    s = [{tuple(w[i:i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set()) for w in words]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            o = len(s[i] & s[j])
+            if label[i] != label[j] and o and 100 * o >= percent * (len(s[i]) + len(s[j]) - o):
+                label = [label[j] if x == label[i] else x for x in label]
+    low = {}
+    for (d, _), x in zip(rows, label, strict=True):
+        low[x] = min(d, low.get(x, d))
+    return {d: (len(s[i]), low[label[i]]) for i, (d, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize(("size", "percent"), [(5, 80), (2, 55)])
+def test_other_sizes_and_similarities(spark, size, percent):
+    rows = cases(size)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(df, size=size, similarity=percent / 100).collect()}
+    assert got == brute_at(rows, size, percent)
+
+
+@pytest.mark.parametrize("similarity", [1.0, 0.95, 0.8, 0.7, 0.5, 0.2])
+def test_linked_pairs_share_a_key_and_stay_in_the_tree(similarity):
+    rnd, pairs = np.random.default_rng(9), 0
+    for n in [*range(1, 40), 100, 333, 1000]:
+        for _ in range(20):
+            a = np.unique(rnd.integers(0, 2**63, n).astype(np.uint64))
+            new = rnd.integers(0, 2**63, int(rnd.integers(0, n * (1 - similarity) + 2))).astype(np.uint64)
+            b = np.union1d(a[int(rnd.integers(0, n * (1 - similarity) + 1)):], new)
+            if J.linked(a, b, similarity) and len(a) + len(new) and not np.array_equal(a, b):
+                pairs += 1
+                assert len(np.intersect1d(J.keys(a, similarity), J.keys(b, similarity)))
+                small, large = sorted((a, b), key=len)
+                assert len(J.CountTree(J.point(large)[None], np.array([len(large)])).near(J.point(small), len(small), similarity))
+    assert pairs > 50 or similarity == 1
