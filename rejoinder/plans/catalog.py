@@ -510,8 +510,9 @@ def q_pair_similarity_describe(spark, d):
 def q_embed_text(spark, d):
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text")
     e = V.embed_text(docs, num_features=1 << 12)
-    return e.select("row_id", F.size("embedding").alias("dim"),
-                    F.size(F.filter("embedding", lambda x: x != 0)).alias("nonzero"))
+    entries = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] != 0)
+    return e.select("row_id", F.size("embedding").alias("dim"), F.size(entries).alias("nonzero"),
+                    F.transform(entries, lambda e: F.struct(e["i"].alias("i"), F.round(e["x"].cast("double"), 5).alias("x"))).alias("entries"))
 
 
 # --- entities and sentiment --------------------------------------------------------

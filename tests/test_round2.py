@@ -81,3 +81,22 @@ def test_baseline_counts_a_message_in_each_of_its_themes(spark):
     finally:
         K.X.vectors = old
     assert got == {"all": 3, "theme=1": 2, "theme=2": 2}
+
+
+def test_embed_text_returns_the_whole_vector(spark, tmp_path):
+    from pyspark.ml.feature import HashingTF
+
+    from rejoinder.plans.catalog import QUERIES
+
+    texts = ["a b b c", "a c d", "a", "e e e f b", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    place = HashingTF(numFeatures=1 << 12).indexOf
+    bags = [{i: sum(place(w) == i for w in t.split()) for i in map(place, t.split())} for t in texts]
+    want = {}
+    for d, bag in enumerate(bags):
+        v = {i: c * np.log((len(texts) + 1) / (sum(i in b for b in bags) + 1)) for i, c in bag.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        want[d] = {i: pytest.approx(x / norm, abs=2e-5) for i, x in v.items() if x}
+    got = QUERIES["embed_text"](spark, str(tmp_path)).collect()
+    assert {r.row_id: {e.i: e.x for e in r.entries} for r in got} == want
+    assert all(r.dim == 1 << 12 and r.nonzero == len(want[r.row_id]) for r in got)
