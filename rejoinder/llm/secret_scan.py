@@ -269,10 +269,14 @@ def _joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _of_kinds(*kinds: str) -> Column:
+    return F.filter("found", lambda s: s["kind"].isin(*kinds))
+
+
 def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, counts of the base kinds, digest of their spans, all spans as text, and n_confirmed."""
     found = scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), out_col="found").select("doc_id", "found")
-    base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    base = _of_kinds(*BASE_KINDS)
+    counts = [F.size(_of_kinds(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"),
                         (F.size("found") - F.size(base)).cast("long").alias("n_confirmed"))
