@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rejoinder.llm import byte_bpe, chat_format, decontaminate, jaccard_join, quality, secret_scan, substring_dedup, token_records, toxicity, unigram_count, warc
+from rejoinder.llm import byte_bpe, chat_format, decontaminate, jaccard_join, lexical_search, quality, secret_scan, substring_dedup, token_records, toxicity, unigram_count, warc
 from rejoinder.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,12 @@ def op10_substring_dedup(spark, sf_dir):
 @register("op13_secret_scan")
 def op13_secret_scan(spark, sf_dir):
     return secret_scan.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register("op11_lexical_search")
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.rank(table(spark, sf_dir, "documents", "doc_id", "text"),
+                               table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+ORACLE["op11_lexical_search"] = lexical_search.ORACLE
