@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rejoinder.llm import byte_bpe, chat_format, decontaminate, jaccard_join, lexical_search, quality, secret_scan, substring_dedup, token_records, toxicity, unigram_count, warc
+from rejoinder.llm import byte_bpe, chat_format, decontaminate, jaccard_join, lexical_search, quality, secret_scan, substring_dedup, token_alignment, token_records, toxicity, unigram_count, warc
 from rejoinder.llm.common import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ def op11_lexical_search(spark, sf_dir):
 
 
 ORACLE["op11_lexical_search"] = lexical_search.ORACLE
+
+
+@register("op12_token_alignment")
+def op12_token_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_alignment.digests(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -110,23 +110,25 @@ class WordEncoder:
     A byte-level tokenizer with the usual pattern never joins a space to what
     stands before it, so a text may be cut before every space that white space
     does not both precede and follow; each part is encoded by the library once.
-    Texts that hold such a space, and tokenizers of another make, are encoded whole.
+    Texts that hold such a space or an added token, and tokenizers of another make, are encoded whole.
+    ``special_as_text``: strings of special tokens are ordinary text (by default they become their ids, as in the library).
     """
 
-    def __init__(self, config: str):
+    def __init__(self, config: str, *, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(config)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         own = json.loads(config)
+        self.added = [t["content"] for t in own.get("added_tokens") or [] if not (special_as_text and t.get("special"))]
         pre = own.get("pre_tokenizer") or {}
         self.by_word = (own.get("normalizer") is None and pre.get("type") == "ByteLevel"
                         and not pre.get("add_prefix_space") and pre.get("use_regex", True))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
 
-    def _library(self, parts: list[str]) -> list[bytes]:
+    def library(self, parts: list[str]) -> list[bytes]:
         return [array(self.dtype.char, e.ids).tobytes()
                 for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
@@ -143,7 +145,7 @@ class WordEncoder:
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         if not self.by_word:
-            yield from self._library(texts)
+            yield from self.library(texts)
             return
         split = [text.split(" ") for text in texts]
         words = set().union(*split)
@@ -151,16 +153,20 @@ class WordEncoder:
         if odd:
             split = [parts if odd.isdisjoint(parts) or not _NO_CUT.search(text) else [text]
                      for text, parts in zip(texts, split, strict=True)]
+        whole = [i for i, text in enumerate(texts) if any(t in text for t in self.added)]
+        for i in whole:
+            split[i] = [texts[i]]
+        if odd or whole:
             words = set().union(*split)
-        firsts = self._library([parts[0] for parts in split])
+        firsts = self.library([parts[0] for parts in split])
         for parts in split:
             del parts[0]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache = self.cache
-        new = list(set().union(*split).difference(cache)) if odd else list(words.difference(cache))
+        new = list(set().union(*split).difference(cache)) if odd or whole else list(words.difference(cache))
         long = {}
-        for w, ids in zip(new, self._library([" " + w for w in new]), strict=True):
+        for w, ids in zip(new, self.library([" " + w for w in new]), strict=True):
             (cache if len(w) <= CACHE_LEN else long)[w] = ids
         get = cache.__getitem__
         for first, parts in zip(firsts, split, strict=True):

@@ -38,23 +38,32 @@ def test_checksum_known_value_and_brute_force():
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)                        # on defaults: special tokens become their ids
 
 
 def test_cut_at_spaces_is_exact(library):
     rnd = random.Random(5)
-    texts = ["", " ", "  ", "a  b", "a   b", "a \n b", "a \n  b", "a\n ", "x\n  b", "it's <|endoftext|> 'll", "\t \t", " a ", "a  "]
+    texts = ["", " ", "  ", "a  b", "a   b", "a \n b", "a \n  b", "a\n ", "x\n  b", "it's <|endoftext|> 'll", "<|endoftext|>", "x<|endoftext|> <|endoftext|>y", "a  <|endoftext|>  b", "<|endoftext",  "\t \t", " a ", "a  "]
     texts += ["".join(rnd.choice("a b '\ns\t é  ") for _ in range(rnd.randint(0, 40))) for _ in range(2000)]
     enc = R.WordEncoder(open(PATH).read())
     for text, got in zip(texts, enc.encode(texts), strict=True):
         assert np.frombuffer(got, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_special_tokens_as_text_on_request(library):
+    enc = R.WordEncoder(open(PATH).read(), special_as_text=True)
+    library.encode_special_tokens = True
+    try:
+        for text in ("a <|endoftext|> b", "<|endoftext|>"):
+            assert np.frombuffer(next(enc.encode([text])), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    finally:
+        library.encode_special_tokens = False
+    assert np.frombuffer(next(R.WordEncoder(open(PATH).read()).encode(["a <|endoftext|> b"])), "<u2").tolist() == [64, 220, 50256, 275]
+
+
 def test_round_trip(spark, library, monkeypatch):
     monkeypatch.setattr(R, "SHARD_BYTES", 2000)
-    rows = [(i * 3, f"word{i} two  three\n" * (i % 7)) for i in range(300)] + [(1, None), (2, ""), (4, "x" * 30000), (None, "n")]
+    rows = [(i * 3, f"word{i} two  three\n" * (i % 7)) for i in range(300)] + [(1, None), (2, ""), (4, "x" * 30000), (None, "n"), (5, "b <|endoftext|> c")]
     df = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, shard string, start int").repartition(5)
     folder = shared_folder(spark, "t")
     manifest = R.write(df, PATH, folder)
