@@ -7,20 +7,24 @@ when |A and B| >= ``similarity`` * |A or B|; that is read as a decimal fraction
 2. Dealing.  Linked sets differ in at most (|A| + |B|) * (1 - s) / (1 + s) elements (a 19th at 0.9).  Elements
    are hashed into more groups than that, so at least one group has the same content in both.  A set with
    elements in more groups than can differ leaves out its empty ones, as one of the others is then shared.  Sizes
-   fall into geometric bands (a set takes part in its own band and the one below), and a key
-   is band, group and a hash of the group's content.  Linked classes share a bucket.
-3. Hubs.  In every bucket all members are verified against ``HUBS`` hubs (smallest and largest id, and one
-   by hash), a linear number of pairs; verified links are contracted to components.  That merges
-   large families of near copies without looking at their pairs.
-4. R-tree.  In buckets that still hold several components, the members' group counts are
-   points of an R-tree.  The overlap of two sets is at most the sum over coordinates of the
-   smaller count, and of a set and a node at most the same with the node's upper corner; what
-   survives between different components is verified.  Buckets of more than ``BLOCK`` members are
-   split into pairs of blocks.
+   fall into geometric bands (a set takes part in its own band, and in the one below if a linked set may lie there),
+   and a key is band, group and a hash of the group's content.  Linked classes share a bucket.  Of buckets
+   with the same members one stays.
+3. R-tree.  The members' group counts are points of an R-tree in each bucket.  Sets differ in at least the summed
+   differences of their counts (the overlap is at most the sum of the smaller counts), and from a node's box
+   likewise.  Three passes, each over the buckets that still hold several components:
+   a. every member names its nearest point in reach; of those each set keeps the nearest over all its
+      buckets, so there is at most one pair a set to verify.  Buckets of more than ``BLOCK`` members are dealt into blocks;
+   b. the same between components, with blocks dealt anew;
+   c. all pairs of blocks: members that have a point of another component in reach are kept, come with their whole sets, and are
+      verified inside the task, where verified sets become one; only links that merge something leave it, less than
+      a link a member.
+4. Verification of a and b ships a large set as three bytes of each hash.  Those count no overlap too low, so
+   they refute exactly and confirm with a margin; pairs inside the margin are verified on whole hashes.
 5. Components of all verified links.
 
-Nothing is capped: every linked pair shares a bucket, and a bucket is left out only if its
-members are one component already.  Null, blank and empty texts have empty sets and are linked
+Nothing is capped: every linked pair shares a bucket, and a bucket is left only when its
+members are one component.  Null, blank and empty texts have empty sets and are linked
 with nothing.  Rows without an id get no component of their own: theirs is that of an equal
 set, or null.  Of different texts with one id the smallest set stands for the id in links.
 """
@@ -42,11 +46,12 @@ from rejoinder.llm.common import cut
 from rejoinder.llm.components import components
 
 WORDS_IN_SHINGLE, SIMILARITY = 3, 0.9
-#: Bands are a bit wider than linked sizes differ, so that rounding cannot put those two bands apart.
-SLACK = 0.011
+#: Bands are this much wider than linked sizes differ (in logarithms), so that rounding cannot put those two bands apart.
+WIDER, SLACK = 1.5, 0.011
 #: Coordinates of a point, members of a bucket compared in one task, fan-out of the tree.
-GROUPS, BLOCK, FAN = 64, 4096, 16
-HUBS = 3
+GROUPS, BLOCK, FAN = 256, 4096, 16
+#: Sets of more elements are shipped as three bytes of each hash; false agreements that a verified pair may have beyond four times those expected.
+WHOLE, MARGIN = 512, 6
 #: A list of ids is broadcast up to this many rows; a larger one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 
@@ -80,7 +85,7 @@ def ratio(similarity: float) -> tuple[int, int]:
 
 
 def _width(similarity: float) -> float:
-    return math.log(1 / similarity) + SLACK
+    return WIDER * math.log(1 / similarity) + SLACK
 
 
 def band(n: int, similarity: float = SIMILARITY) -> int:
@@ -103,7 +108,8 @@ def keys(s: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     if not len(s) or len(s) * (den - num) < num:
         return np.zeros(0, np.uint64)
     out, own = [], band(len(s), similarity)
-    for b in range(max(own - 1, 0), own + 1):
+    least = -(-len(s) * num // den)                     # the smallest linked set
+    for b in range(max(min(own, band(max(least - 1, 1), similarity)), 0), own + 1):
         differ, n = groups_of(b, similarity)
         group = ((s >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
         content = np.zeros(n, np.uint64)
@@ -130,7 +136,7 @@ class CountTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.order = np.lexsort((*points.T[:4], sizes))
-        self.points, self.sizes = points[self.order].astype(np.int64), sizes[self.order]
+        self.points, self.sizes = points[self.order].astype(np.int16), sizes[self.order]
         low, high, least = self.points, self.points, self.sizes
         self.levels = []
         while len(least) > 1 or not self.levels:
@@ -139,20 +145,90 @@ class CountTree:
             least = np.minimum.reduceat(least, cuts)
             self.levels.append((low, high, least))
 
-    def near(self, q: np.ndarray, size: int, similarity: float = SIMILARITY) -> np.ndarray:
-        """Places of the points whose overlap with ``q`` may reach the similarity."""
+    def near(self, q: np.ndarray, size: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+        """(places, distances) of the points whose overlap with ``q`` may reach the similarity."""
         num, den = ratio(similarity)
         nodes = np.arange(len(self.levels[-1][0]))
-        q = q.astype(np.int64)
+        q = q.astype(np.int16)
         for level in range(len(self.levels) - 1, -1, -1):
             low, high, least = (x[nodes] for x in self.levels[level])
-            apart = (np.maximum(low - q, 0) + np.maximum(q - high, 0)).sum(1)
+            apart = (np.maximum(low - q, 0) + np.maximum(q - high, 0)).sum(1, dtype=np.int64)
             # a linked set has at most size / s elements, and differs in at most (1 - s) / (1 + s) of both: (1 - s) / s of size
             keep = nodes[(num * apart <= (den - num) * size) & (num * least <= den * size)]
             nodes = (keep[:, None] * FAN + np.arange(FAN)).ravel()
             nodes = nodes[nodes < (len(self.points) if level == 0 else len(self.levels[level - 1][0]))]
-        apart = np.abs(self.points[nodes] - q).sum(1)
-        return self.order[nodes[(den + num) * apart <= (den - num) * (size + self.sizes[nodes])]]
+        apart = np.abs(self.points[nodes] - q).sum(1, dtype=np.int64)
+        fine = (den + num) * apart <= (den - num) * (size + self.sizes[nodes])
+        return self.order[nodes[fine]], apart[fine]
+
+
+def nearest(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """For each point the place of the nearest point in reach that is of another component (-1: none), and the distance by size."""
+    num, den = ratio(similarity)
+    n = len(sizes)
+    at, gap = np.full(n, -1), np.zeros(n)
+    if n <= FAN:                                        # one leaf: all its points at once
+        wide = points.astype(np.int16)
+        apart = np.abs(wide[:, None] - wide[None]).sum(2, dtype=np.int64)
+        both = sizes[:, None] + sizes[None]
+        far = ((den + num) * apart > (den - num) * both) | (component[:, None] == component[None])
+        part = np.where(far, np.inf, apart / both)
+        best = part.argmin(1)
+        gap = part[np.arange(n), best]
+        return np.where(np.isinf(gap), -1, best), gap
+    tree = CountTree(points, sizes)
+    for k in range(n):
+        found, apart = tree.near(points[k], int(sizes[k]), similarity)
+        other = component[found] != component[k]
+        if other.any():
+            part = apart[other] / (sizes[found[other]] + sizes[k])
+            best = part.argmin()
+            at[k], gap[k] = found[other][best], part[best]
+    return at, gap
+
+
+def merging(sets_: list[np.ndarray], points: np.ndarray, sizes: np.ndarray, component: np.ndarray,
+            similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Pairs of places whose sets link and that join components, found by the tree, nearest first: one for each merge."""
+    tree, label, out = CountTree(points, sizes), component.copy(), []
+    for k in range(len(sizes)):
+        found, apart = tree.near(points[k], int(sizes[k]), similarity)
+        for f in found[np.argsort(apart, kind="stable")].tolist():
+            if f > k and label[f] != label[k] and linked(sets_[k], sets_[f], similarity):
+                out.append((k, f))
+                label[label == label[f]] = label[k]
+    return out
+
+
+def packed(s: np.ndarray) -> bytes:
+    """A sorted set as bytes: whole hashes, of a large set their first three bytes."""
+    if len(s) <= WHOLE:
+        return s.tobytes()
+    return (s >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpacked(n: int, data: bytes) -> np.ndarray:
+    if n <= WHOLE:
+        return np.frombuffer(data, np.uint64)
+    wide = np.zeros((n, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(data, np.uint8).reshape(n, 3)
+    return wide.view("<u4").ravel().astype(np.uint64)
+
+
+def verdict(n: int, a: bytes, m: int, b: bytes, similarity: float = SIMILARITY) -> int:
+    """Whether two packed sets link: 1 yes, 0 no, -1 not to be told from three bytes."""
+    num, den = ratio(similarity)
+    least = -(-num * (n + m) // (den + num))
+    x, y = _unpacked(n, a), _unpacked(m, b)
+    if n <= WHOLE and m <= WHOLE:
+        return int(len(np.intersect1d(x, y, assume_unique=True)) >= least)
+    # agreements of truncated hashes, with repeats: no fewer than there are of whole ones
+    x, y = ((v >> np.uint64(40) if k <= WHOLE else v) for v, k in ((x, n), (y, m)))
+    x, y = ((v.astype(np.int64) << 24) + np.arange(len(v)) - np.searchsorted(v, v) for v in (x, y))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    if both < least:
+        return 0
+    return 1 if both >= least + MARGIN + 4 * n * m // (1 << 24) else -1
 
 
 # --- Spark ---------------------------------------------------------------------
@@ -180,29 +256,22 @@ def _picked(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(key, id, n) of the documents' sets."""
+    """(key, id) of the documents' sets."""
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            held, size, out = [], [], []
-            for i, t in zip(ids, texts, strict=True):
-                s = shingles(t, words)
-                k = keys(s, similarity)
-                out.append(k.view(np.int64))
-                held += [i] * len(k)
-                size += [len(s)] * len(k)
-                if len(held) > 200_000:
-                    yield _batch(out, held, size)
-                    held, size, out = [], [], []
-            if held:
-                yield _batch(out, held, size)
-
-    def _batch(out, held, size):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(held, pa.int64()), pa.array(size, pa.int64())],
-                                          names=["key", "id", "n"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, id long, n long")
+            many, out, size = [], [], 0
+            for at, t in enumerate(texts):
+                out.append(keys(shingles(t, words), similarity).view(np.int64))
+                many.append(len(out[-1]))
+                size += many[-1]
+                if size > 200_000 or at + 1 == len(texts):
+                    held = np.repeat(np.array(ids[at + 1 - len(many):at + 1], np.int64), many)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(held)], names=["key", "id"])
+                    many, out, size = [], [], 0
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, id long")
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
@@ -229,63 +298,186 @@ def _shared(keyed: DataFrame) -> DataFrame:
         keep[len(key) - (not last):] = False
         return table.filter(pa.array(keep))
 
-    return (keyed.repartition("key").sortWithinPartitions("key")
-                 .mapInArrow(run, "key long, id long, n long"))
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, id long")
+
+
+def buckets(shared: DataFrame) -> DataFrame:
+    """(key, id, m) of one bucket of each set of members, with their number; members are told by two sums of hashes."""
+    rows = shared.distinct()
+    summed = rows.groupBy("key").agg(F.count("*").alias("m"), *(
+        F.sum(F.xxhash64("id", F.lit(salt)).cast("decimal(38,0)")).alias(f"h{salt}") for salt in (1, 2)))
+    chosen = summed.where("m > 1").groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key", "m")
+    return rows.join(chosen, "key")
 
 
-def _sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, s, p): the sets themselves and their points, as bytes."""
+def _sets_of(docs: DataFrame, size: int, whole: bool) -> DataFrame:
+    """(id, n, h, s, p): the sets (whole, or packed) with their size, a hash of them and their points, as bytes."""
 
     def run(batches):
         for batch in batches:
             rows = [shingles(t, size) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in rows], pa.int64()),
-                                              pa.array([s.tobytes() for s in rows], pa.binary()),
-                                              pa.array([point(s).tobytes() for s in rows], pa.binary())], names=["id", "n", "s", "p"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, s binary, p binary")
-
-
-def verified(pairs: DataFrame, held: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose sets in ``held`` (id, n, s) link."""
+            h = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in rows]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([len(s) for s in rows], pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)),
+                pa.array([s.tobytes() if whole else packed(s) for s in rows], pa.binary()),
+                pa.array([point(s).tobytes() for s in rows], pa.binary())], names=["id", "n", "h", "s", "p"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, h long, s binary, p binary")
+
+
+def _sets_of_ids(docs: DataFrame, ids: DataFrame, size: int, whole: bool) -> DataFrame:
+    """(id, n, s, p) of the ids, one set each: of several texts with one id the smallest set."""
+    picked = _picked(docs, ids, ids.count())
+    repeated = cut(picked.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id")), "repeated-ids")
+    count = repeated.count()
+    held = _sets_of(picked, size, whole)
+    if not count:
+        return held.drop("h")
+    repeated = F.broadcast(repeated) if count <= BROADCAST_ROWS else repeated
+    least = held.join(repeated, "id", "left_semi").groupBy("id").agg(F.min(F.struct("n", "h", "s", "p")).alias("x")).select("id", "x.n", "x.s", "x.p")
+    return held.drop("h").join(repeated, "id", "left_anti").unionByName(least)
+
+
+def verified(pairs: DataFrame, held: DataFrame, docs: DataFrame, size: int, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) that link, by packed sets in ``held`` (id, n, s), and by whole ones of ``docs`` where those cannot tell."""
     num, den = ratio(similarity)
+    pairs = cut(pairs, "pairs")
+
+    @F.arrow_udf("int")
+    def check(n: pa.Array, x: pa.Array, m: pa.Array, y: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in (n, x, m, y)), strict=True)
+        return pa.array([verdict(*r, similarity) for r in rows], pa.int32())
+
+    def both(pairs, held):
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        count = ids.count()
+        held = held.join(F.broadcast(ids) if count <= BROADCAST_ROWS else ids, "id", "left_semi")
+        a = held.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+        b = held.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+        return pairs.join(a, "a").join(b, "b").where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+
+    told = cut(both(pairs, held).select("a", "b", check("na", "sa", "nb", "sb").alias("v")).where("v != 0"), "told")
+    open_ = told.where("v < 0").select("a", "b")
+    if not open_.limit(1).count():
+        return told.select("a", "b")
 
     @F.arrow_udf("boolean")
-    def check(x: pa.Array, y: pa.Array) -> pa.Array:
+    def check_whole(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), similarity)
                          for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
 
-    a = held.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    b = held.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    near = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    return pairs.join(a, "a").join(b, "b").where(near).where(check("sa", "sb")).select("a", "b")
+    ids = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    whole = both(open_, _sets_of_ids(docs, ids, size, True)).where(check_whole("sa", "sb")).select("a", "b")
+    return told.where("v > 0").select("a", "b").unionByName(cut(whole, "told"))
+
+
+def _runs(batches, names: list[str]):
+    """Tables of the rows that agree in ``names``, from rows sorted by them."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+        columns = [table.column(c).to_numpy() for c in names]
+        change = np.zeros(table.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        starts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for start, end in zip(starts[:-1], starts[1:], strict=True):
+            yield table.slice(start, end - start)
+        rest = table.slice(starts[-1])
+    if rest is not None:
+        yield rest
+
+
+def _labelled(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``rows`` (key, id, m) of buckets that hold several components, with each row's component."""
+    if comp is None:
+        return rows.withColumn("component", F.col("id"))
+    labelled = rows.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = labelled.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
+    return cut(labelled.join(several, "key").select("key", "id", "m", "component"), "open")
+
+
+def _points(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("p").to_pylist()), np.uint8).reshape(-1, GROUPS)
+
 
+def proposals(rows: DataFrame, held: DataFrame, similarity: float, salt: int) -> DataFrame:
+    """(a, b): for each id of ``rows`` (key, id, m, component) the nearest id in reach of another component; at most one an id."""
 
-def survivors(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of different components that an R-tree cannot rule out; ``rows`` (key, id, n, component, p).
+    def run(batches):
+        for table in _runs(batches, ["key", "part"]):
+            if table.num_rows < 2:
+                continue
+            ids, n, comp = (table.column(c).to_numpy() for c in ("id", "n", "component"))
+            at, gap = nearest(_points(table), n, comp, similarity)
+            has = at >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(ids[at[has]]), pa.array(gap[has])], names=["a", "b", "gap"])
+
+    part = F.pmod(F.xxhash64("id", F.lit(salt)), F.ceil(F.col("m") / BLOCK)).cast("int")
+    dealt = rows.withColumn("part", part).join(held.select("id", "n", "p"), "id").select("key", "part", "id", "n", "component", "p")
+    named = dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long, gap double")
+    best = named.groupBy("a").agg(F.min(F.struct("gap", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to every pair (i, j) of their bucket's blocks; a task of one pair holds two blocks."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    return (rows.withColumn("__blocks", blocks).withColumn("__own", F.pmod(F.xxhash64("id"), F.col("__blocks")).cast("int"))
+                .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+                .withColumns({"i": F.least("__own", "__other"), "j": F.greatest("__own", "__other")})
+                .drop("__blocks", "__own", "__other"))
+
+
+def contested(rows: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """The members (key, i, j, id, component) that have a point of another component in reach in their pair of blocks."""
 
-    Buckets of more than BLOCK members go out in pairs of blocks, so a task holds two blocks.
-    """
-    sized = rows.groupBy("key").agg(F.count("*").alias("__m"))
-    dealt = (rows.join(sized, "key").withColumn("__blocks", F.ceil(F.col("__m") / BLOCK).cast("int"))
-                 .withColumn("__own", F.pmod(F.xxhash64("id"), F.col("__blocks")).cast("int"))
-                 .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-                 .select("key", F.least("__own", "__other").alias("i"), F.greatest("__own", "__other").alias("j"),
-                         "id", "n", "component", "p"))
+    def run(batches):
+        for table in _runs(batches, ["key", "i", "j"]):
+            if table.num_rows < 2:
+                continue
+            at, _ = nearest(_points(table), table.column("n").to_numpy(), table.column("component").to_numpy(), similarity)
+            yield from table.select(["key", "i", "j", "id", "component"]).filter(pa.array(at >= 0)).to_batches()
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, n, comp = (table.column(c).to_numpy() for c in ("id", "n", "component"))
-        points = np.frombuffer(b"".join(table.column("p").to_pylist()), np.uint8).reshape(-1, GROUPS)
-        tree = CountTree(points, n)
-        a, b = [], []
-        for k in range(len(ids)):
-            found = tree.near(points[k], int(n[k]), similarity)
-            found = found[(comp[found] != comp[k]) & (ids[found] > ids[k])]
-            a += [ids[k]] * len(found)
-            b += ids[found].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    dealt = _block_pairs(rows).join(held.select("id", "n", "p"), "id").select("key", "i", "j", "id", "component", "n", "p")
+    return (dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+                 .mapInArrow(run, "key long, i int, j int, id long, component long"))
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+def merging_links(rows: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that merge components of ``rows`` (key, i, j, id, component), verified on whole sets inside the tasks."""
+
+    def run(batches):
+        for table in _runs(batches, ["key", "i", "j"]):
+            if table.num_rows < 2:
+                continue
+            ids, n, comp = (table.column(c).to_numpy() for c in ("id", "n", "component"))
+            held = [np.frombuffer(s, np.uint64) for s in table.column("s").to_pylist()]
+            found = merging(held, _points(table), n, comp, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([int(ids[x[k]]) for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    dealt = rows.join(whole, "id").select("key", "i", "j", "id", "component", "n", "s", "p")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _linked_components(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(id, component) of the documents (doc_id, text; one for each class) that link with a smaller id."""
+    rows = cut(buckets(cut(_shared(_keyed(docs, size, similarity)), "shared")), "buckets")
+    nodes = rows.select("id").distinct()
+    held = cut(_sets_of_ids(docs, nodes, size, False), "node-sets")
+    comp, links = None, None
+    for salt in (0, 1):
+        named = proposals(_labelled(rows, comp), held, similarity, salt)
+        found = verified(named, held, docs, size, similarity)
+        links = found if links is None else links.unionByName(found)
+        comp = components(links)
+    left = cut(contested(_labelled(rows, comp), held, similarity), "contested")
+    if not left.limit(1).count():
+        return comp
+    whole = _sets_of_ids(docs, left.select("id").distinct(), size, True)
+    return components(links.unionByName(merging_links(left, whole, similarity)))
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS_IN_SHINGLE,
@@ -303,23 +495,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     left = docs.where(F.col("doc_id").isNotNull())
     other = F.broadcast(rest) if n_rest <= BROADCAST_ROWS else rest
     reps = left.join(other, left["doc_id"] == other["id"], "left_anti")
-    shared = cut(_shared(_keyed(reps, size, similarity)), "buckets")
-    nodes = shared.select("id").distinct()
-    held = cut(_sets_of(_picked(docs, nodes, nodes.count()), size), "node-sets")
-    held = held.groupBy("id").agg(F.min(F.struct("n", "s", "p")).alias("x")).select("id", "x.*")
-    hubs = shared.groupBy("key").agg(F.array_distinct(F.array(*[
-        F.min("id"), F.max("id"), F.min_by("id", F.xxhash64("id"))][:HUBS])).alias("hubs"))
-    pairs = shared.select("key", F.col("id").alias("a")).join(hubs, "key").select("a", F.explode("hubs").alias("b"))
-    pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = cut(verified(pairs, held, similarity), "verified")
-    comp = components(links)
-    # buckets that still hold several components
-    labelled = shared.select("key", "id", "n").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = labelled.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
-    left_over = survivors(labelled.join(several, "key").join(held.select("id", "p"), "id"), similarity)
-    more = cut(verified(left_over, held, similarity), "verified")
-    if more.limit(1).count():
-        comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    comp = _linked_components(reps, size, similarity)
     by_class = (classes.join(comp, classes["rep"] == comp["id"], "left")
                        .select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id")))
     return (own.join(by_class, ["n", "h1", "h2"], "left")

@@ -62,10 +62,10 @@ def cases(seed):
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize(("seed", "hubs", "block"), [(1, 3, 4096), (2, 1, 5)])
-def test_against_brute_force(spark, monkeypatch, seed, hubs, block):
-    monkeypatch.setattr(J, "HUBS", hubs)
+@pytest.mark.parametrize(("seed", "block", "whole"), [(1, 4096, 512), (2, 5, 20)])
+def test_against_brute_force(spark, monkeypatch, seed, block, whole):
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "WHOLE", whole)
     rows = cases(seed)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n long").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(df).collect()}
@@ -91,10 +91,56 @@ def test_tree_loses_no_linked_point():
     points, sizes = np.array([J.point(s) for s in members]), np.array([len(s) for s in members])
     tree = J.CountTree(points, sizes)
     for i, s in enumerate(members):
-        found = set(tree.near(points[i], len(s)).tolist())
+        found = set(tree.near(points[i], len(s))[0].tolist())
         assert {j for j, t in enumerate(members) if J.linked(s, t)} <= found and len(found) < 80
 
 
+def test_packed_sets_never_refute_a_link_and_confirm_only_links(monkeypatch):
+    monkeypatch.setattr(J, "WHOLE", 40)
+    rnd, told = np.random.default_rng(7), {-1: 0, 0: 0, 1: 0}
+    for n in (5, 30, 41, 45, 300, 2000):
+        for _ in range(60):
+            a = np.unique(rnd.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+            b = np.union1d(a[int(rnd.integers(0, n // 6 + 1)):], rnd.integers(0, 2**63, int(rnd.integers(0, n // 9 + 2))).astype(np.uint64))
+            v = J.verdict(len(a), J.packed(a), len(b), J.packed(b))
+            told[v] += 1
+            assert v == -1 or v == J.linked(a, b)
+            assert v != -1 or max(len(a), len(b)) > 40
+    assert min(told.values()) > 20
+
+
+def test_nearest_and_merging_against_all_pairs():
+    rnd = np.random.default_rng(11)
+    for m in (1, 2, 9, 16, 17, 60):
+        base = [np.unique(rnd.integers(0, 2**63, 100).astype(np.uint64)) for _ in range(3)]
+        sets = [np.union1d(base[i % 3][int(rnd.integers(0, 8)):], rnd.integers(0, 2**63, int(rnd.integers(0, 8))).astype(np.uint64)) for i in range(m)]
+        points, sizes, comp = np.array([J.point(s) for s in sets]), np.array([len(s) for s in sets]), rnd.integers(0, 5, m)
+        at, gap = J.nearest(points, sizes, comp)
+        for i in range(m):
+            near = {j: np.abs(points[i].astype(int) - points[j]).sum() / (sizes[i] + sizes[j]) for j in range(m) if comp[i] != comp[j]}
+            near = {j: d for j, d in near.items() if 19 * d <= 1 + 1e-9}
+            assert at[i] == -1 and not near or abs(gap[i] - min(near.values())) < 1e-9 and at[i] in near
+        out, label = J.merging(sets, points, sizes, comp), comp.copy()
+        for i, j in out:
+            assert J.linked(sets[i], sets[j]) and label[i] != label[j]
+            label[label == label[i]] = label[j]
+        assert all(label[i] == label[j] for i in range(m) for j in range(m) if J.linked(sets[i], sets[j])) and len(out) < m
+
+
+def test_one_id_with_several_texts(spark):
+    long, short = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, long), (1, short), (2, short + " x"), (3, long + " y"), (4, short), (4, short), (5, long + " y")]
+    got = {r.doc_id: r.component_id for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id > 1}
+    assert got[2] == got[4] and got[3] == got[5]
+
+
+def test_a_very_long_text(spark):
+    base = [f"w{i * 7919 % 100_003}" for i in range(120_000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[3000:])), (3, " ".join(base[40_000:])), (4, "x " * 200_000)]
+    got = {r.doc_id: r.component_id for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_filter_null_ids_and_empty_tables(spark):
     t = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(3, t, "a"), (1, t + " x", "b"), (None, t, "c"), (None, None, "d"), (5, "", "e"), (6, "", "f")], "doc_id long, text string, id string")
@@ -138,5 +184,5 @@ def test_linked_pairs_share_a_key_and_stay_in_the_tree(similarity):
                 pairs += 1
                 assert len(np.intersect1d(J.keys(a, similarity), J.keys(b, similarity)))
                 small, large = sorted((a, b), key=len)
-                assert len(J.CountTree(J.point(large)[None], np.array([len(large)])).near(J.point(small), len(small), similarity))
+                assert len(J.CountTree(J.point(large)[None], np.array([len(large)])).near(J.point(small), len(small), similarity)[0])
     assert pairs > 50 or similarity == 1
