@@ -9,9 +9,10 @@ decode byte by byte, B's pieces are UTF-8 with the word mark as a space and ``<0
   an entry for each overlapping pair of occurrences, with the number of bytes they share: the links.
 * Groups.  Where an A and a B token end at the same byte, a group ends.  The product of the token-group matrices
   has an entry for each pair of occurrences in one group: the shared-group links.
-* Units.  Neither tokenizer joins a space to a character other than white space before it, so at such a space tokens of both begin,
-  and units between them are aligned by themselves: all new units of some texts together, as one block-diagonal product,
-  and kept in a bounded cache.  (Where a B piece holds a word mark after another character, a text is one unit.)
+* Texts are multiplied together, about ``PRODUCT_BYTES`` at once, as one block-diagonal product: tokens of both end where a text does.
+* Units.  Neither tokenizer joins a space to a character other than white space before it, so a text's tokens are those of the parts
+  between such spaces, which are encoded once and kept in a bounded cache.  (Where a B piece holds a word mark after another
+  character, a text is one part.)
 * Corpus counts.  Texts form blocks of about ``BLOCK_BYTES``.  A block is one row: its distinct id pairs with
   their counts, and for each text which of them it has and how often.  Pairs are added up over blocks (never over texts),
   and what a block needs comes back to it by a join on the pair and a regrouping by block.
@@ -40,8 +41,8 @@ from rejoinder.llm.common import cut, worker_state
 from rejoinder.llm.token_records import WordEncoder
 
 MARK = "▁"
-#: Bytes of text in a block, units in a worker's cache, the longest unit kept, bytes of new units multiplied at once.
-BLOCK_BYTES, CACHE_UNITS, CACHE_LEN, PRODUCT_BYTES = 4 << 20, 200_000, 64, 1 << 20
+#: Bytes of text in a block, units in a worker's cache, the longest unit kept, characters of text multiplied at once.
+BLOCK_BYTES, CACHE_UNITS, CACHE_LEN, PRODUCT_BYTES = 4 << 20, 500_000, 64, 1 << 19
 
 
 # --- sparse rows ---------------------------------------------------------------
@@ -117,7 +118,10 @@ class Aligner:
         self.by_unit = self.a.by_word and not self.a.added and not any(MARK in p.lstrip(MARK) for p in pieces)
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.width = len(pieces)
-        self.cache: dict[str, tuple | None] = {}
+        names = [str(i).encode() for i in range(max(len(self.a_bytes), len(pieces)))]
+        self.digits = np.array([len(x) for x in names], np.int64)
+        self.decimal = np.array([list(x.ljust(len(names[-1]))) for x in names], np.uint8)
+        self.cache: dict[str, tuple[bytes, bytes] | None] = {}
 
     def units(self, text: str) -> list[str]:
         """Parts of a text; each but for the space in front of it, which is A's first character and added by B."""
@@ -134,49 +138,25 @@ class Aligner:
                 out.append(p)
         return out
 
-    def encoded(self, units: list[str]) -> list[tuple[list[int], list[int], bool]]:
-        """(A ids, B ids, whether both stand for the unit's bytes) of each unit."""
-        out = []
+    def encoded(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """(A ids, B ids) of each unit, as bytes; None if they do not stand for the unit's bytes."""
         spaced = [" " + u for u in units]
-        a_ids = [np.frombuffer(x, self.a.dtype).tolist() for x in self.a.library(spaced)]
-        for u, a, b in zip(spaced, a_ids, self.b.encode(units, num_threads=1), strict=True):
-            data = u.encode()
-            good = b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b))
-            out.append((a, b, good))
-        return out
-
-    def aligned(self, units: list[str]) -> list[tuple | None]:
-        """For each unit (A tokens, B tokens, groups, links, shared-group links, groups as text, id pairs of links); None if bytes differ."""
-        coded = self.encoded(units)
-        good = [(a, b) for a, b, ok in coded if ok]
-        a = np.array([i for x, _ in good for i in x], np.int64)
-        b = np.array([i for _, x in good for i in x], np.int64)
-        tokens_a, tokens_b = over_bytes(self.a_len[a]), over_bytes(self.b_len[b])
-        links = tokens_a.times(tokens_b.transposed())
-        borders = np.intersect1d(tokens_a.start[1:], tokens_b.start[1:], assume_unique=True)
-        in_a, in_b = over_groups(tokens_a.start[1:], borders), over_groups(tokens_b.start[1:], borders)
-        shared = in_a.times(in_b.transposed())
-        i, j = links.cells()
-        pairs = a[i] * self.width + b[j]
-        group_a, group_b = in_a.columns.tolist(), in_b.columns.tolist()
-        out, at, at_b, at_g = [], 0, 0, 0
-        for x, y, ok in coded:
-            if not ok:
-                out.append(None)
-                continue
-            end, end_b = at + len(x), at_b + len(y)
-            n_groups = group_a[end - 1] + 1 - at_g
-            parts_a, parts_b = [[] for _ in range(n_groups)], [[] for _ in range(n_groups)]
-            for k, g in zip(x, group_a[at:end], strict=True):
-                parts_a[g - at_g].append(str(k))
-            for k, g in zip(y, group_b[at_b:end_b], strict=True):
-                parts_b[g - at_g].append(str(k))
-            text = ";".join(f"{','.join(p)}|{','.join(q)}" for p, q in zip(parts_a, parts_b, strict=True))
-            first, last = links.start[at], links.start[end]
-            out.append((len(x), len(y), n_groups, int(last - first), int(shared.start[end] - shared.start[at]), text,
-                        pairs[first:last].tobytes()))
-            at, at_b, at_g = end, end_b, at_g + n_groups
-        return out
+        a = self.a.library(spaced)
+        b = [np.array(x, np.int32).tobytes() if x else b"" for x in self.b.encode(units, num_threads=1)]
+        wanted = [u.encode() for u in spaced]
+        size = np.array([len(u) for u in wanted])
+        whole = True
+        for coded, kind, length, table in ((a, self.a.dtype, self.a_len, self.a_bytes), (b, np.int32, self.b_len, self.b_bytes)):
+            ids = np.frombuffer(b"".join(coded), kind)
+            ends = np.cumsum([len(x) // np.dtype(kind).itemsize for x in coded])
+            stands = np.concatenate([[0], np.cumsum(length[ids])])[np.concatenate([[0], ends]).astype(np.int64)]
+            whole = whole and (np.diff(stands) == size).all() and b"".join(map(table.__getitem__, ids.tolist())) == b"".join(wanted)
+        if whole:
+            return list(zip(a, b, strict=True))
+        if len(units) > 1:                              # some differ: told one by one
+            half = len(units) // 2
+            return self.encoded(units[:half]) + self.encoded(units[half:])
+        return [None]
 
     def _learn(self, units: list[str], into: dict) -> None:
         part, size = [], 0
@@ -184,13 +164,13 @@ class Aligner:
             part.append(u)
             size += len(u)
             if size > PRODUCT_BYTES:
-                into.update(zip(part, self.aligned(part), strict=True))
+                into.update(zip(part, self.encoded(part), strict=True))
                 part, size = [], 0
         if part:
-            into.update(zip(part, self.aligned(part), strict=True))
+            into.update(zip(part, self.encoded(part), strict=True))
 
-    def texts(self, texts: list[str]) -> Iterator[list[tuple]]:
-        """For each text its aligned units; none for an empty text and for one whose bytes differ."""
+    def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """(A ids, B ids) of each text, as bytes; none for an empty text and for one whose bytes differ."""
         split = [self.units(t) if t else [] for t in texts]
         needed = set().union(*split)
         if len(self.cache) > CACHE_UNITS:
@@ -199,12 +179,53 @@ class Aligner:
         self._learn([u for u in new if len(u) <= CACHE_LEN], self.cache)
         long: dict = {}
         self._learn([u for u in new if len(u) > CACHE_LEN], long)
+        out = []
         for text, units in zip(texts, split, strict=True):
             found = [long[u] if u in long else self.cache[u] for u in units] if long else list(map(self.cache.__getitem__, units))
-            if None in found:                            # told by the whole text
-                found = self.aligned([text]) if len(units) > 1 else []
-                found = [] if None in found else found
-            yield found
+            if None in found:                           # told by the whole text
+                found = [x for x in self.encoded([text]) if x] if len(units) > 1 else []
+            a, b = zip(*found, strict=True) if found else ((), ())
+            out.append((b"".join(a), b"".join(b)))
+        return out
+
+    def groups_as_text(self, a: np.ndarray, b: np.ndarray, in_a: Rows, in_b: Rows) -> tuple[np.ndarray, np.ndarray]:
+        """The groups ``a1,a2|b1;a3|b2,b3;`` of all tokens as bytes, and where each token, in that order, begins."""
+        many_a, many_b = (np.bincount(x.columns, minlength=x.width) for x in (in_a, in_b))
+        upto_a, upto_b = np.cumsum(many_a), np.cumsum(many_b)
+        place_a = np.arange(len(a)) + (upto_b - many_b)[in_a.columns]
+        place_b = np.arange(len(b)) + upto_a[in_b.columns]
+        ids, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        mark[place_a[upto_a - 1]], mark[place_b[upto_b - 1]] = ord("|"), ord(";")
+        size = self.digits[ids]
+        start = np.concatenate([[0], np.cumsum(size + 1)])
+        out = np.empty(start[-1], np.uint8)
+        for k in range(self.decimal.shape[1]):
+            has = size > k
+            out[start[:-1][has] + k] = self.decimal[ids[has], k]
+        out[start[:-1] + size] = mark
+        return out, start
+
+    def aligned(self, texts: list[str]) -> tuple[list[list[int]], list[str], list[np.ndarray]]:
+        """For each text [A tokens, B tokens, groups, links, shared-group links], the groups' digest, and the id pairs of its links."""
+        coded = self.tokens(texts)
+        a = np.frombuffer(b"".join(x for x, _ in coded), self.a.dtype).astype(np.int64)
+        b = np.frombuffer(b"".join(y for _, y in coded), np.int32).astype(np.int64)
+        n_a, n_b = (np.array([len(x[k]) // size for x in coded], np.int64) for k, size in ((0, self.a.dtype.itemsize), (1, 4)))
+        tokens_a, tokens_b = over_bytes(self.a_len[a]), over_bytes(self.b_len[b])
+        links = tokens_a.times(tokens_b.transposed())
+        borders = np.intersect1d(tokens_a.start[1:], tokens_b.start[1:], assume_unique=True)
+        in_a, in_b = over_groups(tokens_a.start[1:], borders), over_groups(tokens_b.start[1:], borders)
+        shared = in_a.times(in_b.transposed())
+        i, j = links.cells()
+        pairs = a[i] * self.width + b[j]
+        text, start = self.groups_as_text(a, b, in_a, in_b)
+        upto_a, upto_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
+        n_groups = np.diff(np.searchsorted(borders, tokens_a.start[upto_a], side="right"))
+        counts = np.stack([n_a, n_b, n_groups, np.diff(links.start[upto_a]), np.diff(shared.start[upto_a])], 1).tolist()
+        cut_at = start[upto_a + upto_b]
+        digest = [hashlib.sha256(text[s:e - 1]).hexdigest() if e > s else "" for s, e in zip(cut_at[:-1].tolist(), cut_at[1:].tolist(), strict=True)]
+        return counts, digest, np.split(pairs, links.start[upto_a[1:-1]])
 
 
 def _aligner(config: str, model: bytes) -> Aligner:
@@ -231,13 +252,13 @@ def align(df: DataFrame, a_path: str, b_path: str, *, text_col: str = "text") ->
         own = _aligner(config, model)
         rows = []
         for t in texts.to_pylist():
-            (a, b, good), = own.encoded([t]) if t else [([], [], True)]
-            a, b = (a, b) if good else ([], [])
-            x, y = over_bytes(own.a_len[np.array(a, np.int64)]), over_bytes(own.b_len[np.array(b, np.int64)])
+            coded = (own.encoded([t])[0] if t else None) or (b"", b"")
+            a, b = np.frombuffer(coded[0], own.a.dtype).astype(np.int64), np.frombuffer(coded[1], np.int32)
+            x, y = over_bytes(own.a_len[a]), over_bytes(own.b_len[b])
             links = x.times(y.transposed())
             borders = np.intersect1d(x.start[1:], y.start[1:])
             shared = over_groups(x.start[1:], borders).times(over_groups(y.start[1:], borders).transposed())
-            rows.append({"a_ids": a, "b_ids": b,
+            rows.append({"a_ids": a.tolist(), "b_ids": b.tolist(),
                          "links": [dict(zip(("a", "b", "bytes"), c, strict=True)) for c in zip(*(v.tolist() for v in (*links.cells(), links.values)), strict=True)],
                          "shared": [dict(zip("ab", c, strict=True)) for c in zip(*(v.tolist() for v in shared.cells()), strict=True)]})
         return pa.array(rows, pa.struct(list(kinds.items())))
@@ -255,12 +276,14 @@ def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     config, model = _files(a_path, b_path)
 
     def block(own: Aligner, number: int, ids: list, texts: list[str]) -> pa.RecordBatch:
-        counts, digest, codes = [], [], []
-        for found in own.texts(texts):
-            *n, groups, pairs = zip(*found, strict=True) if found else ((),) * 7
-            counts.append([sum(c) for c in n])
-            digest.append(hashlib.sha256(";".join(groups).encode()).hexdigest() if found else "")
-            codes.append(np.frombuffer(b"".join(pairs), np.int64))
+        counts, digest, codes, part, size = [], [], [], [], 0
+        for at, text in enumerate(texts):
+            part.append(text)
+            size += len(text)
+            if size > PRODUCT_BYTES or at + 1 == len(texts):
+                for into, more in zip((counts, digest, codes), own.aligned(part), strict=True):
+                    into += more
+                part, size = [], 0
         pairs, place = np.unique(np.concatenate(codes), return_inverse=True)
         totals = np.bincount(place, minlength=len(pairs))
         many, at, times, begin = [], [], [], 0
