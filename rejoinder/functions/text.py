@@ -52,11 +52,6 @@ def text_ngrams(c, n: int) -> Column:
     return F.regexp_extract_all(normalize_ws(c), F.lit(_gram_pattern(n)), F.lit(1))
 
 
-def tagged_text_ngrams(c, orders) -> Column:
-    """``array<struct<n:int, g:array<string>>>``: explode it, then explode ``g`` (no lambdas)."""
-    return F.array(*[F.struct(F.lit(n).alias("n"), text_ngrams(c, n).alias("g")) for n in orders])
-
-
 def ngrams(tokens, n: int, sep: str = " ") -> Column:
     """Array of n-grams (joined by ``sep``) of a token array; empty if too short.
 
@@ -73,16 +68,6 @@ def ngrams(tokens, n: int, sep: str = " ") -> Column:
     return F.transform(zipped, lambda z: F.concat_ws(sep, *[z[f] for f in fields]))
 
 
-def _tag(n: int):
-    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
-
-
-def explode_text_ngrams(df, text_col: str, orders, keep) -> "DataFrame":  # noqa: F821
-    """Rows (*keep, n, gram) for every n-gram of every order — two generators, no lambdas."""
-    x = df.select(*keep, F.explode(tagged_text_ngrams(text_col, orders)).alias("_a"))
-    return x.select(*keep, F.col("_a.n").alias("n"), F.explode("_a.g").alias("gram"))
-
-
 def regex_all(c, pattern: str) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(pattern), F.lit(0))
 

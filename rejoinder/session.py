@@ -6,8 +6,9 @@ import functools
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job wants regardless of cluster size.  Shuffle partitions are
 # left to the cluster (or the caller) except in local mode.
@@ -61,6 +62,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the checkpoint folder and read it back: later stages reread the files if an executor is lost."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @functools.cache
 def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="rejoinder-ckpt-")
