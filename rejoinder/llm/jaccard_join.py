@@ -12,14 +12,15 @@ when |A and B| >= ``similarity`` * |A or B|; that is read as a decimal fraction
    with the same members one stays.
 3. R-tree.  The members' group counts are points of an R-tree in each bucket.  Sets differ in at least the summed
    differences of their counts (the overlap is at most the sum of the smaller counts), and from a node's box
-   likewise.  Three passes, each over the buckets that still hold several components:
+   likewise.  Two searches, each over the buckets that hold several components:
    a. every member names its nearest point in reach; of those each set keeps the nearest over all its
-      buckets, so there is at most one pair a set to verify.  Buckets of more than ``BLOCK`` members are dealt into blocks;
-   b. the same between components, with blocks dealt anew;
-   c. all pairs of blocks: members that have a point of another component in reach are kept, come with their whole sets, and are
-      verified inside the task, where verified sets become one; only links that merge something leave it, less than
-      a link a member.
-4. Verification of a and b ships a large set as three bytes of each hash.  Those count no overlap too low, so
+      buckets, so there is at most one pair a set to verify.  Buckets of more than ``BLOCK`` members are dealt into
+      blocks, and searched a second time between components, with blocks dealt anew;
+   b. all pairs of blocks: the graph of points of different components in reach leaves a task as a spanning
+      forest, less than an edge a member.  Its connected parts over all buckets are families, and every pair that still can
+      link lies in one.  So each set goes to its family once, whole, where an R-tree of the family finds
+      the pairs, sets that are verified become one, and only links that merge something leave the task.
+4. Verification of a ships a large set as three bytes of each hash.  Those count no overlap too low, so
    they refute exactly and confirm with a margin; pairs inside the margin are verified on whole hashes.
 5. Components of all verified links.
 
@@ -49,7 +50,7 @@ WORDS_IN_SHINGLE, SIMILARITY = 3, 0.9
 #: Bands are this much wider than linked sizes differ (in logarithms), so that rounding cannot put those two bands apart.
 WIDER, SLACK = 1.5, 0.011
 #: Coordinates of a point, members of a bucket compared in one task, fan-out of the tree.
-GROUPS, BLOCK, FAN = 256, 4096, 16
+GROUPS, BLOCK, FAN = 256, 1024, 16
 #: Sets of more elements are shipped as three bytes of each hash; false agreements that a verified pair may have beyond four times those expected.
 WHOLE, MARGIN = 512, 6
 #: A list of ids is broadcast up to this many rows; a larger one is joined by shuffling.
@@ -187,6 +188,25 @@ def nearest(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, simila
     return at, gap
 
 
+def forest(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """A spanning forest (pairs of places) of the graph of points of different components in reach of each other."""
+    num, den = ratio(similarity)
+    n, out, label = len(sizes), [], np.arange(len(sizes))
+    tree = CountTree(points, sizes) if n > FAN else None
+    if tree is None:                                    # one leaf: all its points at once
+        wide = points.astype(np.int16)
+        apart = np.abs(wide[:, None] - wide[None]).sum(2, dtype=np.int64)
+        reach = ((den + num) * apart <= (den - num) * (sizes[:, None] + sizes[None])) & (component[:, None] != component[None])
+    for k in range(n):
+        found = np.flatnonzero(reach[k]) if tree is None else tree.near(points[k], int(sizes[k]), similarity)[0]
+        found = found[(label[found] != label[k]) & (component[found] != component[k])]
+        if len(found):
+            labels, first = np.unique(label[found], return_index=True)
+            out += [(k, int(f)) for f in found[first]]
+            label[np.isin(label, labels)] = label[k]
+    return out
+
+
 def merging(sets_: list[np.ndarray], points: np.ndarray, sizes: np.ndarray, component: np.ndarray,
             similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """Pairs of places whose sets link and that join components, found by the tree, nearest first: one for each merge."""
@@ -431,19 +451,23 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
                 .drop("__blocks", "__own", "__other"))
 
 
-def contested(rows: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """The members (key, i, j, id, component) that have a point of another component in reach in their pair of blocks."""
+def families(rows: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """(key, id): the family of every id of ``rows`` (key, id, m, component) that has a point of another component in reach."""
 
     def run(batches):
         for table in _runs(batches, ["key", "i", "j"]):
             if table.num_rows < 2:
                 continue
-            at, _ = nearest(_points(table), table.column("n").to_numpy(), table.column("component").to_numpy(), similarity)
-            yield from table.select(["key", "i", "j", "id", "component"]).filter(pa.array(at >= 0)).to_batches()
+            ids, n, comp = (table.column(c).to_numpy() for c in ("id", "n", "component"))
+            found = forest(_points(table), n, comp, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([int(ids[x[k]]) for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     dealt = _block_pairs(rows).join(held.select("id", "n", "p"), "id").select("key", "i", "j", "id", "component", "n", "p")
-    return (dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-                 .mapInArrow(run, "key long, i int, j int, id long, component long"))
+    named = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    edges = cut(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "reach")
+    parts = components(edges)
+    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return ids.join(parts, "id", "left").select(F.coalesce("component", "id").alias("key"), "id")
 
 
 def merging_links(rows: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
@@ -469,15 +493,19 @@ def _linked_components(docs: DataFrame, size: int, similarity: float) -> DataFra
     held = cut(_sets_of_ids(docs, nodes, size, False), "node-sets")
     comp, links = None, None
     for salt in (0, 1):
-        named = proposals(_labelled(rows, comp), held, similarity, salt)
-        found = verified(named, held, docs, size, similarity)
+        some = rows if comp is None else rows.where(F.col("m") > BLOCK)
+        if comp is not None and not some.limit(1).count():
+            break
+        found = verified(proposals(_labelled(some, comp), held, similarity, salt), held, docs, size, similarity)
         links = found if links is None else links.unionByName(found)
         comp = components(links)
-    left = cut(contested(_labelled(rows, comp), held, similarity), "contested")
-    if not left.limit(1).count():
+    near = cut(families(_labelled(rows, comp), held, similarity), "families")
+    if not near.limit(1).count():
         return comp
-    whole = _sets_of_ids(docs, left.select("id").distinct(), size, True)
-    return components(links.unionByName(merging_links(left, whole, similarity)))
+    near = near.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    dealt = _block_pairs(near.join(near.groupBy("key").agg(F.count("*").alias("m")), "key"))
+    whole = _sets_of_ids(docs, near.select("id"), size, True)
+    return components(links.unionByName(merging_links(dealt, whole, similarity)))
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS_IN_SHINGLE,

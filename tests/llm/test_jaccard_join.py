@@ -120,6 +120,14 @@ def test_nearest_and_merging_against_all_pairs():
             near = {j: np.abs(points[i].astype(int) - points[j]).sum() / (sizes[i] + sizes[j]) for j in range(m) if comp[i] != comp[j]}
             near = {j: d for j, d in near.items() if 19 * d <= 1 + 1e-9}
             assert at[i] == -1 and not near or abs(gap[i] - min(near.values())) < 1e-9 and at[i] in near
+        edges, part = J.forest(points, sizes, comp), list(range(m))
+        for i, j in edges:
+            assert part[i] != part[j] and comp[i] != comp[j]
+            part = [part[j] if x == part[i] else x for x in part]
+        for i in range(m):
+            for j in range(m):
+                if comp[i] != comp[j] and 19 * np.abs(points[i].astype(int) - points[j]).sum() <= sizes[i] + sizes[j]:
+                    assert part[i] == part[j]
         out, label = J.merging(sets, points, sizes, comp), comp.copy()
         for i, j in out:
             assert J.linked(sets[i], sets[j]) and label[i] != label[j]
