@@ -4,10 +4,8 @@
                         above (relative error < 1e-12)
 * ``normal_sf2``      — two-sided normal p-value  erfc(|z| / sqrt 2)
 * ``chi2_sf``         — chi-square survival for any integer degrees of freedom
-* ``binom_two_sided`` — exact two-sided sign/McNemar p = min(1, 2 P(X <= s)), X ~ Bin(n, 1/2),
-                        summed downwards in log space from the largest term; terms
-                        further than 40 sqrt(n) from s are below double precision and
-                        are not generated (exact to double precision for any n)
+* ``binom_two_sided`` — exact two-sided sign/McNemar p = min(1, 2 P(X <= s)), X ~ Bin(n, 1/2), as an
+                        incomplete beta integral by Gauss-Legendre quadrature: 64 nodes for any n
 * ``signed_rank_cdf`` — exact P(T <= w) of the Wilcoxon signed-rank statistic (subset-sum DP)
 
 Each has a DuckDB twin in ``rejoinder.plans.oracle``.
@@ -17,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,19 +81,42 @@ def chi2_sf(x, df) -> Column:
         .otherwise(F.least(F.lit(1.0), res))
 
 
+def _stirling_rest(k: Column) -> Column:
+    """log k! less Stirling's formula: exact for small k, the asymptotic series (below double precision) beyond."""
+    small = [0.0] + [math.lgamma(i + 1) - (0.5 * math.log(2 * math.pi * i) + i * math.log(i) - i) for i in range(1, 16)]
+    k = k.cast("double")
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / (k * k)) / (k * k)) / (k * k)) / (k * k)) / k
+    return F.when(k < 16, F.get(F.array(*map(F.lit, small)), k.cast("int"))).otherwise(series)
+
+
+def _log_half_binomial(s: Column, n: Column) -> Column:
+    """log(C(n, s) / 2^n) for 0 <= s <= n / 2, without differences of large logarithms."""
+    x, m = s.cast("double"), n.cast("double")
+    d = (m - 2 * x) / m                                  # s = n (1 - d) / 2
+    apart = m / 2 * ((1 - d) * F.log1p(-d) + (1 + d) * F.log1p(d))
+    inner = (_stirling_rest(n) - _stirling_rest(s) - _stirling_rest(n - s) - apart
+             + 0.5 * F.log(m / (2 * math.pi * x * (m - x))))
+    return F.when(s == 0, -m * math.log(2.0)).otherwise(inner)
+
+
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(64)
+
+
 def binom_two_sided(s, n) -> Column:
-    """min(1, 2 * P(X <= s)) for X ~ Binomial(n, 1/2) and s <= n/2 (exact McNemar / sign test)."""
-    s = _c(s).cast("long")
-    n = _c(n).cast("long")
-    # log of the largest term C(n, s) / 2^n
-    lt_s = F.aggregate(_seq(1, s), F.lit(0.0), lambda a, i: a + F.log(n - i + 1) - F.log(i)) - n * math.log(2.0)
-    # sum_{i<=s} C(n,i)/C(n,s), walking down from s; far terms vanish below double precision
-    span = F.least(s, (F.lit(40.0) * F.sqrt(n.cast("double")) + 100).cast("long"))
-    rel = F.aggregate(_seq(1, span), F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("t")),
-                      lambda a, j: F.struct((a["r"] * (s - j + 1) / (n - s + j)).alias("r"),
-                                            (a["t"] + a["r"] * (s - j + 1) / (n - s + j)).alias("t")),
-                      lambda a: a["t"])
-    p = F.exp(F.lit(math.log(2.0)) + lt_s + F.log(rel))
+    """min(1, 2 * P(X <= s)) for X ~ Binomial(n, 1/2) and s <= n/2 (exact McNemar / sign test).
+
+    P(X <= s) = (n - s) C(n, s) / 2^n * integral over u from 0 to 1 of (1 - u)^(n - s - 1) (1 + u)^s.
+    The integrand falls from 1 at least as fast as exp(-(n - 2s - 1) u - n u^2 / 3), so the integral is taken
+    to where that is e^-45, far below double precision, and is smooth there.
+    """
+    s, n = _c(s).cast("long"), _c(n).cast("long")
+    m = (n - 2 * s - 1).cast("double")
+    end = F.least(F.lit(1.0), 90.0 / (m + F.sqrt(m * m + 60.0 * n)))
+    nodes = F.array(*[F.struct(F.lit(float((1 + x) / 2)).alias("u"), F.lit(float(w / 2)).alias("w"))
+                      for x, w in zip(_NODES, _WEIGHTS, strict=True)])
+    area = F.aggregate(nodes, F.lit(0.0), lambda a, p: a + p["w"] * F.exp(
+        (n - s - 1) * F.log1p(-p["u"] * end) + s * F.log1p(p["u"] * end)))
+    p = 2.0 * (n - s) * F.exp(_log_half_binomial(s, n)) * end * area
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), p))
 
 

@@ -1,10 +1,9 @@
 """Significance and classification statistics, all categories and all model pairs in one plan.
 
-Inputs are long tables; the heavy work is group-bys and equi-joins on
-(category, subject), whose groups hold one row per model.  Ranks come from
-small windows (models of one subject) or from histograms of distinct values,
-never from a window over a whole category.  Tail probabilities are column
-expressions (``rejoinder.functions.special``).
+Inputs are long tables.  Scores are gathered once, one row a (category, subject) with an array of
+its (model, score); ranks, ties and pairs of models are read inside that row.  Ranks of differences over
+subjects are prefix sums over ranges (``ranges``), so neither a category nor a model pair gathers in one task.
+Tail probabilities are column expressions (``rejoinder.functions.special``).  Nothing is rounded here.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 
 from rejoinder.constants import SIGNIFICANCE_LEVEL
 from rejoinder.functions.special import binom_two_sided, chi2_sf, normal_sf2, signed_rank_cdf
+from rejoinder.operators.ranges import running_totals
+from rejoinder.session import cut
 
 R = 6
 NO_DIFF = "No significant difference"
@@ -23,69 +24,79 @@ def _r(c):
     return F.round(c, R)
 
 
-def friedman(long: DataFrame, *, category: str = "category", subject: str = "subject", model: str = "model",
-             score: str = "score", min_models: int = 3) -> DataFrame:
-    """Friedman chi-square per category over subjects scored by every model of the category.
+def _at_most_one(p):
+    """``least`` passes over nulls, so a missing p has to be kept missing."""
+    return F.when(p.isNotNull(), F.least(F.lit(1.0), p))
+
 
-    Output: category, statistic, p_value, kendall_w, n_subjects, k_models.
-    Categories with no complete subject or fewer than ``min_models`` models are absent.
+def score_panel(long: DataFrame, *, category: str = "category", subject: str = "subject", model: str = "model",
+                score: str = "score") -> DataFrame:
+    """(category, subject, s): the subject's (model, score) in order of models, written once.
+
+    A model that scores a subject twice raises an error, as a table of subjects and models has one cell for it.
     """
-    k = long.groupBy(category).agg(F.countDistinct(model).alias("k"))
-    per_subj = long.groupBy(category, subject).agg(F.count(score).alias("m"))
-    complete = per_subj.join(k, category).where(F.col("m") == F.col("k")).select(category, subject, "k")
-    rows = long.join(complete, [category, subject]).where(F.col(score).isNotNull())
-    w = Window.partitionBy(category, subject).orderBy(score)          # one subject: k rows
-    wt = Window.partitionBy(category, subject, score)
-    ranked = rows.select(category, subject, model, "k",
-                         (F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / 2.0).alias("rank"))
-    rsum = ranked.groupBy(category, model).agg(F.sum("rank").alias("rj"), F.first("k").alias("k"))
-    ties = (rows.groupBy(category, subject, score).agg(F.count(F.lit(1)).alias("t"))
-            .groupBy(category).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("tt")))
-    n = complete.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
-    agg = rsum.groupBy(category).agg(F.sum(F.pow("rj", 2)).alias("ssbn"), F.first("k").alias("k")) \
-        .join(n, category).join(ties, category)
+    rows = long.where(F.col(model).isNotNull()).groupBy(category, subject).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(model).alias("model"), F.col(score).cast("double").alias("score")))).alias("s"))
+    names = F.transform("s", lambda x: x["model"])
+    twice = F.size(F.array_distinct(names)) < F.size(names)
+    say = F.concat(F.lit("a model scores one subject twice: "), F.coalesce(F.col(category).cast("string"), F.lit("null")), F.lit(", "),
+                   F.coalesce(F.col(subject).cast("string"), F.lit("null")))
+    return cut(rows.select(F.col(category).alias("category"), F.col(subject).alias("subject"),
+                           F.when(twice, F.raise_error(say)).otherwise(F.col("s")).alias("s")), "panel")
+
+
+def _friedman(panel: DataFrame, min_models: int) -> DataFrame:
+    k = panel.select("category", F.explode("s.model").alias("m")).distinct().groupBy("category").agg(F.count(F.lit(1)).alias("k"))
+    rows = panel.withColumn("s", F.filter("s", lambda x: x["score"].isNotNull())).join(k, "category").where(F.size("s") == F.col("k"))
+
+    def ranked(x):
+        below = F.size(F.filter("s", lambda y: y["score"] < x["score"]))
+        equal = F.size(F.filter("s", lambda y: y["score"] == x["score"]))
+        # an element of a tie of t adds t^2 - 1, all of them t^3 - t
+        return F.struct(x["model"].alias("model"), (below + (equal + 1) / 2.0).alias("rank"), (equal * equal - 1).cast("long").alias("tie"))
+
+    each = rows.select("category", "k", F.posexplode(F.transform("s", ranked)).alias("at", "r"))
+    by_model = each.groupBy("category", "k", "r.model").agg(
+        F.sum("r.rank").alias("rj"), F.sum("r.tie").alias("tt"), F.count_if(F.col("at") == 0).alias("firsts"))
+    agg = by_model.groupBy("category", "k").agg(F.sum(F.pow("rj", 2)).alias("ssbn"), F.sum("tt").alias("tt"), F.sum("firsts").alias("n"))
     kk, nn = F.col("k").cast("double"), F.col("n").cast("double")
     c = 1 - F.col("tt") / (kk * (kk * kk - 1) * nn)
     chi = F.when(c == 0, F.lit(None).cast("double")).otherwise(
         (12.0 / (kk * nn * (kk + 1)) * F.col("ssbn") - 3 * nn * (kk + 1)) / c)
-    out = agg.where((F.col("n") >= 1) & (F.col("k") >= min_models)).select(
-        category, chi.alias("statistic"), "n", "k")
-    return out.select(
-        category, _r(F.col("statistic")).alias("statistic"),
-        _r(chi2_sf(F.col("statistic"), F.col("k") - 1)).alias("p_value"),
-        _r(F.col("statistic") / (F.col("n") * (F.col("k") - 1))).alias("kendall_w"),
-        F.col("n").alias("n_subjects"), F.col("k").cast("long").alias("k_models"))
-
-
-def wilcoxon_pairs(long: DataFrame, *, category: str = "category", subject: str = "subject",
-                   model: str = "model", score: str = "score", gate: DataFrame | None = None,
-                   alpha: float = SIGNIFICANCE_LEVEL, exact_max_n: int = 50) -> DataFrame:
-    """Wilcoxon signed-rank test for every model pair of every category (pairwise-complete subjects).
+    out = agg.where(F.col("k") >= min_models).select("category", chi.alias("statistic"), "n", "k")
+    return out.select("category", "statistic", chi2_sf(F.col("statistic"), F.col("k") - 1).alias("p_value"),
+                      (F.col("statistic") / (F.col("n") * (F.col("k") - 1))).alias("kendall_w"),
+                      F.col("n").alias("n_subjects"), F.col("k").cast("long").alias("k_models"))
 
-    Zero differences are dropped before ranking; mid-ranks of |d| come from the
-    histogram of distinct |d| values.  Statistic W = min(R+, R-).  p: exact
-    null distribution when there are no zeros, no ties and n <= ``exact_max_n``,
-    else the tie-corrected normal approximation.  ``z_stat`` is
-    (W - n(n+1)/4) / sqrt(n(n+1)(2n+1)/24) with n = all paired subjects (zeros
-    included); ``z_corrected`` is the statistic of the approximation.
-    Identical pairs yield a row with null statistic and p.  ``gate``: optional
-    (category, p_value) table; only categories with p < alpha are tested.
-    Bonferroni is applied within each category over the pairs that have a p-value.
+
+def friedman(long: DataFrame, *, min_models: int = 3, **columns) -> DataFrame:
+    """Friedman chi-square per category over subjects scored by every model of the category.
+
+    Output: category, statistic, p_value, kendall_w, n_subjects, k_models.  Categories with no complete
+    subject or fewer than ``min_models`` models are absent.  ``columns``: names as in ``score_panel``.
     """
-    s = long.where(F.col(score).isNotNull()).select(category, subject, model, score)
+    return _friedman(score_panel(long, **columns), min_models)
+
+
+def _wilcoxon(panel: DataFrame, gate: DataFrame | None, alpha: float, method: str, exact_max_n: int) -> DataFrame:
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError(f"unknown method {method!r}")
+    s = panel.withColumn("s", F.filter("s", lambda x: x["score"].isNotNull()))
     if gate is not None:
-        s = s.join(gate.where(F.col("p_value") < alpha).select(category), category, "left_semi")
-    a, b = s.alias("a"), s.alias("b")
-    pairs = a.join(b, [category, subject]).where(F.col(f"a.{model}") < F.col(f"b.{model}")).select(
-        category, F.col(f"a.{model}").alias("model_1"), F.col(f"b.{model}").alias("model_2"),
-        (F.col(f"a.{score}") - F.col(f"b.{score}")).alias("d"))
-    keys = [category, "model_1", "model_2"]
+        s = s.join(gate.where(F.col("p_value") < alpha).select("category"), "category", "left_semi")
+
+    def with_later(x, i):
+        later = F.slice("s", i + 2, F.size("s"))
+        return F.transform(later, lambda y: F.struct(x["model"].alias("model_1"), y["model"].alias("model_2"),
+                                                     (x["score"] - y["score"]).alias("d")))
+
+    pairs = s.select("category", F.explode(F.flatten(F.transform("s", with_later))).alias("p")).select("category", "p.*")
+    keys = ["category", "model_1", "model_2"]
     support = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("support"),
                                         F.count_if(F.col("d") == 0).alias("n_zero"))
     hist = (pairs.where(F.col("d") != 0).groupBy(*keys, F.abs("d").alias("ad"))
             .agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("d") > 0).alias("pos")))
-    w = Window.partitionBy(*keys).orderBy("ad").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("mid", F.coalesce(F.sum("t").over(w), F.lit(0)) + (F.col("t") + 1) / 2.0)
+    hist = running_totals(hist, by=keys, order="ad", weight="t").withColumn("mid", F.col("upto") - (F.col("t") - 1) / 2.0)
     sums = hist.groupBy(*keys).agg(
         F.sum(F.col("pos") * F.col("mid")).alias("r_plus"),
         F.sum((F.col("t") - F.col("pos")) * F.col("mid")).alias("r_minus"),
@@ -97,32 +108,52 @@ def wilcoxon_pairs(long: DataFrame, *, category: str = "category", subject: str
     nr = F.col("n_r").cast("double")
     se = F.sqrt((nr * (nr + 1) * (2 * nr + 1) - 0.5 * F.col("tt")) / 24.0)
     z_corr = (W - nr * (nr + 1) / 4.0) / se
-    exact = (F.col("n_zero") == 0) & (F.col("tmax") <= 1) & (F.col("n_r") <= exact_max_n)
-    p = F.when(F.col("n_r").isNull(), F.lit(None).cast("double")).when(
+    plain = (F.col("n_zero") == 0) & (F.col("tmax") <= 1)              # the exact distribution knows no ties and zeros
+    exact = {"auto": plain & (F.col("n_r") <= exact_max_n), "exact": plain, "normal": F.lit(False)}[method]
+    none = F.col("n_r").isNull()
+    p = F.when(none, F.lit(None).cast("double")).when(
         exact, F.least(F.lit(1.0), 2.0 * signed_rank_cdf(W, F.col("n_r")))).otherwise(normal_sf2(z_corr))
+    p_method = F.when(none, F.lit(None).cast("string")).when(exact, F.lit("exact")).otherwise(F.lit("normal"))
     npd = F.col("support").cast("double")
     z_stat = (W - npd * (npd + 1) / 4.0) / F.sqrt(npd * (npd + 1) * (2 * npd + 1) / 24.0)
     res = j.select(*keys, "support", W.alias("w_stat"), z_stat.alias("z_stat"), z_corr.alias("z_corrected"),
-                   p.alias("p_value"), (F.col("r_plus") - F.col("r_minus")).alias("_dir"))
-    fam = Window.partitionBy(category)                                 # pairs of one category
-    res = res.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p_value") * F.count("p_value").over(fam)))
+                   p.alias("p_value"), p_method.alias("p_method"), (F.col("r_plus") - F.col("r_minus")).alias("_dir"))
+    fam = Window.partitionBy("category")                               # pairs of one category
+    res = res.withColumn("p_bonferroni", _at_most_one(F.col("p_value") * F.count("p_value").over(fam)))
     better = (F.when(F.col("p_value").isNull(), F.lit(None).cast("string"))
               .when(F.col("p_value") >= alpha, F.lit(NO_DIFF))
               .when(F.col("_dir") > 0, F.col("model_1")).otherwise(F.col("model_2")))
     return res.select(
-        *keys, F.concat_ws(" vs ", "model_1", "model_2").alias("comparison"),
-        _r(F.col("w_stat")).alias("w_stat"), _r(F.col("z_stat")).alias("z_stat"),
-        _r(F.col("z_corrected")).alias("z_corrected"), _r(F.col("p_value")).alias("p_value"),
-        _r(F.col("p_bonferroni")).alias("p_bonferroni"),
-        _r(F.abs(F.col("z_stat")) / F.sqrt(F.col("support").cast("double"))).alias("effect_size"),
+        *keys, F.concat_ws(" vs ", "model_1", "model_2").alias("comparison"), "w_stat", "z_stat", "z_corrected", "p_value", "p_method",
+        "p_bonferroni", (F.abs(F.col("z_stat")) / F.sqrt(F.col("support").cast("double"))).alias("effect_size"),
         "support", better.alias("better_model"))
 
 
-def significance_report(long: DataFrame, **kw) -> DataFrame:
+def wilcoxon_pairs(long: DataFrame, *, gate: DataFrame | None = None, alpha: float = SIGNIFICANCE_LEVEL, method: str = "auto",
+                   exact_max_n: int = 50, **columns) -> DataFrame:
+    """Wilcoxon signed-rank test for every model pair of every category (pairwise-complete subjects).
+
+    Zero differences are dropped before ranking; mid-ranks of |d| are prefix sums over the counts of
+    distinct |d|.  Statistic W = min(R+, R-).  ``method``: "exact" takes p from the exact null
+    distribution, "normal" from the tie-corrected normal approximation, "auto" the exact one up to
+    ``exact_max_n`` differences.  Pairs with zeros or ties have no exact distribution and take the normal one in any
+    case; ``p_method`` tells which a row holds.  ``z_stat`` is (W - n(n+1)/4) / sqrt(n(n+1)(2n+1)/24) with
+    n = all paired subjects (zeros included); ``z_corrected`` is the statistic of the approximation.
+    Identical pairs yield a row with null statistic and p.  ``gate``: optional
+    (category, p_value) table; only categories with p < alpha are tested.
+    Bonferroni is applied within each category over the pairs that have a p-value.
+    """
+    return _wilcoxon(score_panel(long, **columns), gate, alpha, method, exact_max_n)
+
+
+def significance_report(long: DataFrame, *, min_models: int = 3, alpha: float = SIGNIFICANCE_LEVEL, method: str = "auto",
+                        exact_max_n: int = 50, **columns) -> DataFrame:
     """Friedman rows plus gated pairwise rows: category, comparison, statistic, p_value, effect_size,
-    support, better_model (Friedman: effect = Kendall's W, p uncorrected; pairs: z and Bonferroni p)."""
-    fr = friedman(long, **kw)
-    pw = wilcoxon_pairs(long, gate=fr, **kw)
+    support, better_model (Friedman: effect = Kendall's W, p uncorrected; pairs: z and Bonferroni p).
+    The scores are read once; the gate is on the unrounded p."""
+    panel = score_panel(long, **columns)
+    fr = _friedman(panel, min_models)
+    pw = _wilcoxon(panel, fr, alpha, method, exact_max_n)
     a = fr.select("category", F.lit("Friedman").alias("comparison"), "statistic", "p_value",
                   F.col("kendall_w").alias("effect_size"), F.col("n_subjects").alias("support"),
                   F.lit(None).cast("string").alias("better_model"))
@@ -132,9 +163,18 @@ def significance_report(long: DataFrame, **kw) -> DataFrame:
 
 
 def bonferroni(df: DataFrame, *, p_col: str = "p_value", family: tuple[str, ...] = ()) -> DataFrame:
-    """p * (number of p-values in the family), capped at 1."""
-    w = Window.partitionBy(*family) if family else Window.partitionBy()
-    return df.withColumn(f"{p_col}_bonferroni", F.least(F.lit(1.0), F.col(p_col) * F.count(p_col).over(w)))
+    """p * (number of p-values in the family), capped at 1.  Without ``family`` all rows are one."""
+    names = list(family)
+    own = df.withColumn("__all", F.lit(0)) if not names else df
+    keys = names or ["__all"]
+    counts = own.groupBy(*keys).agg(F.count(p_col).alias("__m"))
+    counts = F.broadcast(counts) if not names else counts              # one row
+    match = None
+    for c in keys:
+        same = F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+        match = same if match is None else match & same
+    both = own.alias("x").join(counts.alias("y"), match)
+    return both.select(*[F.col(f"x.{c}") for c in df.columns], _at_most_one(F.col(p_col) * F.col("__m")).alias(f"{p_col}_bonferroni"))
 
 
 # --- classification ---------------------------------------------------------
@@ -169,9 +209,7 @@ def mcnemar_pairs(pred: DataFrame, **kw) -> DataFrame:
     s = F.least("n10", "n01")
     out = c.select("model_1", "model_2", "n11", "n10", "n01", "n00", s.alias("statistic"),
                    binom_two_sided(s, F.col("n10") + F.col("n01")).alias("p_value"))
-    out = bonferroni(out)
-    return out.select("model_1", "model_2", "n11", "n10", "n01", "n00", "statistic",
-                      _r(F.col("p_value")).alias("p_value"), _r(F.col("p_value_bonferroni")).alias("p_bonferroni"))
+    return bonferroni(out).withColumnRenamed("p_value_bonferroni", "p_bonferroni")
 
 
 def binary_prf(pred: DataFrame, *, positive: float = 1.0) -> DataFrame:

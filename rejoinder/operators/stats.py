@@ -1,7 +1,7 @@
 """Descriptive statistics over long score tables ``(category, subject, model, score)``.
 
-Wide inputs are unpivoted once; every statistic of every column is then one
-``groupBy(category, model)`` aggregate (partial aggregation, no per-column passes).
+Wide inputs are unpivoted once; every statistic of every column then comes from the counts of its
+values (``ranges``), with no per-column passes and no buffer that holds a group's values.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rejoinder.operators.ranges import order_statistics
+
 R = 6
 
 
@@ -23,22 +25,14 @@ def describe_scores(long: DataFrame, *, group_cols: Sequence[str] = ("category",
                     value_col: str = "score") -> DataFrame:
     """mean, median, sample std, min, max, non-null count (nulls skipped)."""
     g = list(group_cols)
-    v = F.col(value_col)
-    return long.groupBy(*g).agg(
-        F.round(F.avg(v), R).alias("mean"),
-        F.round(F.median(v), R).alias("median"),
-        F.round(F.stddev_samp(v), R).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.count(v).alias("count"),
-    )
+    x = order_statistics(long, group_cols=g, value_col=value_col, shares=[0.5])
+    return x.select(*g, F.round("mean", R).alias("mean"), F.round(F.col("q")[0], R).alias("median"),
+                    F.round("std", R).alias("std"), "min", "max", "count")
 
 
 def mean_median(long: DataFrame, *, group_cols: Sequence[str] = ("category", "model"),
                 value_col: str = "score") -> DataFrame:
-    g = list(group_cols)
-    v = F.col(value_col)
-    return long.groupBy(*g).agg(F.round(F.avg(v), R).alias("mean"), F.round(F.median(v), R).alias("median"))
+    return describe_scores(long, group_cols=group_cols, value_col=value_col).select(*group_cols, "mean", "median")
 
 
 def value_counts(long: DataFrame, *, group_cols: Sequence[str] = ("model", "column"),
@@ -48,28 +42,22 @@ def value_counts(long: DataFrame, *, group_cols: Sequence[str] = ("model", "colu
     return long.where(F.col(value_col).isNotNull()).groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def pivot_scores(long: DataFrame, models: Sequence[str], *, index: str = "subject", model_col: str = "model",
+def pivot_scores(long: DataFrame, models: Sequence[str], *, index: Sequence[str] = ("category", "subject"), model_col: str = "model",
                  value_col: str = "score") -> DataFrame:
     """Long -> wide with a fixed model list (no extra pass to discover values).
 
-    Also returns a ``_dups`` column: pairs (index, model) seen more than once,
-    which a pandas pivot rejects; callers may guard on it.
+    A model that stands twice under one index raises an error, as a pivot has one cell for it.
     """
-    return long.groupBy(index).pivot(model_col, list(models)).agg(F.first(value_col))
-
-
-def pivot_duplicates(long: DataFrame, *, index: str = "subject", model_col: str = "model") -> DataFrame:
-    return long.groupBy(index, model_col).count().where(F.col("count") > 1)
+    own = {m: F.col(model_col) == F.lit(m) for m in models}
+    cells = [F.when(F.count_if(is_m) > 1, F.raise_error(F.lit(f"pivot: {m} stands more than once under one index")))
+             .otherwise(F.max(F.when(is_m, F.col(value_col)))).alias(m) for m, is_m in own.items()]
+    return long.groupBy(*index).agg(*cells)
 
 
 def describe_columns(long: DataFrame, *, group_cols: Sequence[str] = ("pair",), value_col: str = "value"
                      ) -> DataFrame:
     """count, mean, std, min, quartiles (linear interpolation), max — like a describe() per column."""
     g = list(group_cols)
-    v = F.col(value_col)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    a = long.groupBy(*g).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                             F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"))
-    return a.select(*g, "count", *[F.round(F.col(c), R).alias(c) for c in ["mean", "std", "min"]],
-                    F.round(F.col("_q")[0], R).alias("p25"), F.round(F.col("_q")[1], R).alias("p50"),
-                    F.round(F.col("_q")[2], R).alias("p75"), F.round(F.col("max"), R).alias("max"))
+    x = order_statistics(long, group_cols=g, value_col=value_col, shares=[0.25, 0.5, 0.75])
+    return x.select(*g, "count", *[F.round(F.col(c), R).alias(c) for c in ["mean", "std", "min"]],
+                    *[F.round(F.col("q")[i], R).alias(c) for i, c in enumerate(["p25", "p50", "p75"])], F.round("max", R).alias("max"))

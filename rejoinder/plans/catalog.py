@@ -287,34 +287,39 @@ def q_nominal_counts(spark, d):
 
 @register("pivot_scores")
 def q_pivot_scores(spark, d):
-    p = X.panel_long(spark, d).where(F.col("category") == "c_count")
-    return ST.pivot_scores(p, X.EVENT_TYPES)
+    """Every category's scores, one column a model."""
+    return ST.pivot_scores(X.panel_long(spark, d), X.EVENT_TYPES)
 
 
 # --- significance and classification ------------------------------------------
 from rejoinder.operators import significance as SG  # noqa: E402
 
 
+def _rounded(df, *columns):
+    """Reported figures have six decimals; operators do not round."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
 @register("friedman")
 def q_friedman(spark, d):
-    return SG.friedman(X.panel_long(spark, d))
+    return _rounded(SG.friedman(X.panel_long(spark, d)), "statistic", "p_value", "kendall_w")
 
 
 @register("wilcoxon_pairs")
 def q_wilcoxon_pairs(spark, d):
-    return SG.wilcoxon_pairs(X.panel_long(spark, d))
+    return _rounded(SG.wilcoxon_pairs(X.panel_long(spark, d)), "w_stat", "z_stat", "z_corrected", "p_value", "p_bonferroni", "effect_size")
 
 
 @register("significance_report")
 def q_significance_report(spark, d):
-    return SG.significance_report(X.panel_long(spark, d))
+    return _rounded(SG.significance_report(X.panel_long(spark, d)), "statistic", "p_value", "effect_size")
 
 
 @register("bonferroni")
 def q_bonferroni(spark, d):
     w = SG.wilcoxon_pairs(X.panel_long(spark, d)).select("category", "comparison", "p_value")
-    out = SG.bonferroni(w, family=("category",))
-    return out.select("category", "comparison", "p_value", F.round("p_value_bonferroni", 6).alias("p_adjusted"))
+    out = SG.bonferroni(w, family=("category",)).withColumnRenamed("p_value_bonferroni", "p_adjusted")
+    return _rounded(out, "p_value", "p_adjusted")
 
 
 @register("paired_predictions")
@@ -329,7 +334,7 @@ def q_contingency_pairs(spark, d):
 
 @register("mcnemar_pairs")
 def q_mcnemar_pairs(spark, d):
-    return SG.mcnemar_pairs(X.predictions(spark, d))
+    return _rounded(SG.mcnemar_pairs(X.predictions(spark, d)), "p_value", "p_bonferroni")
 
 
 @register("binary_prf")

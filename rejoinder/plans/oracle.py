@@ -418,11 +418,11 @@ SELECT model, "column", CASE WHEN raw = 'n/a' THEN NULL ELSE raw END AS value, c
 FROM l WHERE raw IS NOT NULL AND raw <> 'n/a' GROUP BY ALL"""
 
 ORACLE["pivot_scores"] = _with(PANEL) + """
-SELECT subject,
+SELECT category, subject,
   first(score) FILTER (WHERE model = 'click') AS click, first(score) FILTER (WHERE model = 'error') AS error,
   first(score) FILTER (WHERE model = 'purchase') AS purchase, first(score) FILTER (WHERE model = 'signup') AS signup,
   first(score) FILTER (WHERE model = 'view') AS "view"
-FROM panel_long WHERE category = 'c_count' GROUP BY subject"""
+FROM panel_long GROUP BY category, subject"""
 
 _FRIEDMAN = """kk AS (SELECT category, count(DISTINCT model) AS k FROM panel_long GROUP BY category),
 complete AS (
@@ -445,8 +445,8 @@ fstat AS (
   FROM fr)"""
 
 ORACLE["friedman"] = _with(PANEL, _FRIEDMAN) + f"""
-SELECT category, round(chi, 6) AS statistic, round({_chi2_sf_even('round(chi, 6)', 'k - 1')}, 6) AS p_value,
-       round(round(chi, 6) / (n * (k - 1)), 6) AS kendall_w, n AS n_subjects, CAST(k AS BIGINT) AS k_models
+SELECT category, round(chi, 6) AS statistic, round({_chi2_sf_even('chi', 'k - 1')}, 6) AS p_value,
+       round(chi / (n * (k - 1)), 6) AS kendall_w, n AS n_subjects, CAST(k AS BIGINT) AS k_models
 FROM fstat"""
 
 
@@ -472,11 +472,12 @@ wt AS (
          (least(rp, rm) - support * (support + 1) / 4.0) / sqrt(support * (support + 1) * (2 * support + 1) / 24.0) AS zs
   FROM sup LEFT JOIN sums USING (category, model_1, model_2)),
 wp AS (SELECT *, CASE WHEN nr IS NULL THEN NULL ELSE {_erfc('abs(zc) / sqrt(2.0)')} END AS p FROM wt),
-wb AS (SELECT *, least(1.0, p * count(p) OVER (PARTITION BY category)) AS pb FROM wp)"""
+wb AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, p * count(p) OVER (PARTITION BY category)) END AS pb FROM wp)"""
 
 
 _WSEL = """SELECT category, model_1, model_2, model_1 || ' vs ' || model_2 AS comparison, round(w, 6) AS w_stat,
-       round(zs, 6) AS z_stat, round(zc, 6) AS z_corrected, round(p, 6) AS p_value, round(pb, 6) AS p_bonferroni,
+       round(zs, 6) AS z_stat, round(zc, 6) AS z_corrected, round(p, 6) AS p_value,
+       CASE WHEN p IS NOT NULL THEN 'normal' END AS p_method, round(pb, 6) AS p_bonferroni,
        round(abs(zs) / sqrt(support), 6) AS effect_size, support,
        CASE WHEN p IS NULL THEN NULL WHEN p >= 0.05 THEN 'No significant difference'
             WHEN dir > 0 THEN model_1 ELSE model_2 END AS better_model
@@ -486,13 +487,13 @@ ORACLE["wilcoxon_pairs"] = _with(PANEL, _wilcoxon(False)) + _WSEL
 
 ORACLE["bonferroni"] = _with(PANEL, _wilcoxon(False)) + """
 SELECT category, model_1 || ' vs ' || model_2 AS comparison, round(p, 6) AS p_value,
-       round(least(1.0, round(p, 6) * count(p) OVER (PARTITION BY category)), 6) AS p_adjusted FROM wb"""
+       round(pb, 6) AS p_adjusted FROM wb"""
 
 ORACLE["significance_report"] = _with(PANEL, _FRIEDMAN, f"""fstat2 AS (
-  SELECT category, k, n, round(chi, 6) AS chi6, {_chi2_sf_even('round(chi, 6)', 'k - 1')} AS p FROM fstat)""",
+  SELECT category, k, n, chi, {_chi2_sf_even('chi', 'k - 1')} AS p FROM fstat)""",
                                       _wilcoxon(True)) + """
-SELECT category, 'Friedman' AS comparison, chi6 AS statistic, round(p, 6) AS p_value,
-       round(chi6 / (n * (k - 1)), 6) AS effect_size, n AS support, CAST(NULL AS VARCHAR) AS better_model FROM fstat2
+SELECT category, 'Friedman' AS comparison, round(chi, 6) AS statistic, round(p, 6) AS p_value,
+       round(chi / (n * (k - 1)), 6) AS effect_size, n AS support, CAST(NULL AS VARCHAR) AS better_model FROM fstat2
 UNION ALL
 SELECT category, model_1 || ' vs ' || model_2, round(zs, 6), round(pb, 6), round(abs(zs) / sqrt(support), 6), support,
        CASE WHEN p IS NULL THEN NULL WHEN p >= 0.05 THEN 'No significant difference'
