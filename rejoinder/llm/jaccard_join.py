@@ -253,15 +253,26 @@ def verdict(n: int, a: bytes, m: int, b: bytes, similarity: float = SIMILARITY)
 
 # --- Spark ---------------------------------------------------------------------
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches, a few rows at a time: what is made of long texts is held for those only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS_IN_SHINGLE) -> DataFrame:
     """(doc_id, n, h1, h2): size and 128-bit hash of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [shingles(t, size) for t in batch.column(1).to_pylist()]
-            h = [xxhash.xxh3_128(s.tobytes()).digest() for s in rows]
+            n, h = [], []
+            for piece in _pieces([batch]):
+                for text in piece.column(1).to_pylist():
+                    s = shingles(text, size)
+                    n.append(len(s))
+                    h.append(xxhash.xxh3_128_digest(s.tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in rows], pa.int64()),
+                [batch.column(0), pa.array(n, pa.int64()),
                  *(pa.array([int.from_bytes(x[k:k + 8], "little", signed=True) for x in h], pa.int64()) for k in (0, 8))],
                 names=["doc_id", "n", "h1", "h2"])
 
@@ -279,7 +290,7 @@ def _keyed(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(key, id) of the documents' sets."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             many, out, size = [], [], 0
             for at, t in enumerate(texts):
@@ -331,18 +342,17 @@ def buckets(shared: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, size: int, whole: bool) -> DataFrame:
-    """(id, n, h, s, p): the sets (whole, or packed) with their size, a hash of them and their points, as bytes."""
+    """(id, n, s, p): the sets (whole, or packed) with their size and their points, as bytes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             rows = [shingles(t, size) for t in batch.column(1).to_pylist()]
-            h = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in rows]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(s) for s in rows], pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)),
+                batch.column(0), pa.array([len(s) for s in rows], pa.int64()),
                 pa.array([s.tobytes() if whole else packed(s) for s in rows], pa.binary()),
-                pa.array([point(s).tobytes() for s in rows], pa.binary())], names=["id", "n", "h", "s", "p"])
+                pa.array([point(s).tobytes() for s in rows], pa.binary())], names=["id", "n", "s", "p"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, h long, s binary, p binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, s binary, p binary")
 
 
 def _sets_of_ids(docs: DataFrame, ids: DataFrame, size: int, whole: bool) -> DataFrame:
@@ -352,10 +362,10 @@ def _sets_of_ids(docs: DataFrame, ids: DataFrame, size: int, whole: bool) -> Dat
     count = repeated.count()
     held = _sets_of(picked, size, whole)
     if not count:
-        return held.drop("h")
+        return held
     repeated = F.broadcast(repeated) if count <= BROADCAST_ROWS else repeated
-    least = held.join(repeated, "id", "left_semi").groupBy("id").agg(F.min(F.struct("n", "h", "s", "p")).alias("x")).select("id", "x.n", "x.s", "x.p")
-    return held.drop("h").join(repeated, "id", "left_anti").unionByName(least)
+    least = held.join(repeated, "id", "left_semi").groupBy("id").agg(F.min(F.struct("n", "s", "p")).alias("x")).select("id", "x.n", "x.s", "x.p")
+    return held.join(repeated, "id", "left_anti").unionByName(least)
 
 
 def verified(pairs: DataFrame, held: DataFrame, docs: DataFrame, size: int, similarity: float = SIMILARITY) -> DataFrame:
