@@ -7,7 +7,9 @@ document of smaller id or further left in the same one, goes.  Windows never cro
 2. Dealing.  A window's key is the least hash of its ``GRAM``-byte strings, so equal windows have
    equal keys, and neighbouring windows mostly share one: a run of windows with one key is a segment,
    about one for 35 bytes.  Only (key, hash of the segment, place) is shuffled.
-3. Of equal segments all but the first repeat it.  A key with one content that holds the key's string at
+3. Of equal segments all but the first repeat it: those of one task are told before the shuffle, so a passage that
+   very many documents share sends a row a task, not a row a document.  The rest is read in order of key and content, a
+   row at a time.  A key with one content that holds the key's string at
    one place only is settled by that (equal windows hold it at the same offset, so windows of one segment
    can be equal only if it holds it twice); else the first segment of each content goes on, with its bytes.
 4. Suffix sorting.  Tasks build the Burrows-Wheeler transform of their segments column by column:
@@ -149,10 +151,14 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(other, ["d", "t"], "left_anti")
 
 
-SEGMENT = "m long, g long, d long, t long, s1 int, s2 int, twice boolean"
+#: A segment's first window, the number of windows less one, and two marks, in one number.
+PLACE, TWICE, AGAIN = 32, 1, 2
+SEGMENT = "m long, g long, d long, t long, place long"
 
 
 def _segments(docs: DataFrame) -> DataFrame:
+    """The segments of all documents; of equal ones (m, g) of one batch all but the first are marked as again."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
@@ -161,21 +167,80 @@ def _segments(docs: DataFrame) -> DataFrame:
                 m, a, b, twice = segments(data)
                 g = np.fromiter((xxhash.xxh3_64_intdigest(data[x:y + LENGTH]) for x, y in zip(a.tolist(), b.tolist(), strict=True)),
                                 np.uint64, len(m))
-                out.append((m.view(np.int64), g.view(np.int64), np.full(len(m), d), np.full(len(m), t), a.astype(np.int32), b.astype(np.int32), twice))
+                out.append((m.view(np.int64), g.view(np.int64), np.full(len(m), d), np.full(len(m), t),
+                            (a.astype(np.int64) << PLACE) + ((b - a) << 2) + twice * TWICE))
                 held += len(m)
-                if held > 100_000:
+                if held > 1_000_000:
                     yield pack(out)
                     out, held = [], 0
             if held:
                 yield pack(out)
 
     def pack(out):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)],
-                                          names=["m", "g", "d", "t", "s1", "s2", "twice"])
+        m, g, d, t, place = (np.concatenate(c) for c in zip(*out, strict=True))
+        order = np.lexsort((place, t, d, g, m))
+        same = (m[order][1:] == m[order][:-1]) & (g[order][1:] == g[order][:-1])
+        place[order[1:][same]] += AGAIN
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (m, g, d, t, place)], names=["m", "g", "d", "t", "place"])
 
     return docs.select("d", "t", "text").mapInArrow(run, SEGMENT)
 
 
+TOLD = "m long, d long, t long, s1 int, s2 int, again boolean"
+
+
+def _told(found: DataFrame) -> DataFrame:
+    """Segments that repeat an equal one (again), and the first ones of each content of keys that are not settled.
+
+    Rows come by key, content and place; only the one before, and the first of a key that has shown one content, are held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m0 = g0 = None                                  # of the row before
+        waiting = None                                  # the first of the key at hand, while it has one content
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, g, d, t, place = (batch.column(c).to_numpy() for c in range(5))
+            known = (place & AGAIN) > 0
+            if known.any():                             # they come last
+                yield rows(*(c[known] for c in (m, d, t, place)), np.ones(np.count_nonzero(known), bool), None)
+                m, g, d, t, place = (c[~known] for c in (m, g, d, t, place))
+                if not len(m):
+                    continue
+            key = np.concatenate([[m0 is None or m[0] != m0], m[1:] != m[:-1]])             # a key begins
+            content = key | np.concatenate([[g0 is None or g[0] != g0], g[1:] != g[:-1]])   # a content begins
+            twice = (place & TWICE) > 0
+            number = np.cumsum(key)                                                      # 0: the key of the batch before goes on
+            several = np.bincount(number, content & ~key, number[-1] + 1) > 0            # another content of a key begins
+            go = content & (twice | ~key)                                                # firsts of later contents, and of strings held twice
+            go |= key & several[number]
+            early = None
+            if waiting is not None and several[0]:
+                early, waiting = waiting, None
+            if key.any():
+                last = np.flatnonzero(key)[-1]
+                waiting = None if go[last] else (m[last], d[last], t[last], place[last])
+            again = ~content
+            keep = go | again
+            yield rows(m[keep], d[keep], t[keep], place[keep], again[keep], early)
+            m0, g0 = m[-1], g[-1]
+
+    def rows(m, d, t, place, again, early):
+        if early is not None:
+            m, d, t, place = (np.append(c, e) for c, e in zip((m, d, t, place), early, strict=True))
+            again = np.append(again, False)
+        first = place >> PLACE
+        last = first + ((place & ((1 << PLACE) - 1)) >> 2)
+        return pa.RecordBatch.from_arrays([pa.array(m), pa.array(d), pa.array(t), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
+                                           pa.array(again)], names=["m", "d", "t", "s1", "s2", "again"])
+
+    # segments already known to repeat one need no company: they are spread
+    known = F.col("place").bitwiseAND(F.lit(AGAIN)) > 0
+    dealt = found.repartition(F.when(known, F.xxhash64("d", "t", "place")).otherwise(F.col("m")))
+    return dealt.sortWithinPartitions(known, "m", "g", "d", "t", "place").mapInArrow(run, TOLD)
+
+
 def _pieces(docs: DataFrame, contested: DataFrame) -> DataFrame:
     """(m, blocks, block, d, t, s1, piece): the contested segments' bytes, cut into pieces."""
     size = F.col("s2") - F.col("s1") + 1
@@ -249,11 +314,8 @@ def spans(docs: DataFrame) -> DataFrame:
     firsts = own.groupBy("h").agg(F.min(F.struct("d", "t")).alias("f"), F.count("*").alias("c")).where("c > 1")
     copies = cut(own.join(firsts, "h").where(F.struct("d", "t") != F.col("f")).select("d", "t", "n"), "copies")
     alone = _without(docs.where(F.octet_length("text") >= LENGTH).select("d", "t", "text"), copies.select("d", "t"))
-    by_key = Window.partitionBy("m")
-    in_order = by_key.orderBy("g", "d", "t", "s1")
-    told = (_segments(alone).withColumn("again", F.coalesce(F.lag("g").over(in_order) == F.col("g"), F.lit(False)))
-            .withColumn("several", F.min("g").over(by_key) < F.max("g").over(by_key)).where("again or several or twice"))
-    told = cut(told.drop("g", "several", "twice"), "segments")
+    found = _segments(alone)
+    told = cut(_told(found), "segments")
     pieces = _pieces(alone, told.where("not again").select("m", "d", "t", "s1", "s2"))
     found = cut(_sorted_repeats(pieces), "repeats")
     by_string = Window.partitionBy("f1", "f2").orderBy("d", "t", "first")

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rejoinder.llm import substring_dedup as S
 
@@ -105,3 +106,42 @@ def test_segments_tell_whether_their_key_stands_twice():
             windows = [data[i:i + S.LENGTH] for i in range(a, b + 1)]
             assert twice or (len(set(windows)) == len(windows) and any(inside.count(g) == 1 for g in common))
             assert not twice or any(inside.count(g) > 1 for g in inside)
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_told_holds_one_row_back(spark, batch):
+    rnd = random.Random(batch)
+    rows = []
+    for d in range(400):
+        m, twice = rnd.randrange(60), rnd.random() < 0.1
+        g = rnd.choice([m, m, m + 100, rnd.randrange(5)])
+        rows.append((m, g, d, rnd.randrange(2), (rnd.randrange(9) << S.PLACE) + (rnd.randrange(7) << 2) + twice * S.TWICE))
+    seen, marked = set(), []
+    for m, g, d, t, place in rows:                          # some equal ones are known ahead
+        again = (m, g) in seen and rnd.random() < 0.5
+        seen.add((m, g))
+        marked.append((m, g, d, t, place + again * S.AGAIN))
+    want = []
+    for m in {r[0] for r in marked}:
+        contents = {r[1] for r in marked if r[0] == m}
+        for g in contents:
+            own = sorted((r for r in marked if r[:2] == (m, g)), key=lambda r: (r[4] & S.AGAIN, r[2], r[3], r[4]))
+            for k, (_, _, d, t, place) in enumerate(own):
+                if k or len(contents) > 1 or place & S.TWICE:
+                    first = place >> S.PLACE
+                    want.append((m, d, t, first, first + ((place & 0xFFFFFFFF) >> 2), k > 0))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = [tuple(r) for r in S._told(spark.createDataFrame(marked, S.SEGMENT)).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(got) == sorted(want)
+
+
+def test_a_passage_of_all_documents_sends_a_row_a_batch(spark):
+    passage = " ".join(f"shared{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, 0, f"{i} {passage} {i}") for i in range(300)], "d long, t long, text string").coalesce(2)
+    found = S._segments(docs)
+    hot = found.groupBy("m", "g").count().where("count = 300").first()
+    assert found.where((F.col("m") == hot.m) & (F.col("g") == hot.g) & (F.col("place").bitwiseAND(F.lit(S.AGAIN)) == 0)).count() <= 2
