@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rejoinder.llm.common import settled
+from rejoinder.llm.common import cut, settled
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -168,5 +168,7 @@ def keep_fine(df: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that are kept, with its own columns."""
     row = F.struct(*[F.col(c) for c in df.columns]).alias("__row")
     voted = votes(features(df.select(row, F.col(text_col).alias("__text")), text_col="__text"))
+    # counting is the costly part, so rows are written with their counts and votes, and read for the estimate and the verdicts
+    voted = cut(voted.select("__row", "n_words", "n_repeat_words", *[f"v_{r}" for r in RULES]), "quality-rows")
     good = 1 / (1 + F.exp(-fit(voted).log_odds())) >= KEEP_FROM
     return settled(voted, ~base_failed() & good).select("__row.*")
