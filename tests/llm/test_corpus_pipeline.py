@@ -22,6 +22,10 @@ def tables(spark, folder):
     rows += [prose(6) + passage + prose(6) for _ in range(5)] + [rows[3], rows[4]] + [rows[5] + "end", rows[6] + "tail"]
     rows += [prose(5) + items[2][1] + prose(2), prose(5) + items[4][1]]
     rows += [" ".join(f"{w}###" for w in prose(8).split()) for _ in range(6)] + [None, "", "short text", "spam spam " * 60]
+    for k in range(3):                                      # near copies between 0.8 at five words and 0.9 at three
+        words = prose(17).split()
+        places = {20, 60, 100, 140}
+        rows += [" ".join(words), " ".join(f"edit{k}" if i in places else w for i, w in enumerate(words))]
     docs = [(i, t, "en", "src", len(t or "")) for i, t in enumerate(rows)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3) \
         .write.parquet(f"{folder}/documents.parquet")
@@ -60,8 +64,9 @@ def brute_quality(docs):
 def test_run_against_brute_force(spark, tmp_path):
     docs, items = tables(spark, str(tmp_path))
     left = brute_quality(docs)
-    assert 80 <= len(left) < 95
-    first = {d: c for d, (_, c) in test_jaccard_join.brute(left).items()}
+    assert 80 <= len(left) < 101
+    first = {d: c for d, (_, c) in test_jaccard_join.brute_at(left, 5, 80).items()}
+    assert first != {d: c for d, (_, c) in test_jaccard_join.brute(left).items()} and first != {d: c for d, (_, c) in test_jaccard_join.brute_at(left, 5, 90).items()}
     near = [r for r in left if first[r[0]] == r[0]]
     assert len(near) < len(left)
     gone = test_substring_dedup.brute(near)
