@@ -27,6 +27,14 @@ def _each(size: Column, least: int, make) -> Column:
     return F.transform(F.when(size >= least, places).otherwise(F.array().cast("array<int>")), make)
 
 
+def run_lengths(s: Column) -> Column:
+    """Array of (value, n): the runs of equal elements of the sorted array column ``s`` (a column of its own, not an expression)."""
+    begins = F.filter(_each(F.size(s), 1, lambda i: i), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    # a run ends where the next begins; beginnings and ends are zipped, so that no element looks its neighbour up anew
+    ends = F.concat(F.slice(begins, 2, F.greatest(F.size(begins) - 1, F.lit(0))), F.array(F.size(s)))
+    return F.when(F.size(s) > 0, F.zip_with(begins, ends, lambda a, b: F.struct(F.get(s, a).alias("value"), (b - a).alias("n"))))
+
+
 def gram_runs(corpus: DataFrame, *, group_cols: Sequence[str], orders: Sequence[int], keep: Sequence[str] = ("row_id",),
               text_col: str = "text") -> DataFrame:
     """(gh, *keep, n, h1, h2, c): for every row, order and distinct gram of whitespace tokens its hashes and its count in the row.
@@ -45,16 +53,9 @@ def gram_runs(corpus: DataFrame, *, group_cols: Sequence[str], orders: Sequence[
 
     x = x.select("gh", *names, *[F.sort_array(_each(F.size("th"), n, gram(n))).alias(f"s{n}") for n in orders])
 
-    def starts(n):
-        s = F.col(f"s{n}")
-        return F.filter(_each(F.size(s), 1, lambda i: i), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-
-    x = x.select("*", *[starts(n).alias(f"b{n}") for n in orders])
-
     def runs(n):
-        s, b = F.col(f"s{n}"), F.col(f"b{n}")
-        return F.transform(b, lambda i, k: F.struct(F.lit(n).alias("n"), F.get(s, i)["h1"].alias("h1"), F.get(s, i)["h2"].alias("h2"),
-                                                    (F.coalesce(F.get(b, k + 1), F.size(s)) - i).alias("c")))
+        found = F.coalesce(run_lengths(F.col(f"s{n}")), F.array().cast("array<struct<value:struct<h1:bigint,h2:int>,n:int>>"))
+        return F.transform(found, lambda r: F.struct(F.lit(n).alias("n"), r["value"]["h1"].alias("h1"), r["value"]["h2"].alias("h2"), r["n"].alias("c")))
 
     x = x.select("gh", *names, F.explode(F.concat(*[runs(n) for n in orders])).alias("r"))
     return x.select("gh", *names, "r.n", "r.h1", "r.h2", "r.c")

@@ -513,11 +513,10 @@ def q_pair_similarity_describe(spark, d):
 
 @register("embed_text")
 def q_embed_text(spark, d):
+    """Every entry of every document's vector, one a row."""
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text")
-    e = V.embed_text(docs, num_features=1 << 12)
-    entries = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] != 0)
-    return e.select("row_id", F.size("embedding").alias("dim"), F.size(entries).alias("nonzero"),
-                    F.transform(entries, lambda e: F.struct(e["i"].alias("i"), F.round(e["x"].cast("double"), 5).alias("x"))).alias("entries"))
+    e = V.embed_text(docs, num_features=1 << 12).select("row_id", F.explode("embedding").alias("e"))
+    return e.select("row_id", "e.i", F.round("e.x", 5).alias("x"))
 
 
 # --- entities and sentiment --------------------------------------------------------
@@ -721,12 +720,15 @@ def q_entity_diff_preview(spark, d):
     return diff.select("row_id", "kind", "entity", F.row_number().over(w).alias("k"))
 
 
+def _text_vectors(corpus, group_cols):
+    """Sparse vectors of a corpus's texts; counts of rows that hold a token are of the whole corpus."""
+    return V.embed_text(corpus, id_cols=[*group_cols, "row_id"], num_features=1 << 14).withColumnRenamed("row_id", "vec_id")
+
+
 @register("semantic_max_text")
 def q_semantic_max_text(spark, d):
     """Max cosine of each response to any other of its (theme, model) group, on built-in text embeddings."""
-    corpus = _corpus(spark, d, with_random=False)
-    emb = V.embed_text(corpus, num_features=1 << 14)
-    return V.semantic_max_stats(emb.select(*G, F.col("row_id").alias("vec_id"), "embedding"))
+    return V.semantic_max_stats(_text_vectors(_corpus(spark, d, with_random=False), G))
 
 
 @register("split_exact_half")

@@ -859,3 +859,27 @@ rest AS (SELECT row_id, h, row_number() OVER (ORDER BY h) AS rn, count(*) OVER (
 SELECT row_id, 'sample' AS part FROM smp
 UNION ALL
 SELECT row_id, CASE WHEN rn <= round_even(n * 0.5, 0) THEN 'part_1' ELSE 'part_2' END FROM rest"""
+
+
+def _sparse(rows: str, keys: str, features: int) -> str:
+    """CTEs ending in unit(keys, i, x): hashed TF-IDF entries of ``rows`` (keys, text)."""
+    return rf"""own AS ({rows}),
+tk AS (SELECT {keys}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {features} AS i
+       FROM (SELECT {keys}, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM own)),
+en AS (SELECT {keys}, i, count(*) AS n FROM tk GROUP BY ALL),
+hd AS (SELECT i, count(*) AS held FROM en GROUP BY i),
+wt AS (SELECT {keys}, i, n * ln((SELECT count(*) + 1 FROM own) / (held + 1)) AS w FROM en JOIN hd USING (i)),
+unit AS (SELECT {keys}, CAST(i AS INTEGER) AS i, w / sqrt(sum(w * w) OVER (PARTITION BY {keys})) AS x FROM wt WHERE w <> 0)"""
+
+
+ORACLE["embed_text"] = "WITH " + _sparse("SELECT doc_id AS row_id, text FROM documents", "row_id", 1 << 12) + """
+SELECT row_id, i, round(x, 5) AS x FROM unit"""
+
+ORACLE["semantic_max_text"] = _with(RESPONSES, BASE, CORPUS_NO_RANDOM, _sparse("SELECT * FROM corpus", "theme, model, row_id", 1 << 14)) + """
+, dots AS (SELECT a.theme, a.model, a.row_id, b.row_id AS other, sum(a.x * b.x) AS c
+           FROM unit a JOIN unit b ON a.theme = b.theme AND a.model = b.model AND a.i = b.i AND a.row_id <> b.row_id GROUP BY ALL),
+best AS (SELECT theme, model, row_id, max(c) AS c FROM dots GROUP BY ALL),
+sizes AS (SELECT theme, model, count(*) AS k FROM corpus GROUP BY ALL)
+SELECT theme, model, round(avg(m), 6) AS semantic_similarity_mean, round(stddev_pop(m), 6) AS semantic_similarity_std, count(*) AS n
+FROM (SELECT c.theme, c.model, CASE WHEN k > 1 THEN coalesce(b.c, 0.0) END AS m
+      FROM corpus c JOIN sizes USING (theme, model) LEFT JOIN best b USING (theme, model, row_id)) GROUP BY ALL"""

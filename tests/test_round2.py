@@ -1,5 +1,7 @@
 """Inputs that the driver tables do not hold."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -83,20 +85,41 @@ def test_baseline_counts_a_message_in_each_of_its_themes(spark):
     assert got == {"all": 3, "theme=1": 2, "theme=2": 2}
 
 
-def test_embed_text_returns_the_whole_vector(spark, tmp_path):
-    from pyspark.ml.feature import HashingTF
-
-    from rejoinder.plans.catalog import QUERIES
-
-    texts = ["a b b c", "a c d", "a", "e e e f b", ""]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    place = HashingTF(numFeatures=1 << 12).indexOf
+def _sparse_ref(texts, features):
+    place = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % features     # noqa: E731
     bags = [{i: sum(place(w) == i for w in t.split()) for i in map(place, t.split())} for t in texts]
-    want = {}
-    for d, bag in enumerate(bags):
+    out = []
+    for bag in bags:
         v = {i: c * np.log((len(texts) + 1) / (sum(i in b for b in bags) + 1)) for i, c in bag.items()}
         norm = np.sqrt(sum(x * x for x in v.values()))
-        want[d] = {i: pytest.approx(x / norm, abs=2e-5) for i, x in v.items() if x}
-    got = QUERIES["embed_text"](spark, str(tmp_path)).collect()
-    assert {r.row_id: {e.i: e.x for e in r.entries} for r in got} == want
-    assert all(r.dim == 1 << 12 and r.nonzero == len(want[r.row_id]) for r in got)
+        out.append({i: x / norm for i, x in v.items() if x})
+    return out
+
+
+TEXTS = ["a b b c", "a c d", "a", "e e e f b", "", None, "e f f"]
+
+
+def test_embed_text_returns_the_whole_vector(spark, tmp_path):
+    from rejoinder.plans.catalog import QUERIES
+
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in QUERIES["embed_text"](spark, str(tmp_path)).collect():
+        got.setdefault(r.row_id, {})[r.i] = r.x
+    want = _sparse_ref([t or "" for t in TEXTS], 1 << 12)
+    assert got == {d: {i: pytest.approx(x, abs=1e-5) for i, x in v.items()} for d, v in enumerate(want) if v}
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_sparse_vectors_find_their_nearest(spark, monkeypatch, block):
+    monkeypatch.setattr(P, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    texts = TEXTS + [" ".join(rng.choice(list("abcdefghijkl"), int(rng.integers(0, 9)))) for _ in range(40)]
+    df = spark.createDataFrame([(i, "g", t) for i, t in enumerate(texts)], "row_id long, theme string, text string")
+    emb = V.embed_text(df, id_cols=["theme", "row_id"], num_features=64)
+    assert emb.columns == ["theme", "row_id", "embedding"] and emb.count() == len(texts)
+    got = {r.row_id: r.max_sim for r in V.semantic_max(emb, group_cols=["theme"], id_col="row_id").collect()}
+    want = _sparse_ref([t or "" for t in texts], 64)
+    for i, a in enumerate(want):
+        best = max(sum(x * b.get(k, 0) for k, x in a.items()) for j, b in enumerate(want) if j != i)
+        assert got[i] == pytest.approx(best, abs=1e-9)
