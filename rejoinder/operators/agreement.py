@@ -20,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rejoinder.operators.ranges import running_totals
+
 R = 6
 
 
 def alpha(long: DataFrame, *, level: str = "nominal", category: str = "category", unit: str = "unit",
           value: str = "value", missing: str = "ignore") -> DataFrame:
-    """``missing='ignore'`` drops missing values (default); ``missing='category'`` scores a missing
+    """(category, alpha, n_values).  ``missing='ignore'`` drops missing values (default); ``missing='category'`` scores a missing
     nominal value as the explicit category 'nan' (parity with string-cast rating matrices)."""
     if level not in ("nominal", "ordinal"):
         raise ValueError(f"Unknown level of measurement {level}")
@@ -35,12 +37,11 @@ def alpha(long: DataFrame, *, level: str = "nominal", category: str = "category"
         if level != "nominal":
             raise ValueError("missing='category' applies to nominal data only")
         long = long.withColumn(value, F.coalesce(F.col(value).cast("string"), F.lit("nan")))
-    v = long.where(F.col(value).isNotNull()).select(category, unit, F.col(value).alias("v"))
-    domain = v.groupBy(category).agg(
-        F.array_join(F.array_sort(F.collect_set(F.col("v").cast("string"))), ",").alias("values"),
-        F.countDistinct("v").alias("n_values"))
+    own = F.col(value).cast("double") if level == "ordinal" else F.col(value)
+    v = long.select(category, unit, own.alias("v")).where(F.col("v").isNotNull())
+    domain = v.groupBy(category).agg(F.countDistinct("v").alias("n_values"))
     nuc = (v.groupBy(category, unit, "v").agg(F.count(F.lit(1)).alias("n_uc"))
-           .withColumn("m_u", F.sum("n_uc").over(Window.partitionBy(category, unit))).where(F.col("m_u") >= 2))
+           .withColumn("m_u", F.sum("n_uc").over(Window.partitionBy(category, unit))).where(F.col("m_u") >= 2))   # values of one unit
     nc = nuc.groupBy(category, "v").agg(F.sum("n_uc").alias("n_c"))
     if level == "nominal":
         observed = nuc.groupBy(category).agg(
@@ -48,8 +49,7 @@ def alpha(long: DataFrame, *, level: str = "nominal", category: str = "category"
         expected = nc.groupBy(category).agg(F.sum("n_c").alias("n"), F.sum(F.col("n_c") * F.col("n_c")).alias("sq")) \
             .select(category, "n", (F.col("n") * F.col("n") - F.col("sq")).alias("de"))
     else:
-        w = Window.partitionBy(category).orderBy(F.col("v").cast("double"))   # over the value domain only
-        nc = nc.withColumn("r", F.sum("n_c").over(w) - F.col("n_c") / 2.0)
+        nc = running_totals(nc, by=[category], order="v", weight="n_c").withColumn("r", F.col("upto") - F.col("n_c") / 2.0)
         by_unit = nuc.join(nc.select(category, "v", "r"), [category, "v"]).groupBy(category, unit, "m_u").agg(
             F.sum(F.col("n_uc") * F.col("r")).alias("s1"), F.sum(F.col("n_uc") * F.col("r") * F.col("r")).alias("s2"))
         observed = by_unit.groupBy(category).agg(
@@ -61,4 +61,9 @@ def alpha(long: DataFrame, *, level: str = "nominal", category: str = "category"
     res = observed.join(expected, category).select(
         category, (1 - (F.col("n") - 1) * F.try_divide(F.col("do"), F.col("de"))).alias("alpha"))
     return (domain.where(F.col("n_values") >= 2).join(res, category, "left")
-            .select(category, F.round("alpha", R).alias("alpha"), "n_values", "values"))
+            .select(category, F.round("alpha", R).alias("alpha"), "n_values"))
+
+
+def value_domain(long: DataFrame, *, category: str = "category", value: str = "value") -> DataFrame:
+    """(category, value, cnt): the values of each category, one a row."""
+    return long.where(F.col(value).isNotNull()).groupBy(category, value).agg(F.count(F.lit(1)).alias("cnt"))

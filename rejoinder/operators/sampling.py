@@ -33,36 +33,38 @@ def split_for_annotation(df: DataFrame, *, n_sample: int = SAMPLE_SIZE, seed: in
     return df.join(s, id_col, "left").withColumn("part", part).drop("_sampled")
 
 
-def exact_half_cutoff(rest: DataFrame, *, seed: int = SEED, id_col: str = "row_id", frac: float = 0.5) -> str | None:
-    """md5 key of the k-th smallest row of ``rest`` with k = round(frac * n) (None when k = 0).
+def _half_cutoff(keyed: DataFrame, frac: float) -> DataFrame:
+    """One row (one, cutoff): the k-th smallest key ``_h`` of ``keyed`` with k = round(frac * n); null if k is 0.
 
-    No global sort: a histogram over the first 4 hex digits of the key (at most
-    65,536 bucket counts, a bounded result) locates the bucket holding the
-    k-th key; only that bucket (about n / 65,536 rows) is ordered.
+    No global sort: counts by the key's first 4 hex digits (at most 65,536) locate the digits of the
+    k-th key; only the keys with those (about n / 65,536) are ordered.
     """
-    keyed = rest.select(seeded_key(id_col, seed).alias("_h"))
-    n = keyed.count()
-    k = round(frac * n)
-    if k == 0:
-        return None
-    hist = keyed.groupBy(F.substring("_h", 1, 4).alias("_b")).count().orderBy("_b").collect()
-    seen = 0
-    for row in hist:
-        if seen + row["count"] >= k:
-            r = k - seen
-            top = (keyed.where(F.substring("_h", 1, 4) == row["_b"]).orderBy("_h").limit(r)
-                   .agg(F.max("_h").alias("m")).first())
-            return top["m"]
-        seen += row["count"]
-    return None
+    hist = keyed.groupBy(F.substring("_h", 1, 4).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    row = hist.agg(F.sort_array(F.collect_list(F.struct("b", "c"))).alias("h"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    row = row.withColumn("k", F.bround(F.col("n") * F.lit(frac)).cast("long"))     # halves to even
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("long").alias("r"))
+
+    def step(acc, x):
+        here = acc["b"].isNull() & (acc["seen"] + x["c"] >= F.col("k")) & (F.col("k") > 0)
+        return F.struct((acc["seen"] + x["c"]).alias("seen"), F.when(here, x["b"]).otherwise(acc["b"]).alias("b"),
+                        F.when(here, F.col("k") - acc["seen"]).otherwise(acc["r"]).alias("r"))
+
+    at = row.select(F.aggregate("h", start, step).alias("x")).select("x.b", "x.r")
+    inside = keyed.join(F.broadcast(at), F.substring("_h", 1, 4) == F.col("b"))    # one row
+    return inside.groupBy("r").agg(F.sort_array(F.collect_list("_h")).alias("own")).agg(
+        F.max(F.get("own", (F.col("r") - 1).cast("int"))).alias("cutoff")).withColumn("one", F.lit(0))
 
 
 def split_for_annotation_exact(df: DataFrame, *, n_sample: int = SAMPLE_SIZE, seed: int = SEED,
-                               id_col: str = "row_id") -> DataFrame:
-    """Like ``split_for_annotation`` but part_1 has exactly round(n_rest / 2) rows (md5 order)."""
-    s = sample_n(df.select(id_col), n_sample, seed=seed, id_col=id_col).withColumn("part", F.lit("sample"))
-    rest = df.select(id_col).join(s.select(id_col), id_col, "left_anti")
-    cut = exact_half_cutoff(rest, seed=seed, id_col=id_col)
-    first = seeded_key(id_col, seed) <= F.lit(cut) if cut is not None else F.lit(False)
-    rest = rest.withColumn("part", F.when(first, F.lit("part_1")).otherwise(F.lit("part_2")))
-    return df.join(s.unionByName(rest), id_col)
+                               id_col: str = "row_id", frac: float = 0.5) -> DataFrame:
+    """Like ``split_for_annotation`` but part_1 has exactly round(n_rest * frac) rows (md5 order).
+
+    The cut-off key is a one-row table within the plan; nothing runs while the plan is built.
+    """
+    # at most n_sample rows: the bound of the broadcast
+    s = F.broadcast(sample_n(df.select(id_col), n_sample, seed=seed, id_col=id_col).withColumn("_sampled", F.lit(True)))
+    keyed = df.join(s, id_col, "left").withColumn("_h", seeded_key(id_col, seed))
+    cutoff = _half_cutoff(keyed.where(F.col("_sampled").isNull()).select("_h"), frac)
+    part = F.when(F.col("_sampled"), "sample").when(F.col("_h") <= F.col("cutoff"), "part_1").otherwise("part_2")
+    return (keyed.withColumn("one", F.lit(0)).join(F.broadcast(cutoff), "one", "left")
+                 .withColumn("part", part).drop("_sampled", "_h", "one", "cutoff"))

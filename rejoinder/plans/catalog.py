@@ -376,6 +376,24 @@ def q_alpha_binary(spark, d):
                              N.binary("score").alias("value")), level="nominal")
 
 
+@register("alpha_missing_category")
+def q_alpha_missing_category(spark, d):
+    """A missing label as a category of its own, beside the same ratings with missing ones ignored."""
+    r = X.raters(spark, d).select(
+        F.col("unit_id").alias("unit"), "rater",
+        F.when((F.col("rater") == "r1") | (F.col("unit_id") % 4 != 0), F.col("value")).alias("value"))
+    out = None
+    for missing in ("category", "ignore"):
+        one = AG.alpha(r.withColumn("category", F.lit(f"missing: {missing}")), level="nominal", missing=missing)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("value_domain")
+def q_value_domain(spark, d):
+    return AG.value_domain(_ordinal_raters(spark, d))
+
+
 @register("alpha_report")
 def q_alpha_report(spark, d):
     parts = [q_alpha_ordinal(spark, d).withColumn("level", F.lit("ordinal")),

@@ -199,11 +199,11 @@ def entity_items(spark: SparkSession, d: str) -> DataFrame:
 
 def gazetteer(spark: SparkSession, d: str) -> DataFrame:
     """(kind, alias): every capitalised word of the documents, and the first two and first three words
-    of every third conversation's turns; even length = person, odd = organisation."""
+    of every conversation turn; even length = person, odd = organisation."""
     from rejoinder.functions.text import simple_tokens
     doc = read_table(spark, d, "documents")
     one = doc.select(F.explode(simple_tokens("text")).alias("alias")).where(F.col("alias").rlike(r"^\p{Lu}\p{Ll}+$"))
-    t = read_table(spark, d, "conversations").where("conv_id % 3 = 0").select(simple_tokens("text").alias("t"))
+    t = read_table(spark, d, "conversations").select(simple_tokens("text").alias("t"))
     more = [t.where(F.size("t") >= n).select(F.array_join(F.slice("t", 1, n), " ").alias("alias")) for n in (2, 3)]
     w = one.union(more[0]).union(more[1]).distinct()
     return w.select(F.when(F.length("alias") % 2 == 0, F.lit("person")).otherwise(F.lit("organization"))

@@ -565,8 +565,7 @@ def _alpha(src: str, level: str) -> str:
         cum = ", sum(n_c) OVER (PARTITION BY category ORDER BY CAST(c AS DOUBLE)) AS cum"
     return f"""src AS ({src}),
 v AS (SELECT category, unit, v FROM src WHERE v IS NOT NULL),
-dom AS (SELECT category, array_to_string(list_sort(list(DISTINCT CAST(v AS VARCHAR))), ',') AS "values",
-               count(DISTINCT v) AS n_values FROM v GROUP BY category),
+dom AS (SELECT category, count(DISTINCT v) AS n_values FROM v GROUP BY category),
 nuc AS (SELECT category, unit, v, count(*) AS n_uc FROM v GROUP BY ALL),
 mu AS (SELECT category, unit, sum(n_uc) AS m_u FROM nuc GROUP BY ALL HAVING sum(n_uc) >= 2),
 nu AS (SELECT nuc.*, mu.m_u FROM nuc JOIN mu USING (category, unit)),
@@ -581,7 +580,7 @@ res AS (
   FROM pr LEFT JOIN o ON o.category = pr.category AND o.c = pr.c AND o.k = pr.k
   JOIN (SELECT category, sum(n_c) AS n FROM nc GROUP BY category) n ON n.category = pr.category
   GROUP BY pr.category, n.n)
-SELECT dom.category, round(res.alpha, 6) AS alpha, dom.n_values, dom."values"
+SELECT dom.category, round(res.alpha, 6) AS alpha, dom.n_values
 FROM dom LEFT JOIN res USING (category) WHERE dom.n_values >= 2"""
 
 
@@ -597,6 +596,14 @@ _BIN_SRC = ("SELECT category, subject AS unit, model AS rater, "
 ORACLE["alpha_ordinal"] = "WITH " + PANEL + ",\n" + _alpha(_ORD_SRC, "ordinal")
 ORACLE["alpha_nominal"] = "WITH " + _alpha(_NOM_SRC, "nominal")
 ORACLE["alpha_binary"] = "WITH " + PANEL + ",\n" + _alpha(_BIN_SRC, "nominal")
+_MISSING_SRC = ("SELECT l.doc_id AS unit, 'r1' AS rater, CAST(l.quality AS VARCHAR) AS v FROM labels l JOIN documents d USING (doc_id) "
+                "UNION ALL SELECT l.doc_id, 'r2', CASE WHEN l.doc_id % 4 <> 0 THEN CASE WHEN d.n_chars > 500 THEN '1' ELSE '0' END END "
+                "FROM labels l JOIN documents d USING (doc_id)")
+ORACLE["alpha_missing_category"] = "\nUNION ALL\n".join(
+    f"SELECT * FROM (WITH {_alpha(f'SELECT {name!r} AS category, unit, rater, {v} AS v FROM ({_MISSING_SRC})', 'nominal')})"
+    for name, v in (("missing: category", "coalesce(v, 'nan')"), ("missing: ignore", "v")))
+ORACLE["value_domain"] = "WITH " + PANEL + f""", src AS ({_ORD_SRC})
+SELECT category, v AS value, count(*) AS cnt FROM src WHERE v IS NOT NULL GROUP BY ALL"""
 ORACLE["alpha_report"] = "\nUNION ALL\n".join(
     f"SELECT *, '{lvl}' AS level FROM ({ORACLE[k]})" for k, lvl in
     [("alpha_ordinal", "ordinal"), ("alpha_nominal", "nominal"), ("alpha_binary", "binary")])
@@ -717,6 +724,7 @@ SELECT pair, count(similarity) AS count, round(avg(similarity), 6) AS mean, roun
        round(max(similarity), 6) AS max
 FROM pl GROUP BY pair"""
 
+# the capital of ß is SS by Unicode's full case mapping, which Spark follows; DuckDB has one letter for it
 ENTITIES = _with(DIALOGUE) + f""", items AS (
   SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS row_id, 'm' || CAST(conv_id % 3 AS VARCHAR) AS model,
          message, response FROM dialogue),
@@ -727,10 +735,10 @@ gaz AS (
   UNION
   SELECT CASE WHEN length(alias) % 2 = 0 THEN 'person' ELSE 'organization' END, alias
   FROM (SELECT array_to_string(t[1:n], ' ') AS alias
-        FROM (SELECT regexp_extract_all(text, '{SIMPLE_TOKEN}') AS t FROM conversations WHERE conv_id % 3 = 0),
+        FROM (SELECT regexp_extract_all(text, '{SIMPLE_TOKEN}') AS t FROM conversations),
              (VALUES (2), (3)) AS k(n) WHERE len(t) >= n)),
 adim AS (
-  SELECT kind, alias, CASE WHEN length(alias) % 5 = 0 THEN NULL WHEN length(alias) % 5 = 1 THEN upper(alias)
+  SELECT kind, alias, CASE WHEN length(alias) % 5 = 0 THEN NULL WHEN length(alias) % 5 = 1 THEN upper(replace(alias, 'ß', 'SS'))
                            ELSE lower(alias) END AS canonical FROM gaz WHERE length(alias) % 3 <> 0),
 sides AS (
   SELECT row_id, model, 'message' AS side, regexp_extract_all(message, '{SIMPLE_TOKEN}') AS tok FROM items

@@ -23,9 +23,9 @@ _DEFAULTS = {
 }
 
 
-def get_session(master: str | None = None, app: str = "rejoinder",
-                shuffle_partitions: int | None = None) -> SparkSession:
-    """Return the active session or build one with the defaults above."""
+def get_session(master: str | None = None, app: str = "rejoinder", shuffle_partitions: int | None = None,
+                scan_partitions: int | None = None) -> SparkSession:
+    """Return the active session or build one with the defaults above.  ``scan_partitions``: see ``sources.tables``."""
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
@@ -36,6 +36,8 @@ def get_session(master: str | None = None, app: str = "rejoinder",
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if scan_partitions:
+        b = b.config("spark.rejoinder.scan.partitions", str(scan_partitions))
     if memory := os.environ.get("REJOINDER_DRIVER_MEMORY"):
         b = b.config("spark.driver.memory", memory)
     spark = b.getOrCreate()

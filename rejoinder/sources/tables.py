@@ -14,22 +14,19 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+#: Where a session sets this, scans are dealt out to so many partitions.
+SCAN_PARTITIONS = "spark.rejoinder.scan.partitions"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin an under-split scan over the cluster's cores.
-
-    A file written as one row group is a single input split, so everything
-    fused into the scan stage (tokenising, n-gram explosion, map-side
-    aggregation) would run in one task.  When the scan has fewer splits than
-    the default parallelism it is redistributed; a well-split input (the
-    normal case at scale) is left alone.  Column pruning and filters still
-    reach the Parquet reader below the repartition.
+    """Round-robin a scan over as many partitions as ``SCAN_PARTITIONS`` says; unset, the scan stays as it is.
+
+    For small files only: one written as a single row group is a single input split, so everything
+    fused into the scan stage would run in one task.  Large tables have splits enough and need no such
+    setting.  Column pruning and filters still reach the Parquet reader below the exchange.
     """
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (no RDD API, e.g. a Spark Connect session)
-        return df
-    return df.repartition(par) if n < par else df
+    n = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
