@@ -8,7 +8,9 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +45,28 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: The list that takes note of what ``cut`` writes, where someone asks for it.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Within it, ``cut`` adds the paths it writes to ``paths``."""
+    token = _noted.set(paths)
+    try:
+        yield
+    finally:
+        _noted.reset(token)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete what ``cut`` wrote at ``paths``, once nothing reads it any more; empties the list."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -50,6 +74,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
+    if (paths := _noted.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -397,7 +397,8 @@ def verified(pairs: DataFrame, held: DataFrame, docs: DataFrame, size: int, simi
                          for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
 
     ids = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    whole = both(open_, _sets_of_ids(docs, ids, size, True)).where(check_whole("sa", "sb")).select("a", "b")
+    # sets are written before they are joined: making and checking them in one stage takes two Python workers a task
+    whole = both(open_, cut(_sets_of_ids(docs, ids, size, True), "whole-sets")).where(check_whole("sa", "sb")).select("a", "b")
     return told.where("v > 0").select("a", "b").unionByName(cut(whole, "told"))
 
 
@@ -514,7 +515,7 @@ def _linked_components(docs: DataFrame, size: int, similarity: float) -> DataFra
         return comp
     near = near.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     dealt = _block_pairs(near.join(near.groupBy("key").agg(F.count("*").alias("m")), "key"))
-    whole = _sets_of_ids(docs, near.select("id"), size, True)
+    whole = cut(_sets_of_ids(docs, near.select("id"), size, True), "whole-sets")
     return components(links.unionByName(merging_links(dealt, whole, similarity)))
 
 
