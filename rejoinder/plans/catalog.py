@@ -697,25 +697,25 @@ def q_model_from_path(spark, d):
 
 # --- flagship: the per-(theme, model) diversity report ---------------------------
 
+from rejoinder.operators import report as RP  # noqa: E402
+
+
+def _report(spark, d):
+    lexicon = SE.frequent_word_lexicon(read_table(spark, d, "documents").select("text"), k=40)      # bounded: 40 rows
+    rows = RP.shared_corpus(X.report_rows(spark, d))
+    return RP.diversity_report(rows, lexicon=lexicon, broadcast_lexicon=True, gazetteer=X.gazetteer(spark, d))
+
+
 @register("diversity_report")
 def q_diversity_report(spark, d):
-    """One row per (theme, model) incl. the random pseudo-model: corpus and response-level diversity.
-
-    The corpus is shared by all metric plans; each metric is its own aggregate
-    and the small per-group results are joined on the group key at the end.
-    """
-    corpus = _corpus(spark, d)
-    parts = [D.distinct_ngrams(corpus, group_cols=G),
-             SB.self_bleu(corpus, group_cols=G),
-             P.jaccard_diversity(corpus, group_cols=G),
-             D.distinct_sentence_starts(corpus, group_cols=G),
-             D.sentence_shape(corpus, group_cols=G),
-             D.text_length(corpus, group_cols=G),
-             D.response_distinct_n(corpus, group_cols=G, n=2)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, list(G), "left")
-    return out
+    """All metrics, one row per (theme, model) incl. the random pseudo-model."""
+    return _report(spark, d).where(F.col("theme") != RP.ALL)
+
+
+@register("diversity_report_by_model")
+def q_diversity_report_by_model(spark, d):
+    """All metrics, themes pooled: one row per model incl. the random pseudo-model."""
+    return _report(spark, d).where(F.col("theme") == RP.ALL).drop("theme")
 
 
 # --- grouping flag, previews, text-embedding similarity ---------------------------

@@ -60,6 +60,14 @@ def decorated(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def report_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Decorated responses with message_id and message: the first 200 characters of the message's first document."""
+    doc = read_table(spark, d, "documents").select("doc_id", "text")
+    said = doc.where(F.col("doc_id") % 3 == 0).select(F.expr("doc_id div 3").alias("message_id"), F.substring("text", 1, 200).alias("message"))
+    own = decorated(spark, d).withColumn("message_id", F.expr("row_id div 3"))
+    return own.join(said, "message_id", "left").select("row_id", "message_id", "theme", "model", "response", "message")
+
+
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """Ordinal panel (subject, model, score): score = count % 6, 0 = missing."""
     e = read_table(spark, d, "events")

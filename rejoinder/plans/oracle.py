@@ -829,17 +829,6 @@ SELECT doc_id AS row_id, CASE doc_id % 3 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'llama
 FROM documents"""
 
 
-def _report(keys: list[str]) -> str:
-    subs = [f"({ORACLE[k]}) AS t{i}" for i, k in enumerate(keys)]
-    sql = f"SELECT * FROM {subs[0]}"
-    for s in subs[1:]:
-        sql += f"\nLEFT JOIN {s} USING (theme, model)"
-    return sql
-
-
-ORACLE["diversity_report"] = _report(["distinct_ngrams", "self_bleu", "jaccard_diversity", "distinct_sentence_starts",
-                                      "sentence_shape", "text_length", "response_distinct2"])
-
 ORACLE["distinct_ngrams_by_model"] = _with(RESPONSES, BASE, """corpus AS (
   SELECT model, row_id, text FROM base
   UNION ALL
@@ -891,3 +880,91 @@ sizes AS (SELECT theme, model, count(*) AS k FROM corpus GROUP BY ALL)
 SELECT theme, model, round(avg(m), 6) AS semantic_similarity_mean, round(stddev_pop(m), 6) AS semantic_similarity_std, count(*) AS n
 FROM (SELECT c.theme, c.model, CASE WHEN k > 1 THEN coalesce(b.c, 0.0) END AS m
       FROM corpus c JOIN sizes USING (theme, model) LEFT JOIN best b USING (theme, model, row_id)) GROUP BY ALL"""
+
+
+# --- the whole report: the metrics above over decorated responses, in groups by theme and pooled -------------------
+_REPORT_RESPONSES = """responses AS (
+  SELECT d.doc_id AS row_id, d.doc_id // 3 AS message_id, 'm' || CAST(d.doc_id % 3 AS VARCHAR) AS model, d.lang AS theme,
+         d.text || ' #' || d.source || ' https://x.org/' || CAST(d.doc_id AS VARCHAR)
+              || CASE WHEN d.doc_id % 3 = 0 THEN ' ' || chr(128512) ELSE '?' END AS response,
+         substr(m.text, 1, 200) AS message
+  FROM documents d LEFT JOIN documents m ON m.doc_id = d.doc_id // 3 * 3)"""
+_DRAWN = """SELECT {theme} AS theme, 'random' AS model, arg_min(row_id, md5('42:' || CAST(row_id AS VARCHAR))) AS row_id,
+         arg_min(text, md5('42:' || CAST(row_id AS VARCHAR))) AS text
+  FROM base WHERE message_id IS NOT NULL GROUP BY {by}"""
+_REPORT_CORPUS = ("corpus AS (SELECT theme, model, row_id, text FROM base UNION ALL SELECT 'all', model, row_id, text FROM base UNION ALL "
+                  + _DRAWN.format(theme="theme", by="theme, message_id") + " UNION ALL " + _DRAWN.format(theme="'all'", by="message_id") + ")")
+
+
+def _over_report(key: str) -> str:
+    return ORACLE[key].replace(RESPONSES, _REPORT_RESPONSES).replace(CORPUS, _REPORT_CORPUS)
+
+
+def _common(key: str, value: str, name: str) -> str:
+    return (f"SELECT theme, model, string_agg({value} || ' (' || CAST(cnt AS VARCHAR) || ')', ' | ' ORDER BY rank) AS {name} "
+            f"FROM ({_over_report(key)}) GROUP BY theme, model")
+
+
+_REPORT_BASE = _with(_REPORT_RESPONSES, BASE, _REPORT_CORPUS)
+
+_REPORT_JACCARD = _REPORT_BASE + r"""
+, tk AS (SELECT DISTINCT theme, model, row_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM corpus),
+sz AS (SELECT theme, model, row_id, count(*) AS n FROM tk GROUP BY ALL),
+pr AS (SELECT a.theme, a.model, a.row_id, b.row_id AS other, count(*) AS shared
+       FROM tk a JOIN tk b ON a.theme = b.theme AND a.model = b.model AND a.w = b.w AND a.row_id <> b.row_id GROUP BY ALL),
+mj AS (SELECT p.theme, p.model, p.row_id, max(shared / (x.n + y.n - shared)) AS m
+       FROM pr p JOIN sz x ON x.theme = p.theme AND x.model = p.model AND x.row_id = p.row_id
+                 JOIN sz y ON y.theme = p.theme AND y.model = p.model AND y.row_id = p.other GROUP BY ALL),
+k AS (SELECT theme, model, count(*) AS k FROM corpus GROUP BY ALL)
+SELECT theme, model, round(avg(d), 6) AS corpus_jaccard_diversity_mean, round(stddev_pop(d), 6) AS corpus_jaccard_diversity_std
+FROM (SELECT c.theme, c.model, CASE WHEN k > 1 THEN 1 - coalesce(m, 0.0) END AS d
+      FROM corpus c JOIN k USING (theme, model) LEFT JOIN mj USING (theme, model, row_id)) GROUP BY ALL"""
+
+_REPORT_COSINE = _with(_REPORT_RESPONSES, BASE, _REPORT_CORPUS, _sparse("SELECT row_id, text FROM base", "row_id", 1 << 14)) + """
+, held AS (SELECT c.theme, c.model, c.row_id, i, x FROM corpus c JOIN unit USING (row_id)),
+dots AS (SELECT a.theme, a.model, a.row_id, b.row_id AS other, sum(a.x * b.x) AS c
+         FROM held a JOIN held b ON a.theme = b.theme AND a.model = b.model AND a.i = b.i AND a.row_id <> b.row_id GROUP BY ALL),
+best AS (SELECT theme, model, row_id, max(c) AS c FROM dots GROUP BY ALL),
+k AS (SELECT theme, model, count(*) AS k FROM corpus GROUP BY ALL)
+SELECT theme, model, round(avg(m), 6) AS corpus_semantic_similarity_mean, round(stddev_pop(m), 6) AS corpus_semantic_similarity_std
+FROM (SELECT c.theme, c.model, CASE WHEN k > 1 THEN coalesce(b.c, 0.0) END AS m
+      FROM corpus c JOIN k USING (theme, model) LEFT JOIN best b USING (theme, model, row_id)) GROUP BY ALL"""
+
+_REPORT_ITEMS = _REPORT_BASE + f"""
+, x AS (SELECT theme, model, regexp_extract_all(text, '{_EMOJI_CLASS}') AS e, regexp_extract_all(text, '{HASHTAG_RE}') AS h,
+               regexp_extract_all(text, '{URL_RE}') AS u FROM corpus)
+SELECT theme, model,
+  count(*) FILTER (WHERE len(e) > 0) AS texts_with_emojis, count(*) FILTER (WHERE len(h) > 0) AS texts_with_hashtags,
+  count(*) FILTER (WHERE len(u) > 0) AS texts_with_urls, CAST(sum(len(e)) AS BIGINT) AS n_emojis,
+  CAST(sum(len(h)) AS BIGINT) AS n_hashtags, CAST(sum(len(u)) AS BIGINT) AS n_urls,
+  array_to_string(list_sort(list_distinct(flatten(list(e)))), '') AS unique_emojis,
+  len(list_distinct(flatten(list(h)))) AS n_distinct_hashtags, len(list_distinct(flatten(list(u)))) AS n_distinct_urls
+FROM x GROUP BY theme, model"""
+
+_REPORT_ENTITIES = ENTITIES[:ENTITIES.index(",\nnorm AS (")].replace("""items AS (
+  SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS row_id, 'm' || CAST(conv_id % 3 AS VARCHAR) AS model,
+         message, response FROM dialogue)""", f"""{_REPORT_RESPONSES}, {BASE}, {_REPORT_CORPUS},
+items AS (SELECT row_id, '' AS model, message, trim(response, ' "') AS response FROM responses)""") + """
+, per AS (SELECT row_id, {cells}, count(*) FILTER (WHERE side = 'response') AS any_ FROM mentions GROUP BY row_id)
+SELECT theme, model, count(*) FILTER (WHERE any_ > 0) AS responses_with_entities, {sums}
+FROM corpus LEFT JOIN per USING (row_id) GROUP BY theme, model""".format(
+    cells=", ".join(f"count(*) FILTER (WHERE side = '{s}' AND kind = '{k}') AS {k}s_{s}" for s in ("response", "message") for k in ("person", "organization")),
+    sums=", ".join(f"CAST(coalesce(sum({k}s_{s}), 0) AS BIGINT) AS {k}s_{s}" for s in ("response", "message") for k in ("person", "organization")))
+
+_REPORT_SENTIMENT = "SELECT theme, model, " + ", ".join(
+    f"CAST(coalesce(sum(cnt) FILTER (WHERE sentiment = '{s}'), 0) AS BIGINT) AS sentiment_{s}" for s in ("positive", "neutral", "negative")) \
+    + f" FROM ({_over_report('sentiment_counts')}) GROUP BY theme, model"
+
+
+def _whole_report(where: str, columns: str) -> str:
+    parts = [_over_report(k) for k in ("distinct_ngrams", "self_bleu", "distinct_sentence_starts", "sentence_shape", "text_length", "response_distinct2")]
+    parts += [_REPORT_JACCARD, _REPORT_COSINE, _REPORT_ITEMS, _REPORT_ENTITIES, _REPORT_SENTIMENT,
+              _common("top_sentence_starts", "start_text", "common_sentence_starts_3"), _common("top_sentences", "sentence", "common_sentences")]
+    sql = f"SELECT {columns} FROM ({parts[0]}) AS t0"
+    for i, part in enumerate(parts[1:], 1):
+        sql += f"\nLEFT JOIN ({part}) AS t{i} USING (theme, model)"
+    return f"{sql}\nWHERE {where}"
+
+
+ORACLE["diversity_report"] = _whole_report("theme <> 'all'", "*")
+ORACLE["diversity_report_by_model"] = _whole_report("theme = 'all'", "* EXCLUDE (theme)")
