@@ -45,7 +45,7 @@ from rejoinder.llm.common import worker_state
 #: Code points handled at once in a worker (a longer text is handled alone).
 CHUNK = 1 << 20
 #: Entries of the slice cache of a worker, and the longest slice kept in it (bytes).
-CACHE_SLICES, CACHE_LEN = 600_000, 48
+CACHE_SLICES, CACHE_LEN = 250_000, 48
 #: Up to so many bytes a slice's pairs are searched anew for each merge; beyond, a heap holds them.
 SHORT = 100
 NO_RANK = 1 << 40

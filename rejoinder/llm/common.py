@@ -45,6 +45,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes that a writer of intermediate files gathers before it writes them out.
+ROW_GROUP = 16 << 20
+
 #: The list that takes note of what ``cut`` writes, where someone asks for it.
 _noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
@@ -76,7 +79,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(spark, name)
     if (paths := _noted.get()) is not None:
         paths.append(path)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
