@@ -9,7 +9,7 @@ where the vocabulary fits, else u32.  Beside each data file an index file holds
 records in any order.
 
 Documents are dealt by ranges of doc_id (``shards.by_key_range``), so file order
-and order inside a file are ascending in doc_id; ties keep any order.  A task
+and order inside a file are ascending in doc_id, rows of one id in the order of a hash of their text.  A task
 writes under a name of its own attempt; only files that the manifest lists, made
 from successful attempts, count.  A null text is an empty one: its record holds
 the end id alone.  Other columns are not written.  No documents: no files.
@@ -199,11 +199,11 @@ def frames(payloads: list[bytes]) -> list[bytes]:
 
 def write(df: DataFrame, tokenizer_path: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text",
           end_id: int = 0) -> list:
-    """Write the records of ``df`` under ``folder``; returns the manifest (at most ``shards.GRID`` rows), in order."""
+    """Write the records of ``df`` under ``folder``; returns the manifest (at most twice ``shards.GRID`` rows), in order."""
     with open(tokenizer_path, encoding="utf-8") as f:
         config = f.read()
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = by_key_range(docs, "doc_id", F.octet_length("text") + 64, SHARD_BYTES)
+    dealt = by_key_range(docs, "doc_id", F.octet_length("text") + 64, SHARD_BYTES, F.md5("text"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(config)

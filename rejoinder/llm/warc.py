@@ -111,7 +111,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     refers = revisits(counted).select("page_id", "digest", "refers_to", F.lit(None).cast("string").alias("url"),
                                       F.lit(0).alias("size"), F.lit(None).cast("binary").alias("record"))
     dealt = (add(records.unionByName(refers)).repartitionById(n, F.col("shard"))
-             .sortWithinPartitions("page_id", F.col("refers_to").desc_nulls_last(), "digest"))
+             .sortWithinPartitions("page_id", F.col("refers_to").desc_nulls_last(), "digest", "url"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = open_folder(f"{folder}/temporary")

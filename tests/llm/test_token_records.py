@@ -89,3 +89,23 @@ def test_empty_table_and_damage(spark):
     import pyarrow as pa
     with pytest.raises(ValueError):
         list(R.scan(pa.BufferReader(bytes(frame))))
+
+
+def test_equal_ids_and_outlying_ids_have_a_defined_order(spark, library, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(R, "SHARD_BYTES", 3000)
+    rows = [(i, f"text {i} " * 20) for i in range(200)] + [(2**62, "far"), (-2**62, "low"), (5, "b"), (5, "a"), (5, "c c"), (5, "a")]
+    answers = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        folder = shared_folder(spark, "t")
+        manifest = R.write(df, PATH, folder)
+        assert len(manifest) > 5 and max(m["records"] for m in manifest) < 60
+        answers.append(sorted(tuple(r) for r in R.read_digests(spark, folder, manifest).collect()))
+    start, want = 0, []
+    for key, text in sorted(rows, key=lambda r: (r[0], hashlib.md5(r[1].encode()).hexdigest())):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        want.append((key, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        start += len(ids)
+    assert answers == [sorted(want)] * 2

@@ -53,5 +53,23 @@ def test_files_are_the_same_whatever_the_partitioning_and_rolled(spark, monkeypa
     assert seen[0] == seen[1] and len(seen[0]) > 3
 
 
+def test_repeated_and_outlying_ids_make_the_same_files(spark, monkeypatch):
+    monkeypatch.setattr(W, "SHARD_BYTES", 20_000)
+    rs = [*rows(), (-2**62, "u", BIG), (2**62, "v", BIG), (7, "b", "same"), (7, "a", "same"), (7, None, "same"), (7, "a", "same")]
+    rs = [r for r in rs if r[0] is not None]
+    seen = []
+    for n in (1, 7):
+        folder = shared_folder(spark, "w")
+        df = spark.createDataFrame(rs, "page_id long, url string, html string").repartition(n)
+        seen.append({(m.file, m.sha1, m.records) for m in W.write(df, folder).collect()})
+        assert sorted(map(tuple, W.read(spark, folder).collect()), key=str) == brute(rs)
+    assert seen[0] == seen[1] and max(m[2] for m in seen[0]) < len(rs) / 2
+
+
+def test_a_very_long_page(spark):
+    rs = [(1, "u", "<p>é" * 800_000), (2, "u", "<p>é" * 800_000), (3, "u", "x")]
+    assert sorted(map(tuple, W.write_and_read(spark, spark.createDataFrame(rs, "page_id long, url string, html string")).collect()), key=str) == brute(rs)
+
+
 def test_empty_table(spark):
     assert W.write_and_read(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
