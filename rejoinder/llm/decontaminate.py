@@ -101,12 +101,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: whether an item leaked into it, which ones, and the largest share."""
+    """One row per document: whether an item leaked into it, which ones (ids of any type), and the largest share.
+
+    An item without an id is found like any other, but has no id to list.
+    """
+    kind = benchmark.schema["item_id"].dataType.simpleString()
     by_text = leaks(docs, benchmark).groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"),
                                                        F.max("share").alias("share"))
     return (docs.select(id_col, F.md5("text").alias("key")).join(by_text, "key", "left")
                 .select(id_col, F.col("share").isNotNull().alias("contaminated"),
-                        F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"),
+                        F.coalesce("item_ids", F.array().cast(f"array<{kind}>")).alias("item_ids"),
                         F.coalesce("share", F.lit(0.0)).alias("share")))
 
 

@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from rejoinder.llm.common import cut, worker_state
 
-#: Labelled documents used at most; bounds on the lexicon and its exceptions.
-FIT_ROWS, MAX_WORDS, MAX_PHRASES = 8000, 2000, 2000
+#: Labelled documents used at most; this bounds the lexicon and its exceptions as well, which hold words of theirs.
+FIT_ROWS = 8000
 #: A lexicon word: contexts and documents in toxic texts, log-odds, and its standard errors, at least.
 MIN_CONTEXTS, MIN_DOCS, MIN_LOG_ODDS, MIN_Z = 10, 5, 2.0, 6.0
 #: An exception phrase: documents, and share of them labelled toxic at most.
@@ -115,14 +115,14 @@ def sample(docs: DataFrame, labels: DataFrame, allowed: Column) -> DataFrame:
 
 
 def fit(labelled: DataFrame, *, phrases: Iterable[str] = ()) -> Model:
-    """The model of (doc_id, text, toxic) rows; what reaches the driver is bounded by the parameters above."""
+    """The model of (doc_id, text, toxic) rows; what reaches the driver is bounded by ``FIT_ROWS``."""
     letters = F.regexp_extract_all(_folded("text"), F.lit(r"([\p{L}\p{M}']+)"), 1)
     labelled = cut(labelled.select("doc_id", "text", "toxic"), "toxicity-sample")
     words = (labelled.select("doc_id", "toxic", letters.alias("w"))
              .select("doc_id", "toxic", F.explode(F.transform("w", lambda x, i: F.struct(
                  x.alias("word"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("left"),
                  F.coalesce(F.get("w", i + 1), F.lit("")).alias("right")))).alias("c"))
-             .select("doc_id", "toxic", "c.*").where(F.length("word").between(3, 40)))
+             .select("doc_id", "toxic", "c.*"))
     context = (words.groupBy("word", F.xxhash64("left", "right").alias("c"))
                     .agg(F.avg("toxic").alias("toxic"), F.min("doc_id").alias("doc")))
     seen = cut(context.groupBy("word").agg(F.sum(F.col("toxic")).alias("a"), F.sum(1 - F.col("toxic")).alias("b"),
@@ -134,7 +134,7 @@ def fit(labelled: DataFrame, *, phrases: Iterable[str] = ()) -> Model:
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     picked = (seen.withColumn("odds", odds).where((F.col("a") >= MIN_CONTEXTS) & (F.col("docs") >= MIN_DOCS)
                                                   & (F.col("odds") >= MIN_LOG_ODDS) & (F.col("odds") >= MIN_Z / 3 * error))
-                  .orderBy(F.desc("odds"), "word").limit(MAX_WORDS).collect())
+                  .orderBy(F.desc("odds"), "word").collect())
     lexicon = {r["word"]: float(r["odds"]) for r in picked}
     own: list[str] = [fold(p) for p in phrases]
     if lexicon:
@@ -143,7 +143,7 @@ def fit(labelled: DataFrame, *, phrases: Iterable[str] = ()) -> Model:
                      .union(near.where("right != ''").select("doc_id", "toxic", F.concat_ws(" ", "word", "right"))))
         own += [r["p"] for r in pairs.distinct().groupBy("p").agg(F.count("*").alias("n"), F.avg("toxic").alias("t"))
                 .where((F.col("n") >= PHRASE_DOCS) & (F.col("t") <= PHRASE_TOXIC))
-                .orderBy(F.desc("n"), "p").limit(MAX_PHRASES).collect()]
+                .collect()]
     bare = Model(lexicon, tuple(sorted(set(own))), 0.0, (0.0, 0.0))
     rows = labelled.select("toxic", _features(bare, F.col("text")).alias("f")).select("toxic", "f.*").collect()   # FIT_ROWS at most
     bias, slopes = logistic(np.array([[r["sum"], r["rate"]] for r in rows], float).reshape(-1, 2),

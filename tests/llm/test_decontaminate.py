@@ -77,3 +77,22 @@ def test_shuffled_join_and_empty_tables(spark, monkeypatch):
     assert [(r.doc_id, r.item_ids, r.share) for r in D.judge(d, b).where("contaminated").collect()] == [(1, [4], 1.0)]
     assert D.judge(d, b.limit(0)).where("contaminated").count() == 0 and D.judge(d.limit(0), b).count() == 0
     assert D.keep_clean(d, b.limit(0)).count() == 2
+
+
+def test_ids_of_any_type_and_items_without_one(spark):
+    text, other = " ".join(WORDS), " ".join(reversed(WORDS))
+    d = spark.createDataFrame([("a", text), (None, other), ("c", "x")], "doc_id string, text string")
+    b = spark.createDataFrame([("q1", text), (None, other)], "item_id string, text string")
+    got = {r.doc_id: (r.contaminated, r.item_ids) for r in D.judge(d, b).collect()}
+    assert got == {"a": (True, ["q1"]), None: (True, []), "c": (False, [])} and [r.doc_id for r in D.keep_clean(d, b).collect()] == ["c"]
+    assert D.judge(d, b.limit(0)).where("contaminated").count() == 0
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(3)
+    say = lambda n: " ".join(rnd.choice(WORDS) for _ in range(n))
+    item = say(30)
+    docs = [(1, say(15_000) + " " + item + " " + say(15_000)), (2, "a " * 100_000), (3, "x" * 300_000)]
+    got = {r.doc_id: r.contaminated for r in D.judge(spark.createDataFrame(docs, "doc_id long, text string"),
+                                                     spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: True, 2: False, 3: False}

@@ -145,3 +145,12 @@ def test_a_passage_of_all_documents_sends_a_row_a_batch(spark):
     found = S._segments(docs)
     hot = found.groupBy("m", "g").count().where("count = 300").first()
     assert found.where((F.col("m") == hot.m) & (F.col("g") == hot.g) & (F.col("place").bitwiseAND(F.lit(S.AGAIN)) == 0)).count() <= 2
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(9)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(60_000))
+    rows = [(1, long), (2, "z" + long[5000:40_000] + "y"), (3, long + long[:300]), (4, "ab" * 20_000)]
+    got = {r.doc_id: tuple(r)[1:] for r in S.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert got == {k: v[:4] for k, v in want.items()}
