@@ -25,6 +25,8 @@ are read whole.  Extra columns: ``align`` passes them through and replaces those
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -94,6 +96,10 @@ def over_groups(ends: np.ndarray, borders: np.ndarray) -> Rows:
     return Rows(np.arange(len(ends) + 1), np.searchsorted(borders, ends), np.ones(len(ends), np.int64), len(borders))
 
 
+#: A space that white space precedes.
+_RUN = re.compile(r"\s ")
+
+
 # --- tokenizers ----------------------------------------------------------------
 
 def _byte_of() -> dict[str, int]:
@@ -128,7 +134,7 @@ class Aligner:
         if not self.by_unit:
             return [text]
         parts = text.split(" ")
-        if all(parts) and not any(p[-1].isspace() for p in parts):
+        if text[0] != " " and text[-1] != " " and not _RUN.search(text):
             return parts
         out = [parts[0]]
         for i, p in enumerate(parts[1:], 1):
@@ -142,7 +148,7 @@ class Aligner:
         """(A ids, B ids) of each unit, as bytes; None if they do not stand for the unit's bytes."""
         spaced = [" " + u for u in units]
         a = self.a.library(spaced)
-        b = [np.array(x, np.int32).tobytes() if x else b"" for x in self.b.encode(units, num_threads=1)]
+        b = [array("i", x).tobytes() for x in self.b.encode(units, num_threads=1)]
         wanted = [u.encode() for u in spaced]
         size = np.array([len(u) for u in wanted])
         whole = True
