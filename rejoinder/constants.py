@@ -20,18 +20,18 @@ SIGNIFICANCE_LEVEL = 0.05                         # Friedman gate and Wilcoxon b
 
 # Emoji code-point ranges, one character class (flags count as two code points).
 EMOJI_RANGES = [
-    (0x1F600, 0x1F64F),  # emoticons
-    (0x1F300, 0x1F5FF),  # symbols & pictographs
-    (0x1F680, 0x1F6FF),  # transport & map symbols
-    (0x1F700, 0x1F77F),  # alchemical symbols
-    (0x1F780, 0x1F7FF),  # geometric symbols
-    (0x1F800, 0x1F8FF),  # supplemental arrows
-    (0x1F900, 0x1F9FF),  # supplemental symbols & pictographs
-    (0x1FA00, 0x1FA6F),  # chess symbols
-    (0x1FA70, 0x1FAFF),  # symbols and pictographs extended-A
-    (0x2600, 0x26FF),    # miscellaneous symbols
-    (0x2700, 0x27BF),    # dingbats
-    (0x1F1E0, 0x1F1FF),  # regional indicator symbols (flags)
+    (0x1F600, 0x1F64F),
+    (0x1F300, 0x1F5FF),
+    (0x1F680, 0x1F6FF),
+    (0x1F700, 0x1F77F),
+    (0x1F780, 0x1F7FF),
+    (0x1F800, 0x1F8FF),
+    (0x1F900, 0x1F9FF),
+    (0x1FA00, 0x1FA6F),
+    (0x1FA70, 0x1FAFF),
+    (0x2600, 0x26FF),
+    (0x2700, 0x27BF),
+    (0x1F1E0, 0x1F1FF),
 ]
 
 # Annotation columns: long names used in annotation files -> short names.
