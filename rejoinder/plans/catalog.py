@@ -411,7 +411,7 @@ from rejoinder.operators import extraction as EX  # noqa: E402
 
 
 def _decorated(spark, d):
-    return C.corpora(X.decorated(spark, d), group_cols=G, with_random=False)
+    return C.corpora(X.decorated(spark, d), group_cols=G, with_random=True)
 
 
 @register("emoji_stats")

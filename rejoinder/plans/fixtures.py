@@ -52,6 +52,7 @@ def decorated(spark: SparkSession, d: str) -> DataFrame:
     """Responses with a hashtag, a URL and (one in three) an emoji appended."""
     return read_table(spark, d, "documents").select(
         F.col("doc_id").alias("row_id"),
+        F.expr("doc_id div 3").alias("message_id"),
         F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("model"),
         F.col("lang").alias("theme"),
         F.concat(F.col("text"), F.lit(" #"), F.col("source"), F.lit(" https://x.org/"),
@@ -64,8 +65,7 @@ def report_rows(spark: SparkSession, d: str) -> DataFrame:
     """Decorated responses with message_id and message: the first 200 characters of the message's first document."""
     doc = read_table(spark, d, "documents").select("doc_id", "text")
     said = doc.where(F.col("doc_id") % 3 == 0).select(F.expr("doc_id div 3").alias("message_id"), F.substring("text", 1, 200).alias("message"))
-    own = decorated(spark, d).withColumn("message_id", F.expr("row_id div 3"))
-    return own.join(said, "message_id", "left").select("row_id", "message_id", "theme", "model", "response", "message")
+    return decorated(spark, d).join(said, "message_id", "left").select("row_id", "message_id", "theme", "model", "response", "message")
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:

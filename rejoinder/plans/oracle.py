@@ -608,11 +608,12 @@ ORACLE["alpha_report"] = "\nUNION ALL\n".join(
     f"SELECT *, '{lvl}' AS level FROM ({ORACLE[k]})" for k, lvl in
     [("alpha_ordinal", "ordinal"), ("alpha_nominal", "nominal"), ("alpha_binary", "binary")])
 
-DECORATED = """corpus AS (
-  SELECT lang AS theme, 'm' || CAST(doc_id % 3 AS VARCHAR) AS model, doc_id AS row_id,
+DECORATED = """base AS (
+  SELECT lang AS theme, 'm' || CAST(doc_id % 3 AS VARCHAR) AS model, doc_id AS row_id, doc_id // 3 AS message_id,
          trim(text || ' #' || source || ' https://x.org/' || CAST(doc_id AS VARCHAR)
               || CASE WHEN doc_id % 3 = 0 THEN ' ' || chr(128512) ELSE '?' END, ' "') AS text
-  FROM documents)"""
+  FROM documents WHERE text IS NOT NULL),
+""" + CORPUS
 
 _EMOJI_CLASS = "[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F700}-\\x{1F77F}" \
                "\\x{1F780}-\\x{1F7FF}\\x{1F800}-\\x{1F8FF}\\x{1F900}-\\x{1F9FF}\\x{1FA00}-\\x{1FA6F}" \

@@ -122,3 +122,16 @@ def test_binomial_tail_against_whole_numbers(spark):
     for r in rows:
         assert r.p == pytest.approx(tail_ref(r.s, r.n), rel=2e-11), (r.s, r.n)
     assert spark.createDataFrame([(0, 0), (10, 10**6)], "s long, n long").select(S.binom_two_sided("s", "n").alias("p")).collect()[1].p == 0.0
+
+
+def test_scratch_files_go_with_their_block(spark):
+    import os
+
+    from rejoinder import session
+
+    with session.scratch(spark):
+        held = session.cut(spark.range(5), "held")
+        path = held.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path) and held.count() == 5
+    assert not os.path.exists(os.path.dirname(path))
+    assert session.cut(spark.range(3), "kept").count() == 3
