@@ -83,6 +83,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    """The session's number of shuffle partitions.  Named in a repartition, it keeps large ones from being merged for a sort."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def settled(df: DataFrame, condition: Column) -> DataFrame:
     """Rows of ``df`` that meet ``condition``, tested after its columns are made.
 

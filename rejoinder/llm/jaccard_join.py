@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rejoinder.llm.common import cut
+from rejoinder.llm.common import cut, shuffle_partitions
 from rejoinder.llm.components import components
 
 WORDS_IN_SHINGLE, SIMILARITY = 3, 0.9
@@ -329,7 +329,7 @@ def _shared(keyed: DataFrame) -> DataFrame:
         keep[len(key) - (not last):] = False
         return table.filter(pa.array(keep))
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, id long")
+    return keyed.repartition(shuffle_partitions(keyed), "key").sortWithinPartitions("key").mapInArrow(run, "key long, id long")
 
 
 def buckets(shared: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from rejoinder.llm.common import cut
+from rejoinder.llm.common import cut, shuffle_partitions
 
 LENGTH, GRAM = 100, 32
 #: Windows of a piece that is sorted; bytes sorted together; bytes of one key in one task.
@@ -237,7 +237,7 @@ def _told(found: DataFrame) -> DataFrame:
 
     # segments already known to repeat one need no company: they are spread
     known = F.col("place").bitwiseAND(F.lit(AGAIN)) > 0
-    dealt = found.repartition(F.when(known, F.xxhash64("d", "t", "place")).otherwise(F.col("m")))
+    dealt = found.repartition(shuffle_partitions(found), F.when(known, F.xxhash64("d", "t", "place")).otherwise(F.col("m")))
     return dealt.sortWithinPartitions(known, "m", "g", "d", "t", "place").mapInArrow(run, TOLD)
 
 
