@@ -156,15 +156,13 @@ class WordEncoder:
         whole = [i for i, text in enumerate(texts) if any(t in text for t in self.added)]
         for i in whole:
             split[i] = [texts[i]]
-        if odd or whole:
-            words = set().union(*split)
         firsts = self.library([parts[0] for parts in split])
         for parts in split:
             del parts[0]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache = self.cache
-        new = list(set().union(*split).difference(cache)) if odd or whole else list(words.difference(cache))
+        new = list((set().union(*split) if odd or whole else words).difference(cache))
         long = {}
         for w, ids in zip(new, self.library([" " + w for w in new]), strict=True):
             (cache if len(w) <= CACHE_LEN else long)[w] = ids
@@ -203,7 +201,7 @@ def write(df: DataFrame, tokenizer_path: str, folder: str, *, id_col: str = "doc
     with open(tokenizer_path, encoding="utf-8") as f:
         config = f.read()
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = by_key_range(docs, "doc_id", F.octet_length("text") + 64, SHARD_BYTES, F.md5("text"))
+    dealt = by_key_range(docs, "doc_id", F.octet_length("text") + 64, SHARD_BYTES, F.xxhash64("text"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(config)
