@@ -39,8 +39,9 @@ from rejoinder.llm.shards import by_key_range, open_folder
 
 #: Bytes of text for a shard (one data file), characters handled at once, bytes read at once.
 SHARD_BYTES, CHUNK, READ = 32 << 20, 1 << 20, 4 << 20
-#: Entries of a worker's cache of encoded words, and the longest word kept in it.
-CACHE_WORDS, CACHE_LEN = 600_000, 48
+#: Entries of a worker's cache of encoded words, and the longest word kept in it.  A full cache takes no more, and is
+#: started anew when it knows fewer than half of the words.
+CACHE_WORDS, CACHE_LEN = 1_000_000, 48
 NULL_ID = -(1 << 63)
 #: The reversed CRC-32C polynomial and the mask constant of the record format.
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
@@ -159,17 +160,21 @@ class WordEncoder:
         firsts = self.library([parts[0] for parts in split])
         for parts in split:
             del parts[0]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+        needed = set().union(*split) if odd or whole else words
         cache = self.cache
-        new = list((set().union(*split) if odd or whole else words).difference(cache))
-        long = {}
+        new = list(needed.difference(cache))
+        if len(cache) > CACHE_WORDS and 2 * len(new) > len(needed):     # of other texts: started anew
+            cache.clear()
+            new = list(needed)
+        full, own = len(cache) > CACHE_WORDS, {}
         for w, ids in zip(new, self.library([" " + w for w in new]), strict=True):
-            (cache if len(w) <= CACHE_LEN else long)[w] = ids
-        get = cache.__getitem__
+            (cache if len(w) <= CACHE_LEN and not full else own)[w] = ids
+        get = cache.get
         for first, parts in zip(firsts, split, strict=True):
-            rest = (long.get(w) or cache[w] for w in parts) if long else map(get, parts)
-            yield first + b"".join(rest)
+            coded = list(map(get, parts))
+            if own and None in coded:
+                coded = [own[w] if c is None else c for c, w in zip(coded, parts, strict=True)]
+            yield first + b"".join(coded)
 
 
 def _encoder(config: str) -> WordEncoder:
