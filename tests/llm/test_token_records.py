@@ -44,6 +44,8 @@ def library():
 def test_cut_at_spaces_is_exact(library):
     rnd = random.Random(5)
     texts = ["", " ", "  ", "a  b", "a   b", "a \n b", "a \n  b", "a\n ", "x\n  b", "it's <|endoftext|> 'll", "<|endoftext|>", "x<|endoftext|> <|endoftext|>y", "a  <|endoftext|>  b", "<|endoftext",  "\t \t", " a ", "a  "]
+    texts += ["".join(rnd.choice("ab ., !?'\n1ñ;:.") for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
+    texts += ["x a.", "x a.. b!? é, 1. ʰ. ª! a'. '. . , a", "x 漢. ǅ, ß: e\u0301."]
     texts += ["".join(rnd.choice("a b '\ns\t é  ") for _ in range(rnd.randint(0, 40))) for _ in range(2000)]
     enc = R.WordEncoder(open(PATH).read())
     for text, got in zip(texts, enc.encode(texts), strict=True):
