@@ -27,7 +27,8 @@ R = 6
 
 def alpha(long: DataFrame, *, level: str = "nominal", category: str = "category", unit: str = "unit",
           value: str = "value", missing: str = "ignore") -> DataFrame:
-    """(category, alpha, n_values).  ``missing='ignore'`` drops missing values (default); ``missing='category'`` scores a missing
+    """(category, alpha, n_values, values): ``values`` lists the distinct values of the category as text, in order of the text,
+    commas between.  ``missing='ignore'`` drops missing values (default); ``missing='category'`` scores a missing
     nominal value as the explicit category 'nan' (parity with string-cast rating matrices)."""
     if level not in ("nominal", "ordinal"):
         raise ValueError(f"Unknown level of measurement {level}")
@@ -39,7 +40,9 @@ def alpha(long: DataFrame, *, level: str = "nominal", category: str = "category"
         long = long.withColumn(value, F.coalesce(F.col(value).cast("string"), F.lit("nan")))
     own = F.col(value).cast("double") if level == "ordinal" else F.col(value)
     v = long.select(category, unit, own.alias("v")).where(F.col("v").isNotNull())
-    domain = v.groupBy(category).agg(F.countDistinct("v").alias("n_values"))
+    # distinct first: a list holds a value domain, never ratings
+    domain = v.select(category, "v").distinct().groupBy(category).agg(
+        F.count("v").alias("n_values"), F.array_join(F.array_sort(F.collect_set(F.col("v").cast("string"))), ",").alias("values"))
     nuc = (v.groupBy(category, unit, "v").agg(F.count(F.lit(1)).alias("n_uc"))
            .withColumn("m_u", F.sum("n_uc").over(Window.partitionBy(category, unit))).where(F.col("m_u") >= 2))   # values of one unit
     nc = nuc.groupBy(category, "v").agg(F.sum("n_uc").alias("n_c"))
@@ -61,7 +64,7 @@ def alpha(long: DataFrame, *, level: str = "nominal", category: str = "category"
     res = observed.join(expected, category).select(
         category, (1 - (F.col("n") - 1) * F.try_divide(F.col("do"), F.col("de"))).alias("alpha"))
     return (domain.where(F.col("n_values") >= 2).join(res, category, "left")
-            .select(category, F.round("alpha", R).alias("alpha"), "n_values"))
+            .select(category, F.round("alpha", R).alias("alpha"), "n_values", "values"))
 
 
 def value_domain(long: DataFrame, *, category: str = "category", value: str = "value") -> DataFrame:

@@ -73,6 +73,14 @@ def test_alpha_against_pairs_of_values(spark, level):
     assert AG.alpha(df, level=level).first().alpha == pytest.approx(brute_alpha(units, level), abs=2e-6)
 
 
+@pytest.mark.parametrize("level", ["nominal", "ordinal"])
+def test_alpha_lists_the_value_domain(spark, level):
+    rows = [("q", 1, 10.0), ("q", 1, 2.0), ("q", 2, 2.0), ("q", 2, 2.0), ("q", 3, 1.0), ("q", 3, None), ("r", 1, 4.0), ("r", 1, 4.0)]
+    df = spark.createDataFrame(rows, "category string, unit long, value double")
+    got = AG.alpha(df, level=level).collect()
+    assert [(r.category, r.n_values, r["values"]) for r in got] == [("q", 3, "1.0,10.0,2.0")]
+
+
 def test_baseline_counts_a_message_in_each_of_its_themes(spark):
     import rejoinder.plans.catalog as K
     rows = [(1, 1, "m0", 1, [1.0, 0.0]), (2, 2, "m0", 1, [0.0, 1.0]), (3, 3, "m0", 2, [1.0, 0.0]), (4, 4, "m0", 2, [1.0, 1.0])]
