@@ -13,9 +13,10 @@ decode byte by byte, B's pieces are UTF-8 with the word mark as a space and ``<0
 * Units.  Neither tokenizer joins a space to a character other than white space before it, so a text's tokens are those of the parts
   between such spaces, which are encoded once and kept in a bounded cache.  (Where a B piece holds a word mark after another
   character, a text is one part.)
-* Corpus counts.  Texts form blocks of about ``BLOCK_BYTES``.  A block is one row: its distinct id pairs with
-  their counts, and for each text which of them it has and how often.  Pairs are added up over blocks (never over texts),
-  and what a block needs comes back to it by a join on the pair and a regrouping by block.
+* Corpus counts.  Texts form blocks of about ``BLOCK_BYTES``.  A block is a row for each text, with which of the block's distinct
+  id pairs it has and how often, and rows of at most ``PIECE`` of those pairs with their counts: no row grows with the block, so a
+  reader or writer holds a bounded part of a task's blocks.  Pairs are added up over blocks (never over texts), and what a
+  block needs comes back to it by a join on the pair and a regrouping by block, one block at a time.
 
 Null and empty texts, and texts whose A or B bytes differ from space and text, have no tokens: all counts are 0, the digest
 is ''.  Rows are independent but for the corpus counts; repeated ids and rows are rows of their own and add to them.  Texts
@@ -44,7 +45,9 @@ from rejoinder.llm.token_records import WordEncoder
 
 MARK = "▁"
 #: Bytes of text in a block, units in a worker's cache, the longest unit kept, characters of text multiplied at once.
-BLOCK_BYTES, CACHE_UNITS, CACHE_LEN, PRODUCT_BYTES = 4 << 20, 500_000, 64, 1 << 19
+BLOCK_BYTES, CACHE_UNITS, CACHE_LEN, PRODUCT_BYTES = 4 << 20, 500_000, 64, 1 << 18
+#: Id pairs of a row, and rows of texts that are taken from Arrow at once.
+PIECE, TAKEN = 4096, 256
 
 
 # --- sparse rows ---------------------------------------------------------------
@@ -273,15 +276,16 @@ def align(df: DataFrame, a_path: str, b_path: str, *, text_col: str = "text") ->
 
 
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_shared"]
-_BLOCK = ("block long, doc_id array<long>, " + ", ".join(f"{c} array<long>" for c in _COUNTS)
-          + ", digest array<string>, pairs array<long>, totals array<long>, many array<int>, at array<int>, times array<int>")
+_TEXT = [("doc_id", "long"), *((c, "long") for c in _COUNTS), ("digest", "string"), ("at", "array<int>"), ("times", "array<int>")]
+_BLOCK = ", ".join(f"{c} {kind}" for c, kind in [("block", "long"), *_TEXT, ("pairs", "array<long>"), ("totals", "array<long>")])
+_ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
 
 def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """One row for each block of texts (doc_id, text): counts by text, distinct id pairs with totals, and each text's share in them."""
+    """Blocks of texts (doc_id, text): a row for each text, with counts and its share in the block's distinct id pairs, and rows of those (``pairs``) with totals."""
     config, model = _files(a_path, b_path)
 
-    def block(own: Aligner, number: int, ids: list, texts: list[str]) -> pa.RecordBatch:
+    def block(own: Aligner, number: int, ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
         counts, digest, codes, part, size = [], [], [], [], 0
         for at, text in enumerate(texts):
             part.append(text)
@@ -290,42 +294,57 @@ def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 for into, more in zip((counts, digest, codes), own.aligned(part), strict=True):
                     into += more
                 part, size = [], 0
+        lengths = [len(c) for c in codes]
         pairs, place = np.unique(np.concatenate(codes), return_inverse=True)
         totals = np.bincount(place, minlength=len(pairs))
-        many, at, times, begin = [], [], [], 0
-        for c in codes:
-            x, n = np.unique(place[begin:begin + len(c)], return_counts=True)
-            begin += len(c)
-            many.append(len(x))
-            at.append(x)
-            times.append(n)
-        columns = [[number], [ids], *([list(c)] for c in zip(*counts, strict=True)), [digest], [pairs], [totals], [many],
-                   [np.concatenate(at)], [np.concatenate(times)]]
-        kinds = [pa.int64(), *[pa.list_(pa.int64())] * (1 + len(_COUNTS)), pa.list_(pa.string()), *[pa.list_(pa.int64())] * 2,
-                 *[pa.list_(pa.int32())] * 3]
-        names = ["block", "doc_id", *_COUNTS, "digest", "pairs", "totals", "many", "at", "times"]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        del codes
+
+        def rows(many: int, **columns) -> pa.RecordBatch:
+            kinds = dict([("block", pa.int64()), *((c, _ARROW[kind]) for c, kind in _TEXT), ("pairs", pa.list_(pa.int64())), ("totals", pa.list_(pa.int64()))])
+            columns["block"] = [number] * many
+            return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns.get(c, [None] * many), kind)
+                                               for c, kind in kinds.items()], names=list(kinds))
+
+        def listed(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+
+        begin = 0
+        for a in range(0, len(texts), TAKEN):
+            at, times, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
+            for n in lengths[a:a + TAKEN]:
+                x, many = np.unique(place[begin:begin + n], return_counts=True)
+                begin += n
+                at.append(x)
+                times.append(many)
+                ends.append(ends[-1] + len(x))
+            b = min(a + TAKEN, len(texts))
+            yield rows(b - a, doc_id=ids[a:b], **dict(zip(_COUNTS, zip(*counts[a:b], strict=True), strict=True)), digest=digest[a:b],
+                       at=listed(np.concatenate(at), ends, pa.int32()), times=listed(np.concatenate(times), ends, pa.int32()))
+        for a in range(0, len(pairs), PIECE * TAKEN):
+            own_pairs, own_totals = pairs[a:a + PIECE * TAKEN], totals[a:a + PIECE * TAKEN]
+            ends = [*range(0, len(own_pairs), PIECE), len(own_pairs)]
+            yield rows(len(ends) - 1, pairs=listed(own_pairs, ends, pa.int64()), totals=listed(own_totals, ends, pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _aligner(config, model)
         number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in batches:
+        for batch in (whole.slice(a, TAKEN) for whole in batches for a in range(0, whole.num_rows, TAKEN)):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(key)
                 texts.append(text or "")
                 size += 64 + len(texts[-1])
                 if size > BLOCK_BYTES:
-                    yield block(own, number, ids, texts)
+                    yield from block(own, number, ids, texts)
                     number, ids, texts, size = number + 1, [], [], 0
         if ids:
-            yield block(own, number, ids, texts)
+            yield from block(own, number, ids, texts)
 
     return docs.mapInArrow(run, _BLOCK)
 
 
 def pair_counts(held: DataFrame, width: int) -> DataFrame:
     """(pair, count, best): links of every id pair over all blocks, and whether none of its B id has more."""
-    each = held.select(F.explode(F.arrays_zip("pairs", "totals")).alias("p")).select(F.col("p.pairs").alias("pair"), F.col("p.totals").alias("n"))
+    each = held.where("pairs is not null").select(F.explode(F.arrays_zip("pairs", "totals")).alias("p")).select(F.col("p.pairs").alias("pair"), F.col("p.totals").alias("n"))
     counts = cut(each.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("b", F.col("pair") % width), "pair-counts")
     most = counts.groupBy("b").agg(F.max("count").alias("most"))
     return counts.join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
@@ -347,28 +366,22 @@ def digests(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id"
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, and n_shared (shared-group links)."""
     held = cut(blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), a_path, b_path), "aligned")
     counts = pair_counts(held, _width(b_path))
-    wanted = held.select("block", F.explode("pairs").alias("pair")).join(counts, "pair")
-    back = wanted.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pair", "count", "best"))).alias("c"))
-    back = back.select("block", F.col("c.count").alias("count"), F.col("c.best").alias("best"))
-    full = held.drop("pairs", "totals").join(back, "block", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                get = {c: batch.column(c).slice(row, 1).flatten() for c in batch.schema.names if c != "block"}
-                at, times = get["at"].to_numpy(), get["times"].to_numpy().astype(np.int64)
-                count = get["count"].to_numpy()
-                best = get["best"].to_numpy(zero_copy_only=False).astype(np.int64) if len(get["best"]) else np.zeros(0, np.int64)
-                ends = np.cumsum(get["many"].to_numpy())
-                sums = []
-                for value in (best, count):
-                    running = np.concatenate([[0], np.cumsum(times * value[at])])
-                    sums.append(np.diff(running[np.concatenate([[0], ends])]))
-                yield pa.RecordBatch.from_arrays(
-                    [get["doc_id"], *(get[c] for c in _COUNTS[:4]), *(pa.array(s, pa.int64()) for s in sums), get["digest"], get["n_shared"]],
-                    names=["doc_id", *_COUNTS[:4], "n_best", "count_sum", "groups_sha256", "n_shared"])
+    wanted = held.where("pairs is not null").select("block", F.explode("pairs").alias("pair")).join(counts, "pair").select(F.col("block").alias("of"), "pair", "count", "best")
+    texts = held.where("pairs is null").select("block", *[c for c, _ in _TEXT])
+
+    def run(own: pa.Table, told: pa.Table) -> pa.Table:
+        order = np.argsort(told.column("pair").to_numpy())          # texts name pairs by their place in this order
+        at, times = (own.column(c).combine_chunks().flatten().to_numpy() for c in ("at", "times"))
+        ends = np.concatenate([[0], np.cumsum(own.column("at").combine_chunks().value_lengths().to_numpy())])
+        sums = []
+        for c in ("best", "count"):
+            value = told.column(c).to_numpy()[order].astype(np.int64)
+            running = np.concatenate([[0], np.cumsum(times * value[at])])
+            sums.append(pa.array(np.diff(running[ends]), pa.int64()))
+        return pa.table([own.column("doc_id"), *(own.column(c) for c in _COUNTS[:4]), *sums, own.column("digest"), own.column("n_shared")],
+                        names=["doc_id", *_COUNTS[:4], "n_best", "count_sum", "groups_sha256", "n_shared"])
 
     longs = ["doc_id", *_COUNTS[:4], "n_best", "count_sum"]
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in longs), T.StructField("groups_sha256", T.StringType()),
                            T.StructField("n_shared", T.LongType())])
-    return full.mapInArrow(run, schema)
+    return texts.groupBy("block").cogroup(wanted.groupBy("of")).applyInArrow(run, schema)

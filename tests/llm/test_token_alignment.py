@@ -138,3 +138,16 @@ def test_long_text_empty_table(spark, library):
     assert A.digests(empty, A_PATH, B_PATH).count() == 0 == A.corpus_pairs(empty, A_PATH, B_PATH).count()
     none = A.digests(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), A_PATH, B_PATH).collect()
     assert [tuple(r)[1:] for r in none] == [(0, 0, 0, 0, 0, 0, "", 0)] * 2
+
+
+def test_no_row_of_a_block_grows_with_the_block(spark, library, monkeypatch):
+    monkeypatch.setattr(A, "PIECE", 32, raising=False)
+    rows = list(enumerate(texts(12, 300)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    held = A.blocks(df, A_PATH, B_PATH).collect()
+    listed = [r for r in held if r.pairs is not None]
+    assert len({r.block for r in held}) == 1 and max(len(r.pairs) for r in listed) <= 32
+    assert sorted(r.doc_id for r in held if r.pairs is None) == [k for k, _ in rows]
+    assert max(len(r["at"] or []) for r in held) <= max(len(r.links) for r in A.align(df, A_PATH, B_PATH).collect())
+    want, _ = brute(library, rows)
+    assert sorted(map(tuple, A.digests(df, A_PATH, B_PATH).collect()), key=str) == want
